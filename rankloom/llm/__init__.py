@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = {
     "op1_line_dedup": "line_dedup",
     "op4_decontaminate": "decontaminate",
+    "op9_suffix_dedup": "suffix_dedup",
     "op10_jaccard_join": "jaccard_join",
 }
 
