@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = {
     "op1_line_dedup": "line_dedup",
     "op4_decontaminate": "decontaminate",
+    "op6_toxicity": "toxicity",
     "op7_language_id": "language_id",
     "op8_embedding_dedup": "embedding_dedup",
     "op9_suffix_dedup": "suffix_dedup",
