@@ -5,6 +5,7 @@ from importlib import import_module
 #: Query name -> module; each module has query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
     "op1_line_dedup": "line_dedup",
+    "op3_chat_format": "chat_format",
     "op4_decontaminate": "decontaminate",
     "op6_toxicity": "toxicity",
     "op7_language_id": "language_id",

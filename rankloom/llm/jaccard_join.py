@@ -3,6 +3,8 @@
 A document is the set of its distinct 5-word shingles, each a 64-bit hash.  Two documents link when
 100 * intersection >= 75 * union.  The steps:
 
+0. Words are counted over all documents.  Those that make up 1 / 2^15 of all words are the common words, and a
+   shingle of common words only is taken for a frequent token from the start: such shingles meet by chance.
 1. One pass gives every document its set's signature.  Documents with the same set are one class, and only
    classes are joined.  The same pass counts tokens: every task adds up its own repeats, and the tasks'
    counts are added by token.  The tokens with the largest counts, ``MAX_FREQUENT`` at most, are the
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, scratch, tune
 from .components import UnionFind, components, forest
-from .kernels import PLACE, bitmap, member, mix, shingle_sets
+from .kernels import PLACE, bitmap, member, mix, shingle_sets, word_hashes
 
 #: Words in a shingle, and the similarity NUM / DEN.
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -47,6 +49,8 @@ LEAST_COUNT, MAX_FREQUENT = 16, 1 << 20
 COUNTED = 1 << 22
 #: Tokens of the sets in one block of a verification.
 BLOCK_TOKENS = 1 << 22
+#: Share of all words from which on a word is common; there are COMMON such words at most.
+COMMON = 1 << 15
 #: Index entries that a task holds before it sends them.
 POSTED = 1 << 22
 
@@ -71,7 +75,38 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return (a >> 14 << 14 | size) - (1 << 63), b - (1 << 63)
 
 
-def describe(k: int, num: int, den: int, buckets: int):
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass 0: blobs of word counts, COMMON words for each COUNTED words at most; the last row of a buffer has its total."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        words = np.sort(np.concatenate(held))
+        cut = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(cut, len(words)))
+        keep = counts * COMMON >= len(words)
+        return pa.RecordBatch.from_arrays([pa.array(words[cut[keep]].view(np.int64)), pa.array(counts[keep].astype(np.int64)), pa.array(np.where(np.arange(keep.sum()) == 0, len(words), 0))], names=["word", "n", "total"])
+
+    for batch in batches:
+        words = word_hashes(binaries(batch.column("_text")))[0]
+        held.append(words)
+        size += len(words)
+        if size > COUNTED:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def common_words(rows: DataFrame) -> np.ndarray:
+    counts = scratch(rows.select("_text").mapInArrow(count_words, "word long, n long, total long"), "word-counts")
+    total = counts.agg(F.sum("total")).first()[0] or 0
+    found = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= total).select("word").collect()  # COMMON words at most
+    drop_scratch(counts)
+    return np.sort(np.array([r["word"] for r in found], np.int64).view(np.uint64))
+
+
+def describe(k: int, num: int, den: int, buckets: int, words):
     """Pass 1: a row for each document, and blobs of token counts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +122,7 @@ def describe(k: int, num: int, den: int, buckets: int):
             return count_blobs(tokens[cut[many]], counts[many], buckets, names)
 
         for batch in batches:
-            sets = shingle_sets(binaries(batch.column("_text")), k)
+            sets = shingle_sets(binaries(batch.column("_text")), k, words.value)
             signs = [signature(s) if len(s) else (None, None) for s in sets]
             sizes = pa.array([len(s) for s in sets], pa.int64())
             n = batch.num_rows
@@ -109,7 +144,9 @@ def describe(k: int, num: int, den: int, buckets: int):
 
 def count_blobs(tokens: np.ndarray, counts: np.ndarray, buckets: int, names: list[str]) -> pa.RecordBatch:
     """Sorted tokens and their counts, cut into blobs by the upper bits."""
-    of = bucket_of(tokens, buckets)
+    of = bucket_of(tokens << np.uint64(1), buckets)  # the upper bit isn't hashed
+    order = np.argsort(of, kind="stable")
+    tokens, counts, of = tokens[order], counts[order], of[order]
     cut = np.searchsorted(of, np.arange(buckets + 1))
     at = [b for b in range(buckets) if cut[b] < cut[b + 1]]
     blobs = [tokens[cut[b] : cut[b + 1]].tobytes() + counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in at]
@@ -179,12 +216,15 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, levels: np.ndarray, bi
     if n <= 2:
         return np.zeros(0, np.uint64)
     want = n - needed(n, num, den) + 1
-    common = member(tokens, frequent, bits)
+    counted = member(tokens, frequent, bits)
+    common = counted | (tokens >> np.uint64(63) == 1)
     rare = tokens[~common][:want]
     if len(rare) == want:
         return mix(rare)
     often = tokens[common]
-    often = often[np.lexsort((often, levels[np.searchsorted(frequent, often)]))]
+    level = np.zeros(len(often), np.uint8)
+    level[counted[common]] = levels[np.searchsorted(frequent, tokens[counted])]
+    often = often[np.lexsort((often, level))]
     missing = want - len(rare)
     keys = [mix(rare)]
     first, last = np.searchsorted(bounds, [needed(n, num, den), n], side="right") - 1
@@ -214,7 +254,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, levels: np.ndarray, bi
     return np.concatenate(keys)
 
 
-def post(k: int, num: int, den: int, buckets: int, shared):
+def post(k: int, num: int, den: int, buckets: int, words, shared):
     """Pass 2: blobs of (40 bits of the key, signature) by bucket of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +276,7 @@ def post(k: int, num: int, den: int, buckets: int, shared):
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            for tokens in shingle_sets(binaries(batch.column("_text")), k):
+            for tokens in shingle_sets(binaries(batch.column("_text")), k, words.value):
                 if len(tokens) > 2 and (sid := signature(tokens)[0]) not in seen:
                     seen.add(sid)
                     got = prefix_keys(tokens, frequent, levels, bits, bounds, num, den)
@@ -370,10 +410,10 @@ def verify(num: int, den: int):
     return run
 
 
-def fetch_sets(k: int):
+def fetch_sets(k: int, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [s.tobytes() for s in shingle_sets(binaries(batch.column("_text")), k)]
+            blobs = [s.tobytes() for s in shingle_sets(binaries(batch.column("_text")), k, words.value)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("comp", "cid", "blocks")), pa.array(blobs, pa.binary())], names=["comp", "cid", "blocks", "tokens"])
 
     return run
@@ -384,11 +424,12 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = tune(docs.sparkSession)
     parts = partitions(spark)
     rows = keyed(docs, id_col, text_col)
-    pass1 = scratch(rows.mapInArrow(describe(k, num, den, parts), "_id long, _key long, sid long, sid2 long, n long, bucket int, blob binary"), "jaccard-sets")
+    words = spark.sparkContext.broadcast(common_words(rows))  # COMMON words at most
+    pass1 = scratch(rows.mapInArrow(describe(k, num, den, parts, words), "_id long, _key long, sid long, sid2 long, n long, bucket int, blob binary"), "jaccard-sets")
     frequent = spark.sparkContext.broadcast(frequent_tokens(pass1, parts))  # MAX_FREQUENT tokens at most
     described = pass1.where("blob IS NULL").select("_id", "_key", "sid", "sid2", "n", F.xxhash64("sid", "sid2").alias("cid"))
 
-    posted = rows.select("_text").mapInArrow(post(k, num, den, parts, frequent), "bucket int, blob binary")
+    posted = rows.select("_text").mapInArrow(post(k, num, den, parts, words, frequent), "bucket int, blob binary")
     near = components(posted.repartition(parts, "bucket").mapInArrow(chain(num, den), "a long, b long"))
 
     # classes of the components, each with one document that has its set
@@ -396,7 +437,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes = scratch(chosen.groupBy("comp", "cid").agg(F.min(F.struct("_id", "_key")).alias("doc"), F.first("n").alias("n")), "jaccard-classes")
     blocks = classes.groupBy("comp").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.lit(1)).cast("int").alias("blocks")).where("c > 1").drop("c")
     wanted = classes.join(blocks, "comp").select("comp", "cid", "blocks", F.col("doc._id").alias("_id"), F.col("doc._key").alias("_key"))
-    sets = rows.join(wanted, ["_id", "_key"]).select("comp", "cid", "blocks", "_text").mapInArrow(fetch_sets(k), "comp long, cid long, blocks int, tokens binary")
+    sets = rows.join(wanted, ["_id", "_key"]).select("comp", "cid", "blocks", "_text").mapInArrow(fetch_sets(k, words), "comp long, cid long, blocks int, tokens binary")
     # each set goes to all pairs of blocks that its own block is part of
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -77,14 +77,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), np.searchsorted(starts, np.append(begins, len(data) + 1))
 
 
-def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its ``k``-word shingles; with fewer words, of all as one."""
+def shingle_sets(texts: list[bytes], k: int = 5, common: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its ``k``-word shingles; with fewer words, of all as one.
+
+    The upper bit of a hash tells a shingle all of whose words stand in ``common``, so these are sorted last.
+    """
     words, offsets = word_hashes(texts)
     n = max(0, len(words) - k + 1)
     rolled = np.zeros(n, np.uint64)
     for i in range(k):
         rolled += words[i : i + n] * PLACE[i]
-    rolled = mix(rolled)
+    rolled = mix(rolled) >> np.uint64(1)
+    if common is not None and len(common):
+        seen = np.concatenate(([0], np.cumsum(member(words, common, bitmap(common)))))
+        rolled |= (seen[k:][:n] - seen[:-k][:n] == k).astype(np.uint64) << np.uint64(63)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= k:
@@ -94,7 +100,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
             np.not_equal(got[1:], got[:-1], out=fresh[1:])
             out.append(got[fresh])
         elif b > a:
-            out.append(mix(np.array([np.sum(words[a:b] * PLACE[: b - a]) + np.uint64(b - a)], np.uint64)))
+            out.append(mix(np.array([np.sum(words[a:b] * PLACE[: b - a]) + np.uint64(b - a)], np.uint64)) >> np.uint64(1))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
