@@ -5,8 +5,10 @@ from importlib import import_module
 #: Query name -> module; each module has query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
     "op1_line_dedup": "line_dedup",
+    "op2_token_packing": "token_packing",
     "op3_chat_format": "chat_format",
     "op4_decontaminate": "decontaminate",
+    "op5_sentencepiece": "sentencepiece",
     "op6_toxicity": "toxicity",
     "op7_language_id": "language_id",
     "op8_embedding_dedup": "embedding_dedup",
