@@ -33,8 +33,8 @@ ORDERS, BITS = (3, 4, 5, 6, 7), 20
 MAX_TRAIN, FEATURES, MIN_TEXTS = 6000, 4096, 3
 #: Slices of the feature numbers when counts are summed, and tasks that count.
 SLICES, TASKS = 16, 8
-#: Steps, step size and penalty of the regression.
-STEPS, RATE, PENALTY = 300, 0.5, 1e-4
+#: Passes, rows of a step, step size and penalty of the regression.
+EPOCHS, BATCH, RATE, PENALTY, SEED = 12, 128, 0.3, 1e-4, 5
 #: Code points that are hashed at a time.
 PIECE = 1 << 18
 
@@ -120,12 +120,17 @@ def fit(present: np.ndarray, ratio: np.ndarray, toxic: np.ndarray) -> tuple[np.n
     x /= (scale := max(1e-6, float(np.abs(x).sum(axis=1).mean())))
     y, w, b = toxic.astype(np.float32), np.zeros(x.shape[1], np.float32), float(np.log(toxic.mean() / (1 - toxic.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        g, gb = x.T @ error / len(y) + PENALTY * w / len(w) ** 0.5, float(error.mean())
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        b -= 0.1 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
+    rng, step = np.random.default_rng(SEED), 0
+    for _ in range(EPOCHS):
+        order = rng.permutation(len(y))
+        for lo in range(0, len(order), BATCH):
+            rows, step = order[lo : lo + BATCH], step + 1
+            part = x[rows]
+            error = 1 / (1 + np.exp(-np.clip(part @ w + b, -30, 30))) - y[rows]
+            g, gb = error @ part / len(rows) + PENALTY * w / len(w) ** 0.5, float(error.mean())
+            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            b -= 0.1 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
     return w.astype(np.float64) * ratio / scale, b
 
 
