@@ -215,8 +215,8 @@ def features(run: DataFrame, index: Index, query: DataFrame) -> DataFrame:
     """Per document: score, length gap, share of the query's terms, and that share weighed by idf."""
     idf = index.lexicon.crossJoin(F.broadcast(index.stats)).select("term", lg(F.col("N") / F.col("df")).alias("idf"))
     wanted = query.select("topic_id", "term").join(idf, "term")
-    totals = wanted.groupBy("topic_id").agg(F.count("*").alias("n"), F.sum("idf").alias("total"))
+    totals = wanted.groupBy("topic_id").agg(F.count("*").alias("n_query"), F.sum("idf").alias("total"))
     rows = index.postings.select("term", "doc_id", "dl").join(F.broadcast(wanted), "term").join(run.select("topic_id", "doc_id", "score"), ["topic_id", "doc_id"])
     grouped = rows.groupBy("topic_id", "doc_id").agg(F.first("score").alias("score"), F.first("dl").alias("dl"), F.count("*").alias("hits"), F.sum("idf").alias("mass"))
     return grouped.join(F.broadcast(totals), "topic_id").crossJoin(F.broadcast(index.stats)).select(
-        "topic_id", "doc_id", "score", F.abs(F.col("avdl") - F.col("dl")).alias("length_gap"), (F.col("hits") / F.col("n")).alias("share"), (F.col("mass") / F.col("total")).alias("idf_share"))
+        "topic_id", "doc_id", "score", F.abs(F.col("avdl") - F.col("dl")).alias("length_gap"), (F.col("hits") / F.col("n_query")).alias("share"), (F.col("mass") / F.col("total")).alias("idf_share"))

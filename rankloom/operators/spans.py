@@ -19,6 +19,19 @@ def gathered(postings: DataFrame, terms: list[str]) -> DataFrame:
     return whole.select("doc_id", "dl", *(F.col(f"t{distinct.index(t)}").alias(f"p{k}") for k, t in enumerate(terms)))
 
 
+def moved(places: Column, offset: int) -> Column:
+    return F.transform(places, lambda p: p - offset)
+
+
+def grown(paths: Column, places: Column, offset: int, slop: int) -> Column:
+    """Each path with each place of the next term that stays within the slop."""
+    def step(m: Column) -> Column:
+        fits = F.filter(places, lambda q: (F.greatest(m["high"], q) - F.least(m["low"], q) <= slop) & ~F.array_contains(m["used"], q + offset))
+        return F.transform(fits, lambda q: F.struct(F.least(m["low"], q).alias("low"), F.greatest(m["high"], q).alias("high"), m["first"].alias("first"), F.concat(m["used"], F.array(q + offset)).alias("used")))
+
+    return F.flatten(F.transform(paths, step))
+
+
 def phrase_matches(postings: DataFrame, terms: list[str], slop: int = 0, offsets: list[int] | None = None) -> DataFrame:
     """(doc_id, dl, freq): exact phrases count their alignments; sloppy ones add 1 / (displacement + 1) for each begin.
 
@@ -27,17 +40,14 @@ def phrase_matches(postings: DataFrame, terms: list[str], slop: int = 0, offsets
     """
     offsets = offsets or list(range(len(terms)))
     docs = gathered(postings, terms)
-    shifted = [F.transform(F.col(f"p{k}"), lambda p, o=o: p - o) for k, o in enumerate(offsets)]
+    shifted = [moved(F.col(f"p{k}"), o) for k, o in enumerate(offsets)]
     if not slop:
         both = reduce(F.array_intersect, shifted)
         return docs.select("doc_id", "dl", F.size(both).cast("double").alias("freq"))
     # displacements, per begin of the first term: all combinations within the slop, one term at a time
     paths = F.transform(shifted[0], lambda p: F.struct(p.alias("low"), p.alias("high"), p.alias("first"), F.array(p + offsets[0]).alias("used")))
-    for k in range(1, len(terms)):
-        grown = F.flatten(F.transform(paths, lambda m, k=k: F.transform(
-            F.filter(shifted[k], lambda q: (F.greatest(m["high"], q) - F.least(m["low"], q) <= slop) & ~F.array_contains(m["used"], q + offsets[k])),
-            lambda q: F.struct(F.least(m["low"], q).alias("low"), F.greatest(m["high"], q).alias("high"), m["first"].alias("first"), F.concat(m["used"], F.array(q + offsets[k])).alias("used")))))
-        paths = grown
+    for places, offset in zip(shifted[1:], offsets[1:], strict=True):
+        paths = grown(paths, places, offset, slop)
     begins = F.array_distinct(F.transform(paths, lambda m: m["first"]))
     best = F.transform(begins, lambda f: F.array_min(F.transform(F.filter(paths, lambda m: m["first"] == f), lambda m: m["high"] - m["low"])))
     freq = F.aggregate(best, F.lit(0.0), lambda a, d: a + 1 / (d + 1.0))
@@ -47,7 +57,7 @@ def phrase_matches(postings: DataFrame, terms: list[str], slop: int = 0, offsets
 def multi_phrase(postings: DataFrame, slots: list[list[str]]) -> DataFrame:
     """(doc_id, freq): each slot may be any of its terms."""
     every = sorted({t for slot in slots for t in slot})
-    rows = postings.where(F.col("term").isin(every)).groupBy("doc_id").agg(*(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("term").isin(slot), F.transform("positions", lambda p, k=k: p - k))))).alias(f"s{k}") for k, slot in enumerate(slots)))
+    rows = postings.where(F.col("term").isin(every)).groupBy("doc_id").agg(*(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("term").isin(slot), moved(F.col("positions"), k))))).alias(f"s{k}") for k, slot in enumerate(slots)))
     return rows.select("doc_id", F.size(reduce(F.array_intersect, [F.col(f"s{k}") for k in range(len(slots))])).cast("double").alias("freq")).where("freq > 0")
 
 
@@ -68,6 +78,21 @@ def listed(spans: DataFrame, name: str) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(name))
 
 
+def longer(clause: Column, slop: int, ordered: bool):
+    """A function from a path to its continuations by one more span."""
+    def step(m: Column) -> Column:
+        def fits(s: Column) -> Column:
+            if ordered:
+                return (s["start"] >= m["last"]) & (s["start"] - m["last"] <= slop)
+            gap = F.greatest(m["end"], s["end"]) - F.least(m["start"], s["start"]) - m["held"] - (s["end"] - s["start"])
+            return ~F.array_contains(m["used"], s) & (gap <= slop)
+
+        return F.transform(F.filter(clause, fits), lambda s: F.struct(F.least(m["start"], s["start"]).alias("start"), F.greatest(m["end"], s["end"]).alias("end"), s["end"].alias("last"),
+                                                                     (m["held"] + s["end"] - s["start"]).alias("held"), F.concat(m["used"], F.array(s)).alias("used")))
+
+    return step
+
+
 def span_near(clauses: list[DataFrame], slop: int, ordered: bool = True) -> DataFrame:
     """(doc_id, start, end): one span of every clause, within ``slop`` places that belong to none.
 
@@ -76,12 +101,7 @@ def span_near(clauses: list[DataFrame], slop: int, ordered: bool = True) -> Data
     docs = reduce(lambda a, b: a.join(b, "doc_id"), [listed(c, f"c{k}") for k, c in enumerate(clauses)])
     paths = F.transform("c0", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["end"].alias("last"), (s["end"] - s["start"]).alias("held"), F.array(s).alias("used")))
     for k in range(1, len(clauses)):
-        def step(m, k=k):
-            fits = lambda s: (s["start"] >= m["last"]) & (s["start"] - m["last"] <= slop) if ordered else (~F.array_contains(m["used"], s)) & (F.greatest(m["end"], s["end"]) - F.least(m["start"], s["start"]) - m["held"] - (s["end"] - s["start"]) <= slop)
-            return F.transform(F.filter(F.col(f"c{k}"), fits), lambda s: F.struct(F.least(m["start"], s["start"]).alias("start"), F.greatest(m["end"], s["end"]).alias("end"), s["end"].alias("last"),
-                                                                               (m["held"] + s["end"] - s["start"]).alias("held"), F.concat(m["used"], F.array(s)).alias("used")))
-
-        paths = F.flatten(F.transform(paths, step))
+        paths = F.flatten(F.transform(paths, longer(F.col(f"c{k}"), slop, ordered)))
     rows = docs.select("doc_id", F.explode(paths).alias("m")).where(F.col("m.end") - F.col("m.start") - F.col("m.held") <= slop)
     if ordered:
         return rows.groupBy("doc_id", F.col("m.end").alias("end")).agg(F.max("m.start").alias("start")).select("doc_id", "start", "end")

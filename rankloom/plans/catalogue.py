@@ -265,3 +265,428 @@ def _(spark, sf):
         return rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(turns, lambda t: t["text"]), " ").alias("text"))
 
     return ranked(R.bm25f({"user": (role("user"), 2.0, 0.5), "assistant": (role("assistant"), 1.0, 0.7)}, topics(spark), idf_field="user"))
+
+
+# Boolean retrieval
+
+
+VSM = "sqrt(tf) * pow(ln(n / (df + 1)) + 1, 2) / sqrt(greatest(dl, 1))"
+VECTORS = f"WITH {TOK}, {FLAT}, {DL}, {POST}, {LEX}, {ST}, v AS (SELECT term, doc_id, {VSM} AS s FROM post JOIN dl USING (doc_id) JOIN lex USING (term), st)"
+
+
+def searcher(spark, sf, *words, positions=False):
+    docs = documents(spark, sf)
+    terms = spark.createDataFrame([(w,) for w in words], "term string") if words else None
+    split = I.analysed(docs)
+    postings = I.postings_of(split, terms, positions)
+    return B.Searcher(I.Index(postings, I.lexicon_of(postings), I.statistics(split)), docs)
+
+
+def hits(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def clause(word: str) -> str:
+    return f"(SELECT doc_id, s FROM v WHERE term = '{word}')"
+
+
+@query("term_query", VECTORS + " SELECT doc_id, round(s, 6) AS score FROM v WHERE term = 'der'")
+def _(spark, sf):
+    return hits(searcher(spark, sf, "der").search(B.Term("der")))
+
+
+@query("boolean_must_should_not", VECTORS + f" SELECT a.doc_id, round((a.s + b.s + coalesce(c.s, 0)) * (2 + (c.s IS NOT NULL)::INT) / 3, 6) AS score FROM {clause('the')} a JOIN {clause('of')} b USING (doc_id) LEFT JOIN {clause('with')} c USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM v WHERE term = 'from')")
+def _(spark, sf):
+    q = B.Boolean(((B.MUST, B.Term("the")), (B.MUST, B.Term("of")), (B.SHOULD, B.Term("with")), (B.MUST_NOT, B.Term("from"))))
+    return hits(searcher(spark, sf, "the", "of", "with", "from").search(q))
+
+
+@query("boolean_min_should_match", VECTORS + " SELECT doc_id, round(sum(s) * count(*) / 4, 6) AS score FROM v WHERE term IN ('the', 'from', 'with', 'was') GROUP BY doc_id HAVING count(*) >= 3")
+def _(spark, sf):
+    words = ("the", "from", "with", "was")
+    return hits(searcher(spark, sf, *words).search(B.Boolean(tuple((B.SHOULD, B.Term(w)) for w in words), min_should=3)))
+
+
+@query("boolean_no_coord", VECTORS + " SELECT doc_id, round(sum(s), 6) AS score FROM v WHERE term IN ('die', 'das') GROUP BY doc_id")
+def _(spark, sf):
+    return hits(searcher(spark, sf, "die", "das").search(B.Boolean(((B.SHOULD, B.Term("die")), (B.SHOULD, B.Term("das"))), coord=False)))
+
+
+@query("conjunction_join", VECTORS + f" SELECT doc_id, round(a.s + b.s, 6) AS score FROM {clause('die')} a JOIN {clause('das')} b USING (doc_id)")
+def _(spark, sf):
+    s = searcher(spark, sf, "die", "das")
+    return hits(B.conjunction(s.search(B.Term("die")), s.search(B.Term("das"))))
+
+
+@query("required_optional_join", VECTORS + f" SELECT doc_id, round(a.s + coalesce(b.s, 0), 6) AS score FROM {clause('die')} a LEFT JOIN {clause('das')} b USING (doc_id)")
+def _(spark, sf):
+    s = searcher(spark, sf, "die", "das")
+    return hits(B.required_optional(s.search(B.Term("die")), s.search(B.Term("das"))))
+
+
+@query("required_excluded_join", VECTORS + f" SELECT doc_id, round(s, 6) AS score FROM {clause('die')} WHERE doc_id NOT IN (SELECT doc_id FROM v WHERE term = 'das')")
+def _(spark, sf):
+    s = searcher(spark, sf, "die", "das")
+    return hits(B.required_excluded(s.search(B.Term("die")), s.search(B.Term("das"))))
+
+
+@query("disjunction_max", VECTORS + " SELECT doc_id, round(max(s) + (sum(s) - max(s)) * 0.1, 6) AS score FROM v WHERE term IN ('que', 'les') GROUP BY doc_id")
+def _(spark, sf):
+    return hits(searcher(spark, sf, "que", "les").search(B.DisMax((B.Term("que"), B.Term("les")), 0.1)))
+
+
+@query("match_all", "SELECT doc_id, 1.5::DOUBLE AS score FROM documents")
+def _(spark, sf):
+    return searcher(spark, sf, "x").search(B.MatchAll(boost=1.5))
+
+
+@query("constant_score", VECTORS + " SELECT doc_id, 2::DOUBLE AS score FROM v WHERE term = 'que'")
+def _(spark, sf):
+    return searcher(spark, sf, "que").search(B.ConstantScore(B.Term("que"), boost=2.0))
+
+
+@query("filtered_query", VECTORS + " SELECT doc_id, round(s, 6) AS score FROM v WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def _(spark, sf):
+    found = searcher(spark, sf, "the").search(B.Term("the"))
+    return hits(B.filtered(found, table(spark, sf, "labels").where("quality = 1")))
+
+
+@query("prefix_query", EVERY + " SELECT DISTINCT doc_id, 1::DOUBLE AS score FROM post WHERE starts_with(term, 'zuk')")
+def _(spark, sf):
+    return searcher(spark, sf).search(B.Prefix("zuk"))
+
+
+@query("wildcard_query", EVERY + " SELECT DISTINCT doc_id, 1::DOUBLE AS score FROM post WHERE term LIKE 't_e%d'")
+def _(spark, sf):
+    return searcher(spark, sf).search(B.Wildcard("t?e*d"))
+
+
+@query("range_query", EVERY + " SELECT DISTINCT doc_id, 1::DOUBLE AS score FROM post WHERE term > 'xa' AND term < 'zb'")
+def _(spark, sf):
+    return searcher(spark, sf).search(B.Range("xa", "zb", inclusive=False))
+
+
+@query("fuzzy_query", VECTORS + ", f AS (SELECT term, (1 - levenshtein(substring(term, 3), 'ering') / (2 + least(length(term) - 2, 5))::DOUBLE - 0.5) / 0.5 AS b FROM lex WHERE starts_with(term, 'th') AND 1 - levenshtein(substring(term, 3), 'ering') / (2 + least(length(term) - 2, 5))::DOUBLE > 0.5) SELECT doc_id, round(sum(s * b), 6) AS score FROM v JOIN f USING (term) GROUP BY doc_id")
+def _(spark, sf):
+    return hits(searcher(spark, sf).search(B.Fuzzy("thering", prefix=2)))
+
+
+# Filters and sets
+
+SETS = EVERY + ", a AS (SELECT doc_id FROM post WHERE term = 'the'), b AS (SELECT doc_id FROM post WHERE term = 'der')"
+
+
+def two_sets(spark, sf):
+    postings = searcher(spark, sf, "the", "der").indexes.postings
+    return postings.where("term = 'the'"), postings.where("term = 'der'")
+
+
+for _name, _f, _sql in (("and", sets.intersect, "FROM a INTERSECT SELECT doc_id FROM b"), ("or", sets.union, "FROM a UNION SELECT doc_id FROM b"), ("and_not", sets.minus, "FROM a EXCEPT SELECT doc_id FROM b"),
+                        ("xor", sets.xor, "FROM (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) GROUP BY doc_id HAVING count(*) = 1")):
+    query(f"set_{_name}", f"{SETS} SELECT doc_id {_sql}")(lambda spark, sf, f=_f: f(*two_sets(spark, sf)))
+
+
+@query("set_cardinalities", SETS + ", s AS (SELECT doc_id, doc_id IN (FROM a) AS x, doc_id IN (FROM b) AS y FROM documents) SELECT count(*) FILTER (x) AS a, count(*) FILTER (y) AS b, count(*) FILTER (x AND y) AS intersection, count(*) FILTER (x OR y) AS \"union\", count(*) FILTER (x AND NOT y) AS and_not, count(*) FILTER (x <> y) AS xor FROM s")
+def _(spark, sf):
+    return sets.cardinalities(*two_sets(spark, sf))
+
+
+@query("range_filter", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1995-03-01' AND o_orderdate < DATE '1995-03-08'")
+def _(spark, sf):
+    return table(spark, sf, "orders").where(sets.in_range(F.col("o_orderdate"), F.lit("1995-03-01").cast("date"), F.lit("1995-03-08").cast("date"), True, False)).select("o_orderkey", "o_orderdate")
+
+
+@query("stop_terms", EVERY + " SELECT term FROM lex, st WHERE df > 0.4 * n")
+def _(spark, sf):
+    split = I.analysed(documents(spark, sf))
+    return sets.stop_terms(I.lexicon_of(I.postings_of(split)), I.statistics(split), 0.4)
+
+
+# Phrases, spans, kernels
+
+WORDS = ("the", "of", "and", "in")
+POS = f"WITH {TOK}, {FLAT}, {DL}, p AS (SELECT term, doc_id, pos::INT AS pos FROM flat WHERE term IN ('the', 'of', 'and', 'in'))"
+
+
+def positions(spark, sf):
+    return searcher(spark, sf, *WORDS, positions=True).indexes.postings
+
+
+@query("phrase_exact", POS + " SELECT doc_id, count(*)::DOUBLE AS freq FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the' AND b.pos = a.pos + 1 GROUP BY doc_id")
+def _(spark, sf):
+    return spans.phrase_matches(positions(spark, sf), ["of", "the"]).where("freq > 0").select("doc_id", "freq")
+
+
+@query("phrase_sloppy", POS + ", m AS (SELECT a.doc_id, a.pos, min(abs(b.pos - 1 - a.pos)) AS d FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'and' AND abs(b.pos - 1 - a.pos) <= 4 GROUP BY ALL) SELECT doc_id, round(sum(1 / (d + 1.0)), 6)::DOUBLE AS freq FROM m GROUP BY doc_id")
+def _(spark, sf):
+    return spans.phrase_matches(positions(spark, sf), ["of", "and"], 4).where("freq > 0").select("doc_id", F.round("freq", 6).alias("freq"))
+
+
+@query("phrase_query", POS + f", {POST}, {LEX}, {ST}, m AS (SELECT doc_id, count(*)::DOUBLE AS f FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the' AND b.pos = a.pos + 1 GROUP BY doc_id), i AS (SELECT sum(ln(n / (df + 1)) + 1) AS idf FROM lex, st WHERE term IN ('of', 'the')) SELECT doc_id, round(sqrt(f) * idf * idf / sqrt(dl), 6) AS score FROM m JOIN dl USING (doc_id), i")
+def _(spark, sf):
+    return hits(searcher(spark, sf, "of", "the", positions=True).search(B.Phrase(("of", "the"))))
+
+
+@query("multi_phrase", POS + " SELECT a.doc_id, count(DISTINCT a.pos)::DOUBLE AS freq FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term IN ('of', 'in') AND b.term IN ('the', 'and') GROUP BY a.doc_id")
+def _(spark, sf):
+    return spans.multi_phrase(positions(spark, sf), [["of", "in"], ["the", "and"]])
+
+
+SPAN = 'SELECT doc_id, start::INT AS start, "end"::INT AS "end" '
+
+
+@query("span_first", POS + ' SELECT doc_id, pos AS start, pos + 1 AS "end" FROM p WHERE term = \'the\' AND pos + 1 <= 10')
+def _(spark, sf):
+    return spans.span_first(spans.spans_of(positions(spark, sf), "the"), 10)
+
+
+@query("span_or", POS + ' SELECT doc_id, pos AS start, pos + 1 AS "end" FROM p WHERE term IN (\'the\', \'of\')')
+def _(spark, sf):
+    p = positions(spark, sf)
+    return spans.span_or(spans.spans_of(p, "the"), spans.spans_of(p, "of"))
+
+
+@query("span_near_ordered", POS + ' SELECT a.doc_id, max(a.pos) AS start, b.pos + 1 AS "end" FROM p a JOIN p b USING (doc_id) WHERE a.term = \'of\' AND b.term = \'and\' AND b.pos > a.pos AND b.pos - a.pos - 1 <= 5 GROUP BY a.doc_id, b.pos')
+def _(spark, sf):
+    p = positions(spark, sf)
+    return spans.span_near([spans.spans_of(p, "of"), spans.spans_of(p, "and")], 5)
+
+
+@query("span_near_unordered", POS + ' SELECT DISTINCT a.doc_id, least(a.pos, b.pos) AS start, greatest(a.pos, b.pos) + 1 AS "end" FROM p a JOIN p b USING (doc_id) WHERE a.term = \'of\' AND b.term = \'and\' AND abs(b.pos - a.pos) - 1 <= 5')
+def _(spark, sf):
+    p = positions(spark, sf)
+    return spans.span_near([spans.spans_of(p, "of"), spans.spans_of(p, "and")], 5, ordered=False)
+
+
+@query("span_not", POS + ' SELECT doc_id, pos AS start, pos + 1 AS "end" FROM p a WHERE term = \'the\' AND NOT EXISTS (SELECT 1 FROM p x JOIN p y USING (doc_id) WHERE x.doc_id = a.doc_id AND x.term = \'of\' AND y.term = \'the\' AND y.pos > x.pos AND y.pos - x.pos - 1 <= 2 AND x.pos < a.pos + 1 AND y.pos + 1 > a.pos AND x.pos = (SELECT max(z.pos) FROM p z WHERE z.doc_id = y.doc_id AND z.term = \'of\' AND z.pos < y.pos))')
+def _(spark, sf):
+    p = positions(spark, sf)
+    return spans.span_not(spans.spans_of(p, "the"), spans.span_near([spans.spans_of(p, "of"), spans.spans_of(p, "the")], 2))
+
+
+@query("span_scores", POS + " SELECT doc_id, round(sum(1 / (l + 1.0)), 6)::DOUBLE AS freq FROM (SELECT a.doc_id, b.pos + 1 - max(a.pos) AS l FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'and' AND b.pos > a.pos AND b.pos - a.pos - 1 <= 5 GROUP BY a.doc_id, b.pos) GROUP BY doc_id")
+def _(spark, sf):
+    p = positions(spark, sf)
+    found = spans.span_scores(spans.span_near([spans.spans_of(p, "of"), spans.spans_of(p, "and")], 5))
+    return found.select("doc_id", F.round("freq", 6).alias("freq"))
+
+
+@query("proximity_kernels", POS + ", x AS (SELECT a.doc_id, abs(a.pos - b.pos)::DOUBLE AS d FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'and') SELECT doc_id, round(sum(CASE WHEN d > 0 THEN greatest(0, 10 - (d - 1)) ELSE 0 END), 6)::DOUBLE AS hal, round(sum(exp(-d * d / 50) / (5 * 2.5066282746310002)), 6) AS gaussian, min(d)::INT AS nearest FROM x GROUP BY doc_id")
+def _(spark, sf):
+    both = spans.gathered(positions(spark, sf), ["of", "and"])
+    a, b = F.col("p0"), F.col("p1")
+    return both.select("doc_id", F.round(spans.hal(a, b, 10), 6).alias("hal"), F.round(spans.gaussian(a, b, 5.0), 6).alias("gaussian"), spans.min_distance(a, b).alias("nearest"))
+
+
+@query("window_counts", POS + ", w AS (SELECT doc_id, unnest(range(greatest(dl - 8, 0)::BIGINT + 1)) AS w FROM dl) SELECT doc_id, count(*) AS windows FROM w WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = w.doc_id AND term = 'of' AND pos BETWEEN w AND w + 7) AND EXISTS (SELECT 1 FROM p WHERE p.doc_id = w.doc_id AND term = 'and' AND pos BETWEEN w AND w + 7) GROUP BY doc_id")
+def _(spark, sf):
+    both = spans.gathered(positions(spark, sf), ["of", "and"])
+    return both.select("doc_id", spans.windows_with_all([F.col("p0"), F.col("p1")], F.col("dl"), 8).alias("windows")).where("windows > 0")
+
+
+@query("payload_scores", POS + " SELECT doc_id, round(count(*) * 0.5, 6)::DOUBLE AS freq, round(avg(pos % 7), 6) AS payload FROM p WHERE term = 'in' GROUP BY doc_id")
+def _(spark, sf):
+    p = positions(spark, sf)
+    loads = p.where("term = 'in'").select("doc_id", F.explode("positions").alias("pos")).withColumn("payload", (F.col("pos") % 7).cast("double"))
+    found = spans.payload_scores(spans.spans_of(p, "in"), loads)
+    return found.select("doc_id", F.round("freq", 6).alias("freq"), F.round("payload", 6).alias("payload"))
+
+
+# Value sources and sorts
+
+
+@query("value_source_ordinals", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_type)::INT AS ord, dense_rank() OVER (ORDER BY p_type DESC)::INT AS reverse_ord FROM part")
+def _(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_type")
+    # ordinals over the distinct values, then a join: the window never sees the rows
+    values = part.select("p_type").distinct()
+    ordered = values.select("p_type", F.dense_rank().over(Window.orderBy("p_type")).alias("ord"), F.dense_rank().over(Window.orderBy(F.desc("p_type"))).alias("reverse_ord"))
+    return part.join(ordered, "p_type").select("p_partkey", "ord", "reverse_ord")
+
+
+@query("value_source_stats", "SELECT min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi, round(avg(l_quantity::DOUBLE), 6) AS mean FROM lineitem")
+def _(spark, sf):
+    q = F.col("l_quantity").cast("double")
+    return table(spark, sf, "lineitem").agg(F.min(q).alias("lo"), F.max(q).alias("hi"), F.round(F.avg(q), 6).alias("mean"))
+
+
+@query("custom_score", VECTORS + " SELECT doc_id, round(s * ln(2 + n_chars), 6) AS score FROM v JOIN documents USING (doc_id) WHERE term = 'the'")
+def _(spark, sf):
+    found = searcher(spark, sf, "the").search(B.Term("the"))
+    sizes = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return found.join(sizes, "doc_id").select("doc_id", F.round(F.col("score") * F.log(2 + F.col("n_chars")), 6).alias("score"))
+
+
+@query("sort_multi_key", "SELECT l_orderkey, l_linenumber, rank::INT AS rank FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_quantity DESC, l_shipdate, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 100")
+def _(spark, sf):
+    top = table(spark, sf, "lineitem").orderBy(F.desc("l_quantity"), "l_shipdate", "l_orderkey", "l_linenumber").limit(100)
+    rank = F.row_number().over(Window.orderBy(F.desc("l_quantity"), "l_shipdate", "l_orderkey", "l_linenumber"))
+    return top.select("l_orderkey", "l_linenumber", rank.alias("rank"))
+
+
+@query("sort_paging", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def _(spark, sf):
+    return table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).select("o_orderkey")
+
+
+# Evaluation, over BM25's run and the labels as judgements
+
+RUN = BASE + f", s AS (SELECT topic_id, doc_id, round(sum({bm25_sql('0.35')}), 6) AS score FROM rows GROUP BY ALL), run AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM s), run100 AS (SELECT * FROM run WHERE rank <= 100), qrels AS (SELECT topic_id, doc_id, quality AS grade FROM labels, (SELECT DISTINCT topic_id FROM q))"
+JUDGED = RUN + ", tot AS (SELECT topic_id, sum((grade <> 0)::INT) AS rel FROM qrels GROUP BY 1), j AS (SELECT topic_id, doc_id, rank, coalesce((grade <> 0)::INT, 0) AS hit, rel FROM run100 JOIN tot USING (topic_id) LEFT JOIN qrels USING (topic_id, doc_id)), f AS (SELECT *, sum(hit) OVER (PARTITION BY topic_id ORDER BY rank) AS found FROM j)"
+
+
+def run_and_qrels(spark, sf):
+    index, terms = index_and_terms(spark, sf)
+    run = ranked(R.score(index, terms, "BM25"), 100)
+    judgements = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("grade"))
+    return run, judgements.crossJoin(F.broadcast(R.topics_frame(spark, TOPICS).select("topic_id")))
+
+
+@query("evaluate_per_topic", JUDGED + " SELECT topic_id, round(sum(CASE WHEN hit = 1 THEN found / rank END) / max(rel), 6) AS ap, round(count(*) FILTER (hit = 1 AND rank <= rel) / max(rel), 6) AS r_precision, "
+       + ", ".join(f"round(count(*) FILTER (hit = 1 AND rank <= {k}) / {k}, 6) AS p_{k}" for k in E.CUTS) + ", " + ", ".join(f"round(coalesce(max(CASE WHEN hit = 1 AND found >= {k / 10} * rel THEN found / rank END), 0), 6) AS ip_{k * 10}" for k in range(11))
+       + ", round(coalesce(1 / min(CASE WHEN hit = 1 THEN rank END), 0), 6) AS rr, count(*) AS retrieved, max(rel)::BIGINT AS relevant, sum(hit)::BIGINT AS relevant_retrieved FROM f GROUP BY topic_id")
+def _(spark, sf):
+    out = E.per_topic(*run_and_qrels(spark, sf))
+    return out.select("topic_id", *(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes[1:]))
+
+
+@query("evaluate_summary", JUDGED + ", t AS (SELECT topic_id, sum(CASE WHEN hit = 1 THEN found / rank END) / max(rel) AS ap, count(*) FILTER (hit = 1 AND rank <= 10) / 10 AS p_10, count(*) AS n, max(rel) AS rel, sum(hit) AS hit FROM f GROUP BY topic_id) SELECT count(*) AS topics, round(avg(ap), 6) AS map, round(avg(p_10), 6) AS p_10, sum(n)::BIGINT AS retrieved, sum(rel)::BIGINT AS relevant, sum(hit)::BIGINT AS relevant_retrieved FROM t")
+def _(spark, sf):
+    out = E.summary(E.per_topic(*run_and_qrels(spark, sf)))
+    return out.select("topics", F.round("ap", 6).alias("map"), F.round("p_10", 6).alias("p_10"), "retrieved", "relevant", "relevant_retrieved")
+
+
+@query("evaluate_named_page", JUDGED + ", t AS (SELECT topic_id, min(CASE WHEN hit = 1 THEN rank END) AS r FROM f GROUP BY topic_id) SELECT round(avg(CASE WHEN r <= 50 THEN 1 / r ELSE 0 END), 6) AS mrr, count(*) FILTER (r <= 1) AS top_1, count(*) FILTER (r <= 5) AS top_5, count(*) FILTER (r <= 10) AS top_10, count(*) FILTER (r <= 20) AS top_20, count(*) FILTER (r <= 50) AS top_50 FROM t")
+def _(spark, sf):
+    return E.named_page(*run_and_qrels(spark, sf)).withColumn("mrr", F.round("mrr", 6))
+
+
+# Feedback and re-ranking
+
+FB_SQL = RUN + ", fb AS (SELECT topic_id, doc_id FROM run WHERE rank <= 10), fl AS (SELECT topic_id, sum(dl) AS l FROM fb JOIN dl USING (doc_id) GROUP BY 1), ft AS (SELECT topic_id, term, sum(tf) AS ftf, count(*) AS fdf FROM fb JOIN post USING (doc_id) GROUP BY ALL), g AS (SELECT ft.*, l, df, ctf, n, t, avdl FROM ft JOIN fl USING (topic_id) JOIN lex USING (term), st)"
+KL_SQL = f"(CASE WHEN ftf / l < ctf / t THEN 0 ELSE ftf / l * {lg('(ftf / l) / (ctf / t)')} END)"
+QE_SQL = {
+    "Bo1": f"ftf * {lg('(1 + ctf / n) / (ctf / n)')} + {lg('1 + ctf / n')}", "Bo2": f"ftf * {lg('(1 + ctf * l / t) / (ctf * l / t)')} + {lg('1 + ctf * l / t')}", "KL_plain": KL_SQL,
+    "KL": sq("(" + lg("1 + ftf") + " / " + lg("1 + ftf / fdf") + ")") + " * " + KL_SQL, "TFIDF": f"ftf * {lg('n / df')}", "Lemur_TFIDF": f"1.2 * ftf / (ftf + 1.2 * (1 - 0.75 + 0.75 * l / avdl)) * {lg('n / df')}",
+    "ModelBased": "(CASE WHEN (ftf / l - 0.5 * ctf / t) / 0.5 <= 0.001 THEN 0 ELSE (ftf / l - 0.5 * ctf / t) / 0.5 END)",
+}
+
+
+def best_sql(weights: str, k: int = 20, by: str = "max") -> str:
+    return f", w AS ({weights}), o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) AS p FROM w), b AS (SELECT topic_id, term, weight FROM o WHERE p <= {k}) SELECT topic_id, term, round(weight / {by}(weight) OVER (PARTITION BY topic_id), 6) AS weight FROM b"
+
+
+def whole_index(spark, sf):
+    split = I.analysed(documents(spark, sf))
+    postings = I.postings_of(split)
+    return I.Index(postings, I.lexicon_of(postings), I.statistics(split))
+
+
+def feedback_parts(spark, sf):
+    index, terms = whole_index(spark, sf), topics(spark)
+    run = ranked(R.score(index, terms, "BM25"), 100)
+    return index, terms, run, FB.pseudo(run, 10)
+
+
+def weights(found: DataFrame) -> DataFrame:
+    return found.withColumn("weight", F.round("weight", 6))
+
+
+for _name, _sql in QE_SQL.items():
+    def _run(spark, sf, name=_name):
+        index, _, _, fb = feedback_parts(spark, sf)
+        return weights(FB.select_pooled(fb, index, name, 20))
+
+    query(f"feedback_{_name.lower()}", FB_SQL + best_sql(f"SELECT topic_id, term, {_sql} AS weight FROM g WHERE fdf >= 2"))(_run)
+
+
+@query("feedback_rocchio", FB_SQL + best_sql(f"SELECT topic_id, term, sum({lg('(1 + ctf / n) / (ctf / n)')} * tf + {lg('1 + ctf / n')}) / 10 AS weight FROM fb JOIN post USING (doc_id) JOIN lex USING (term), st GROUP BY topic_id, term"))
+def _(spark, sf):
+    index, _, _, fb = feedback_parts(spark, sf)
+    return weights(FB.select_rocchio(fb, index, "Bo1", 20))
+
+
+RM3_SQL = FB_SQL + """, c AS (SELECT fb.topic_id, fb.doc_id, q.qtf, coalesce(p.tf, 0) AS tf, d.dl, l.ctf, st.t FROM fb JOIN q USING (topic_id) JOIN dl d USING (doc_id) JOIN lex l USING (term) LEFT JOIN post p ON p.term = q.term AND p.doc_id = fb.doc_id, st),
+ ll AS (SELECT topic_id, doc_id, sum(qtf * ln((tf + 500 * ctf / t) / (dl + 500))) AS ll FROM c GROUP BY ALL), e AS (SELECT topic_id, doc_id, exp(ll - max(ll) OVER (PARTITION BY topic_id)) AS e FROM ll), lw AS (SELECT topic_id, doc_id, e / sum(e) OVER (PARTITION BY topic_id) AS w FROM e)"""
+
+
+@query("feedback_rm3", RM3_SQL + best_sql("SELECT topic_id, term, sum(lw.w * (tf + 500 * ctf / t) / (dl + 500)) AS weight FROM lw JOIN post USING (doc_id) JOIN dl USING (doc_id) JOIN lex USING (term), st GROUP BY topic_id, term HAVING count(*) >= 2", 20, "sum"))
+def _(spark, sf):
+    index, terms, _, fb = feedback_parts(spark, sf)
+    return weights(FB.select_rm3(fb, index, terms, 20))
+
+
+@query("feedback_divergence", FB_SQL + ", k2 AS (SELECT topic_id, term FROM ft WHERE fdf >= 2), c AS (SELECT k2.topic_id, k2.term, coalesce(p.tf, 0) AS tf, d.dl, l.ctf, st.t FROM k2 JOIN fb USING (topic_id) JOIN dl d USING (doc_id) JOIN lex l USING (term) LEFT JOIN post p ON p.term = k2.term AND p.doc_id = fb.doc_id, st)"
+       + best_sql("SELECT topic_id, term, exp((sum(ln((tf + 500 * ctf / t) / (dl + 500))) / 10 - 0.5 * ln(max(ctf / t))) / 0.5) AS weight FROM c GROUP BY topic_id, term", 20, "sum"))
+def _(spark, sf):
+    index, _, _, fb = feedback_parts(spark, sf)
+    return weights(FB.select_divergence(fb, index, 20))
+
+
+@query("feedback_lca", FB_SQL + ", own AS (SELECT topic_id, doc_id, term AS qt, tf AS qf FROM fb JOIN post USING (doc_id) JOIN q USING (topic_id, term)), co AS (SELECT fb.topic_id, post.term, qt, sum(tf * qf) AS co FROM fb JOIN post USING (doc_id) JOIN own ON own.topic_id = fb.topic_id AND own.doc_id = fb.doc_id GROUP BY ALL), qn AS (SELECT topic_id, count(*) AS nq FROM q GROUP BY 1)"
+       + best_sql(f"SELECT topic_id, term, exp(sum(ln(0.01 + sqrt(abs({lg('n / df')})) * log10(1 + co) / log10(10))) + (max(nq) - count(*)) * ln(0.01)) AS weight FROM co JOIN lex USING (term) JOIN qn USING (topic_id), st GROUP BY topic_id, term"))
+def _(spark, sf):
+    index, terms, _, fb = feedback_parts(spark, sf)
+    return weights(FB.select_lca(fb, index, terms, 20))
+
+
+EXPANDED = FB_SQL + f", w AS (SELECT topic_id, term, {QE_SQL['Bo1']} AS weight FROM g WHERE fdf >= 2), o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) AS p FROM w), b AS (SELECT topic_id, term, weight / max(weight) OVER (PARTITION BY topic_id) AS weight FROM (SELECT * FROM o WHERE p <= 20)), mixed AS (SELECT topic_id, term, sum(x) AS qtf FROM (SELECT topic_id, term, qtf / max(qtf) OVER (PARTITION BY topic_id) AS x FROM q UNION ALL SELECT topic_id, term, weight FROM b) GROUP BY ALL)"
+
+
+@query("expansion_search", EXPANDED + f", rows2 AS (SELECT m.topic_id, m.term, m.qtf, p.doc_id, p.tf, d.dl, l.df, st.n, st.avdl FROM mixed m JOIN post p USING (term) JOIN dl d USING (doc_id) JOIN lex l USING (term), st), s2 AS (SELECT topic_id, doc_id, round(sum({bm25_sql('0.35')}), 6) AS score FROM rows2 GROUP BY ALL), k2 AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM s2) SELECT topic_id, doc_id, rank::INT AS rank, score FROM k2 WHERE rank <= 50")
+def _(spark, sf):
+    index, terms, _, fb = feedback_parts(spark, sf)
+    expanded = FB.expand_add(terms, FB.select_pooled(fb, index, "Bo1", 20))
+    return ranked(R.score(index, expanded, "BM25"))
+
+
+@query("expansion_interpolate", RM3_SQL + ", w AS (SELECT topic_id, term, sum(lw.w * (tf + 500 * ctf / t) / (dl + 500)) AS weight FROM lw JOIN post USING (doc_id) JOIN dl USING (doc_id) JOIN lex USING (term), st GROUP BY topic_id, term HAVING count(*) >= 2), o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) AS p FROM w), b AS (SELECT topic_id, term, weight / sum(weight) OVER (PARTITION BY topic_id) AS weight FROM o WHERE p <= 20), m AS (SELECT topic_id, term, sum(x) AS x FROM (SELECT topic_id, term, 0.5 * qtf / sum(qtf) OVER (PARTITION BY topic_id) AS x FROM q UNION ALL SELECT topic_id, term, 0.5 * weight FROM b) GROUP BY ALL) SELECT topic_id, term, round(x / sum(x) OVER (PARTITION BY topic_id), 6) AS qtf FROM m")
+def _(spark, sf):
+    index, terms, _, fb = feedback_parts(spark, sf)
+    return FB.expand_interpolate(terms, FB.select_rm3(fb, index, terms, 20)).select("topic_id", "term", F.round("qtf", 6).alias("qtf"))
+
+
+@query("rerank_expansion", EXPANDED + f", rows2 AS (SELECT m.topic_id, m.term, m.qtf, p.doc_id, p.tf, d.dl, l.df, st.n, st.avdl FROM mixed m JOIN post p USING (term) JOIN dl d USING (doc_id) JOIN lex l USING (term), st) SELECT topic_id, doc_id, round(sum({bm25_sql('0.35')}), 6) AS score FROM rows2 JOIN (SELECT topic_id, doc_id FROM run100) USING (topic_id, doc_id) GROUP BY ALL")
+def _(spark, sf):
+    index, terms, run, fb = feedback_parts(spark, sf)
+    expanded = FB.expand_add(terms, FB.select_pooled(fb, index, "Bo1", 20))
+    return FB.rerank_with(run, R.score(index, expanded, "BM25")).select("topic_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("rerank_mitra", RUN + f", d AS (SELECT topic_id, doc_id FROM run100), x AS (SELECT topic_id, doc_id, term, {lg('n / df')} AS idf FROM d JOIN post USING (doc_id) JOIN q USING (topic_id, term) JOIN lex USING (term), st), c AS (SELECT topic_id, term, count(*) AS n FROM x GROUP BY ALL), pr AS (SELECT a.topic_id, a.term, b.term AS other, count(*) AS k FROM x a JOIN x b ON a.topic_id = b.topic_id AND a.doc_id = b.doc_id AND a.term <> b.term GROUP BY ALL), cp AS (SELECT pr.topic_id, pr.term, other, k / c.n AS p FROM pr JOIN c ON c.topic_id = pr.topic_id AND c.term = other), worst AS (SELECT a.topic_id, a.doc_id, a.term, max(p) AS p FROM x a JOIN x b ON a.topic_id = b.topic_id AND a.doc_id = b.doc_id AND (b.idf > a.idf OR b.idf = a.idf AND b.term < a.term) JOIN cp ON cp.topic_id = a.topic_id AND cp.term = a.term AND cp.other = b.term GROUP BY ALL) SELECT topic_id, doc_id, round(sum(idf * (1 - coalesce(p, 0))), 6) AS score FROM x LEFT JOIN worst USING (topic_id, doc_id, term) GROUP BY ALL")
+def _(spark, sf):
+    index, terms, run, _ = feedback_parts(spark, sf)
+    return FB.mitra(run, index, terms).withColumn("score", F.round("score", 6))
+
+
+@query("rerank_features", RUN + f", w AS (SELECT topic_id, term, {lg('n / df')} AS idf FROM q JOIN lex USING (term), st), tot AS (SELECT topic_id, count(*) AS n, sum(idf) AS total FROM w GROUP BY 1) SELECT r.topic_id, r.doc_id, max(r.score) AS score, round(abs(max(avdl) - max(dl)), 6) AS length_gap, round(count(*) / max(tot.n), 6) AS share, round(sum(idf) / max(total), 6) AS idf_share FROM run100 r JOIN post USING (doc_id) JOIN w ON w.term = post.term AND w.topic_id = r.topic_id JOIN tot ON tot.topic_id = r.topic_id JOIN dl USING (doc_id), st GROUP BY ALL")
+def _(spark, sf):
+    index, terms, run, _ = feedback_parts(spark, sf)
+    found = FB.features(run, index, terms)
+    return found.select("topic_id", "doc_id", "score", *(F.round(c, 6).alias(c) for c in ("length_gap", "share", "idf_share")))
+
+
+@query("feedback_true_documents", RUN + ", known AS (SELECT r.topic_id, r.doc_id, r.rank, r.score FROM run100 r JOIN qrels USING (topic_id, doc_id) WHERE grade <> 0), k AS (SELECT topic_id, doc_id, score, row_number() OVER (PARTITION BY topic_id ORDER BY rank) AS rank FROM known) SELECT topic_id, doc_id, rank::INT AS rank, score FROM k WHERE rank <= 5")
+def _(spark, sf):
+    run, judgements = run_and_qrels(spark, sf)
+    return FB.judged_first(run, judgements, 5).select("topic_id", "doc_id", "rank", "score")
+
+
+@query("run_residual", RUN + ", k AS (SELECT topic_id, doc_id, score, row_number() OVER (PARTITION BY topic_id ORDER BY rank) AS rank FROM run100 r WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = r.doc_id)) SELECT topic_id, doc_id, rank::INT AS rank, score FROM k")
+def _(spark, sf):
+    run, judgements = run_and_qrels(spark, sf)
+    return FB.residual(run, judgements).select("topic_id", "doc_id", "rank", "score")
+
+
+@query("host_dedup", "WITH r AS (SELECT 'p' AS topic_id, page_id, length(html)::DOUBLE AS score, regexp_extract(url, '://([^/:?#]+)', 1) AS host, row_number() OVER (ORDER BY length(html) DESC, page_id) AS rank FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY rank) AS place FROM r) SELECT topic_id, page_id AS doc_id, score, (row_number() OVER (ORDER BY rank))::INT AS rank FROM k WHERE place <= 5")
+def _(spark, sf):
+    pages = table(spark, sf, "pages").withColumnRenamed("page_id", "doc_id")
+    run = R.top_k(pages.select(F.lit("p").alias("topic_id"), "doc_id", F.length("html").cast("double").alias("score")), 1 << 30)
+    return FB.host_dedup(run, pages.select("doc_id", "url"))
+
+
+@query("no_future_evidence", "SELECT event_id, u.user_id FROM events e JOIN (SELECT user_id, max(ts) - INTERVAL 1 DAY AS t FROM events GROUP BY 1) u USING (user_id) WHERE e.ts <= u.t")
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    limits = events.groupBy("user_id").agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("t"))
+    return events.join(limits, "user_id").where("ts <= t").select("event_id", "user_id")
