@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text gets a blank in front, and is cut into units: blanks and what follows up to the next blank or line
-feed, or a line feed.  No piece reaches over such a border, so the best segmentation of a text is that of its units.
+A text gets a blank in front, and is cut into units: blanks with the letters, or with the other characters, that follow,
+and line feeds.  No piece of the vocabulary reaches over such a border (this is checked), so the best segmentation
+of a text is that of its units.
 Each distinct unit is encoded once, in DataFrame operations only: all its substrings of up to the longest piece's
 length are exploded, joined with the piece table on the piece, grouped by unit as edges of a lattice, and folded
 by a Viterbi pass over the edges (higher-order ``aggregate``): the path with the largest sum of piece
@@ -22,12 +23,12 @@ repeated rows are encoded one by one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ MAX_UNIT, TABLE, COUNTED = 64, 1 << 22, 1 << 19
 #: Score of a byte piece that stands for a part of a character without piece.
 BYTE_SCORE = -1e6
 
-_UNIT = re.compile(r" *[^ \n]+| +|\n")
+_UNIT = regex.compile(r" *[\p{L}\p{M}]+| *[^ \n\p{L}\p{M}]+| +|\n")
 
 
 def units(text: str) -> list[str]:
@@ -130,25 +131,43 @@ def encoded_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return counts, scratch(lattice(spread, pieces), "encoded-units")
 
 
+def packed(pieces: Pieces):
+    """Encoded units as blobs (hashes, sizes, ids) of many units each."""
+    kind = np.uint16 if len(pieces.text) < 1 << 16 else np.int32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            hashes, sizes, ids = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            return pa.RecordBatch.from_arrays([pa.array([hashes.tobytes()], pa.binary()), pa.array([sizes.astype(np.uint16).tobytes()], pa.binary()), pa.array([ids.astype(kind).tobytes()], pa.binary())], names=["hashes", "sizes", "ids"])
+
+        for batch in batches:
+            if batch.num_rows:
+                parts.append((hash_units(batch.column("unit").to_pylist()), *expand(batch.column("ids"), pieces)))
+            if len(parts) >= 256:
+                yield flush()
+                parts = []
+        if parts:
+            yield flush()
+
+    return run
+
+
 class Table:
     """Encoded units as packed arrays: sorted hashes, offsets, ids."""
 
-    def __init__(self, batches: list[pa.RecordBatch], pieces: Pieces) -> None:
-        hashes, sizes, ids = [], [], []
-        for batch in batches:
-            hashes.append(hash_units(batch.column("unit").to_pylist()))
-            size, flat = expand(batch.column("ids"), pieces)
-            sizes.append(size)
-            ids.append(flat)
-        hashed = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        size = np.concatenate([np.zeros(0, np.int64), *sizes])
-        flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.uint16 if len(pieces.text) < 1 << 16 else np.int32)
-        begin = np.cumsum(size) - size
-        order = np.argsort(hashed)
-        self.hashes, size, begin = hashed[order], size[order], begin[order]
-        self.ends = np.cumsum(size)
-        self.ids = flat[np.repeat(begin - (self.ends - size), size) + np.arange(len(flat))]
-        self.sizes = size.astype(np.uint16)
+    def __init__(self, encoded: DataFrame, pieces: Pieces) -> None:
+        kind = np.uint16 if len(pieces.text) < 1 << 16 else np.int32
+        rows = encoded.select("unit", "ids").mapInArrow(packed(pieces), "hashes binary, sizes binary, ids binary").toArrow()
+        join = lambda name, of: np.concatenate([np.zeros(0, of), *(np.frombuffer(b.as_buffer(), of) for b in rows[name])])
+        hashes, size, flat = join("hashes", np.uint64), join("sizes", np.uint16), join("ids", kind)
+        del rows
+        begin = np.cumsum(size, dtype=np.int32) - size
+        order = np.argsort(hashes)
+        self.hashes, self.sizes = hashes[order], size[order]
+        # ids stay in place; an entry knows where its own begin
+        self.begins, self.ids = begin[order].astype(np.int32), flat
 
     def find(self, found: list[str]) -> np.ndarray:
         """Places in the table, -1 for units that aren't there."""
@@ -160,7 +179,7 @@ class Table:
     def gather(self, at: np.ndarray) -> np.ndarray:
         size = self.sizes[at].astype(np.int64)
         ends = np.cumsum(size)
-        return self.ids[np.repeat(self.ends[at] - ends, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return self.ids[np.repeat(self.begins[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def hash_units(found: list[str]) -> np.ndarray:
@@ -191,7 +210,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         least = counts.orderBy(F.desc("n"), "unit").select("unit", "n").offset(table - 1).limit(1).first()
         often = counts.where((F.col("n") > least["n"]) | ((F.col("n") == least["n"]) & (F.col("unit") <= least["unit"]))).select("unit")
         chosen, rest = encoded.join(often, "unit", "left_semi"), encoded.join(often, "unit", "left_anti")
-    shared = spark.sparkContext.broadcast((Table(chosen.toArrow().to_batches(), pieces), pieces))  # ``table`` units at most
+    shared = spark.sparkContext.broadcast((Table(chosen, pieces), pieces))  # ``table`` units at most
     kind = "_id long, ids binary, n_pieces long, decoded string"
 
     def result(doc: list, ids: list[np.ndarray]) -> pa.RecordBatch:
