@@ -3,22 +3,22 @@
 A document is the set of its distinct 5-word shingles, each a 64-bit hash.  Two documents link when
 100 * intersection >= 75 * union.  The steps:
 
-0. Words are counted over all documents.  Those that make up 1 / 2^15 of all words are the common words, and a
-   shingle of common words only is taken for a frequent token from the start: such shingles meet by chance.
 1. One pass gives every document its set's signature.  Documents with the same set are one class, and only
-   classes are joined.  The same pass counts tokens: every task adds up its own repeats, and the tasks'
-   counts are added by token.  The tokens with the largest counts, ``MAX_FREQUENT`` at most, are the
-   frequent class; all others are rare.  The split decides the order of tokens only, never the result.
-2. Order a set's tokens: rare ones by hash, then frequent ones by count and hash.  A set of n tokens can
-   miss e = n - ceil(0.75 n) tokens of a partner.  If it has e + 1 rare tokens, those are its prefix, and
-   each is indexed alone.  If not, the prefix is extended into the frequent tokens, which are split into
-   groups by hash and indexed as pairs within a group.  A group with c prefix tokens can only lose all its
-   pairs when c - 1 of them are missing, so the prefix grows until rare + sum(c - 1) > e: two sets that
-   link then share a rare token or a pair.  The number of groups follows the size of the set, and so the
-   number of pairs is linear in it; a set is indexed under all group counts that a smaller partner may use.
+   classes are joined.  Order a set's tokens by hash: a set of n tokens can miss e = n - ceil(0.75 n) tokens of a
+   partner, so of its first e + l tokens (l = n / 12) l are in the partner too.  These are posted, and a
+   class with fewer than l' tokens that any other class has posted, too, links with nothing and is done (l' is
+   the l of its smallest partner).  The rest, the survivors, are read again.
+2. The survivors' tokens are counted, and each survivor orders its own by count, then hash.  Tokens of
+   ``FREQUENT`` survivors and more are the frequent class, the others are rare.  If a set has e + 1 rare tokens,
+   the first e + 1 are its prefix, and each is indexed alone.  If not, the prefix is extended into the
+   frequent tokens, which are split into groups by hash and indexed as pairs within a group.  A group with c
+   prefix tokens can only lose all its pairs when c - 1 of them are missing, so the prefix grows until
+   rare + sum(c - 1) > e: two sets that link then share a rare token or a pair.  The number of groups
+   follows the size of the set, and so the number of pairs is linear in it; a set is indexed under all
+   group counts that a smaller partner may use.
 3. Classes under one key are chained in order of size where the sizes allow a link, which keeps them
    connected with one edge for each class, never all pairs.  The components of these edges hold all links.
-4. The sets of a component's classes are read again and verified exactly, in blocks: a component of many
+4. The sets of a component's classes are verified exactly, in blocks: a component of many
    tokens is cut into blocks, and each pair of blocks is one task.  A pair that is known to be
    connected needn't be counted again; all others are.
 5. The components of the verified links are the result.
@@ -34,23 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, scratch, tune
 from .components import UnionFind, components, forest
-from .kernels import PLACE, bitmap, member, mix, shingle_sets, word_hashes
+from .kernels import PLACE, mix, shingle_sets
 
 #: Words in a shingle, and the similarity NUM / DEN.
 SHINGLE, NUM, DEN = 5, 75, 100
-#: Frequent tokens are kept apart from this count on, as many as this at most (8 MB).
-LEAST_COUNT, MAX_FREQUENT = 16, 1 << 20
-#: Tokens that a task counts at a time.
-COUNTED = 1 << 22
+#: Survivors that have a frequent token, at least.
+FREQUENT = 16
+#: Rows of a table that may be broadcast (about 48 bytes each); a larger one is joined by shuffle.
+SMALL = 1 << 20
 #: Tokens of the sets in one block of a verification.
 BLOCK_TOKENS = 1 << 22
-#: Share of all words from which on a word is common; there are COMMON such words at most.
-COMMON = 1 << 15
 #: Index entries that a task holds before it sends them.
 POSTED = 1 << 22
 
@@ -75,156 +74,215 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return (a >> 14 << 14 | size) - (1 << 63), b - (1 << 63)
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 0: blobs of word counts, COMMON words for each COUNTED words at most; the last row of a buffer has its total."""
-    held: list[np.ndarray] = []
-    size = 0
+def spare(n: int) -> int:
+    """Tokens beyond the ones that may be missing that a set of n posts."""
+    return max(1, n // 12)
 
-    def flush() -> pa.RecordBatch:
-        words = np.sort(np.concatenate(held))
-        cut = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(cut, len(words)))
-        keep = counts * COMMON >= len(words)
-        return pa.RecordBatch.from_arrays([pa.array(words[cut[keep]].view(np.int64)), pa.array(counts[keep].astype(np.int64)), pa.array(np.where(np.arange(keep.sum()) == 0, len(words), 0))], names=["word", "n", "total"])
 
-    for batch in batches:
-        words = word_hashes(binaries(batch.column("_text")))[0]
-        held.append(words)
-        size += len(words)
-        if size > COUNTED:
-            yield flush()
-            held, size = [], 0
-    if size:
-        yield flush()
+def describe(k: int):
+    """A row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(binaries(batch.column("_text")), k)
+            signs = [signature(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), *(pa.array([s[j] for s in signs], pa.int64()) for j in (0, 1)), pa.array([len(s) for s in sets], pa.int64())],
+                                             names=["_id", "_key", "sid", "sid2", "n"])
+
+    return run
+
+
+def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """By bits 31 to 62 of the token; bits 0 to 39 travel."""
+    return ((tokens >> np.uint64(31) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def deal(buckets: int, of: np.ndarray, columns: list[np.ndarray], of_more: np.ndarray, more: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """Blobs by bucket, each with two tables of columns."""
+    order, order_more = np.argsort(of, kind="stable"), np.argsort(of_more, kind="stable")
+    cut, cut_more = np.searchsorted(of[order], np.arange(buckets + 1)), np.searchsorted(of_more[order_more], np.arange(buckets + 1))
+    columns, more = [c[order] for c in columns], [c[order_more] for c in more]
+    at, blobs = [], []
+    for b in range(buckets):
+        n, m = int(cut[b + 1] - cut[b]), int(cut_more[b + 1] - cut_more[b])
+        if n or m:
+            parts = [c[cut[b] : cut[b + 1]].tobytes() for c in columns] + [c[cut_more[b] : cut_more[b + 1]].tobytes() for c in more]
+            at.append(b)
+            blobs.append(b"".join([n.to_bytes(4, "little"), m.to_bytes(4, "little"), *parts]))
+    return at, blobs
+
 
+def gather(blobs: list[bytes], kinds: list[str], kinds_more: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The two tables of many blobs."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in [*kinds, *kinds_more]]
+    for blob in blobs:
+        n, m = (int.from_bytes(blob[k : k + 4], "little") for k in (0, 4))
+        at = 8
+        for column, (kind, size) in enumerate([*((k, n) for k in kinds), *((k, m) for k in kinds_more)]):
+            found[column].append(np.frombuffer(blob, kind, size, at))
+            at += size * np.dtype(kind).itemsize
+    columns = [np.concatenate(f) for f in found]
+    return columns[: len(kinds)], columns[len(kinds) :]
 
-def common_words(rows: DataFrame) -> np.ndarray:
-    counts = scratch(rows.select("_text").mapInArrow(count_words, "word long, n long, total long"), "word-counts")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    found = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= total).select("word").collect()  # COMMON words at most
-    drop_scratch(counts)
-    return np.sort(np.array([r["word"] for r in found], np.int64).view(np.uint64))
 
+def travelling(tokens: np.ndarray) -> list[np.ndarray]:
+    return [(tokens >> np.uint64(8)).astype(np.uint32), tokens.astype(np.uint8)]
 
-def describe(k: int, num: int, den: int, buckets: int, words):
-    """Pass 1: a row for each document, and blobs of token counts by bucket."""
+
+def arrived(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(8) | low
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the runs of equal values."""
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(values)))
+
+
+def announce(k: int, num: int, den: int, buckets: int):
+    """Step 1: blobs of (token, signature) by bucket of the token; tokens that repeat in the buffer are settled here and sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
+        sids: list[np.ndarray] = []
         size, seen = 0, set()
-        names = ["_id", "_key", "sid", "sid2", "n", "bucket", "blob"]
 
-        def flush() -> pa.RecordBatch | None:
-            tokens = np.sort(np.concatenate(held))
-            cut = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-            counts = np.diff(np.append(cut, len(tokens)))
-            many = counts > 1
-            return count_blobs(tokens[cut[many]], counts[many], buckets, names)
+        def flush() -> pa.RecordBatch:
+            token, sid = np.concatenate(tokens), np.concatenate(sids)
+            order = np.argsort(token)
+            token, sid = token[order], sid[order]
+            begin, counts = runs(token)
+            again = np.repeat(counts > 1, counts)
+            hit, hits = np.unique(sid[again], return_counts=True)
+            sid[begin[counts > 1]] = 0  # stands for all of them
+            keep = ~again
+            keep[begin] = True
+            token, sid = token[keep], sid[keep]
+            at, blobs = deal(buckets, bucket_of(token, buckets), [*travelling(token), sid], hit % buckets, [hit, hits.astype(np.uint32)])
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            sets = shingle_sets(binaries(batch.column("_text")), k, words.value)
-            signs = [signature(s) if len(s) else (None, None) for s in sets]
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), sizes,
-                                              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-            for s, sign in zip(sets, signs, strict=True):
-                if len(s) > 2 and sign not in seen:
-                    seen.add(sign)
-                    held.append(s)
-                    size += len(s)
-            if size > COUNTED:
+            for s in shingle_sets(binaries(batch.column("_text")), k):
+                n = len(s)
+                if n > 2 and (sid := signature(s)[0]) not in seen:
+                    seen.add(sid)
+                    tokens.append(s[: n - needed(n, num, den) + spare(n)])
+                    sids.append(np.full(len(tokens[-1]), sid, np.int64))
+                    size += len(tokens[-1])
+            if size > POSTED:
                 yield flush()
-                held, size, seen = [], 0, set()
-        if held:
+                tokens, sids, size, seen = [], [], 0, set()
+        if size:
             yield flush()
 
     return run
 
 
-def count_blobs(tokens: np.ndarray, counts: np.ndarray, buckets: int, names: list[str]) -> pa.RecordBatch:
-    """Sorted tokens and their counts, cut into blobs by the upper bits."""
-    of = bucket_of(tokens << np.uint64(1), buckets)  # the upper bit isn't hashed
-    order = np.argsort(of, kind="stable")
-    tokens, counts, of = tokens[order], counts[order], of[order]
-    cut = np.searchsorted(of, np.arange(buckets + 1))
-    at = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    blobs = [tokens[cut[b] : cut[b + 1]].tobytes() + counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in at]
-    longs = [pa.nulls(len(at), pa.int64())] * (len(names) - 2)
-    return pa.RecordBatch.from_arrays([*longs, pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+def count_hits(buckets: int):
+    """How many tokens of a bucket each class shares with another, as blobs by bucket of the class."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
+        (high, low, sid), (more, hits) = gather(blobs, ["u4", "u1", "i8"], ["i8", "u4"])
+        del blobs
+        token = arrived(high, low)
+        order = np.argsort(token)
+        token, sid = token[order], sid[order]
+        counts = runs(token)[1]
+        found = sid[np.repeat(counts > 1, counts)]
+        found, n = np.unique(found[found != 0], return_counts=True)
+        found, n = np.concatenate([found, more]), np.concatenate([n.astype(np.uint32), hits])
+        at, out = deal(buckets, found % buckets, [found, n], np.zeros(0, np.int64), [])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
 
-def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Monotone in the token."""
-    return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return run
 
 
-def add_counts(least: int):
-    """Adds the tasks' counts of a bucket; rows (size class of the count, blob of tokens and counts)."""
+def add_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, hits) of a bucket's classes."""
+    blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
+    (sid, n), _ = gather(blobs, ["i8", "u4"], [])
+    order = np.argsort(sid, kind="stable")
+    sid, n = sid[order], n[order].astype(np.int64)
+    begin = runs(sid)[0]
+    if len(begin):
+        sid, n = sid[begin], np.add.reduceat(n, begin)
+    for lo in range(0, len(sid), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(sid[lo : lo + (1 << 17)]), pa.array(n[lo : lo + (1 << 17)])], names=["sid", "hits"])
+
+
+def ask_counts(buckets: int):
+    """Step 2: blobs of (token, class, place in its set) by bucket; tokens that are frequent in the buffer alone are settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[bytes] = []
-
-        def fold() -> None:
-            nonlocal tokens, counts, held
-            n = [len(b) // 12 for b in held]
-            t = np.concatenate([tokens, *(np.frombuffer(b, np.uint64, k) for b, k in zip(held, n, strict=True))])
-            c = np.concatenate([counts, *(np.frombuffer(b, np.uint32, offset=8 * k) for b, k in zip(held, n, strict=True))]).astype(np.int64)
-            order = np.argsort(t, kind="stable")
-            t, c = t[order], c[order]
-            cut = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-            tokens, counts, held = t[cut], np.add.reduceat(c, cut) if len(cut) else c, []
+        held: list[np.ndarray] = []
+        cids: list[int] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            token, sizes = np.concatenate(held), np.array([len(h) for h in held])
+            cid = np.repeat(np.array(cids, np.int64), sizes)
+            place = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
+            order = np.argsort(token, kind="stable")
+            begin, counts = runs(token[order])
+            often = np.zeros(len(token), bool)
+            often[order] = np.repeat(counts >= FREQUENT, counts)
+            first = order[begin[counts >= FREQUENT]]
+            # the first of them goes along with a place that says so
+            told = np.full(len(first), 0xFFFFFFFF, np.uint32)
+            send = np.flatnonzero(~often)
+            token_ = np.concatenate([token[send], token[first]])
+            at, blobs = deal(buckets, bucket_of(token_, buckets), [*travelling(token_), np.concatenate([cid[send], cid[first]]), np.concatenate([place[send], told])], cid[often] % buckets, [cid[often], place[often]])
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            held += [b for b in batch.column("blob").to_pylist() if b]
-            if sum(map(len, held)) > 1 << 26:
-                fold()
-        fold()
-        keep = counts >= least
-        tokens, counts = tokens[keep], counts[keep]
-        level = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
-        levels = np.unique(level)
-        yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int64()), pa.array([int((level == x).sum()) for x in levels], pa.int64()),
-                                          pa.array([tokens[level == x].tobytes() for x in levels], pa.binary())], names=["level", "n", "blob"])
+            for cid, blob in zip(batch.column("cid").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                held.append(np.frombuffer(blob, np.uint64))
+                cids.append(cid)
+                size += len(held[-1])
+            if size > POSTED:
+                yield flush()
+                held, cids, size = [], [], 0
+        if size:
+            yield flush()
 
     return run
 
 
-def frequent_tokens(pass1: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted frequent tokens and the level of each; the levels with the largest counts that fit MAX_FREQUENT."""
-    blobs = pass1.where("blob IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket")
-    levels = scratch(blobs.mapInArrow(add_counts(LEAST_COUNT), "level long, n long, blob binary"), "token-counts")
-    sizes = sorted(((r["level"], r["n"]) for r in levels.groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True)  # 64 rows at most
-    taken, total = [], 0
-    for level, n in sizes:
-        if total + n > MAX_FREQUENT:
-            break
-        taken.append(level)
-        total += n
-    rows = levels.where(F.col("level").isin(taken)).select("level", "blob").collect() if taken else []  # 8 MB at most
-    drop_scratch(levels)
-    tokens = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["blob"], np.uint64) for r in rows)])
-    of = np.concatenate([np.zeros(0, np.uint8), *(np.full(len(r["blob"]) // 8, r["level"], np.uint8) for r in rows)])
-    order = np.argsort(tokens)
-    return tokens[order], of[order]
-
-
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, levels: np.ndarray, bits: np.ndarray, bounds: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The index keys of a sorted set."""
+def answer_counts(buckets: int):
+    """Blobs of (class, place, count) by bucket of the class, for tokens with a count of two or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
+        (high, low, cid, place), (more, more_place) = gather(blobs, ["u4", "u1", "i8", "u4"], ["i8", "u4"])
+        del blobs
+        token = arrived(high, low)
+        order = np.argsort(token)
+        counts = runs(token[order])[1]
+        known = np.maximum.reduceat((place[order] == 0xFFFFFFFF).astype(np.uint8), np.cumsum(counts) - counts) if len(counts) else counts
+        count = np.empty(len(token), np.uint8)
+        count[order] = np.repeat(np.where(known > 0, FREQUENT, np.minimum(counts, FREQUENT)), counts)
+        keep = (count > 1) & (place != 0xFFFFFFFF)
+        cid, place, count = np.concatenate([cid[keep], more]), np.concatenate([place[keep], more_place]), np.concatenate([count[keep], np.full(len(more), FREQUENT, np.uint8)])
+        order = np.lexsort((place, cid))
+        cid, place, count = cid[order], place[order], count[order]
+        none = np.zeros(0, np.int64)
+        at, out = deal(buckets, cid % buckets, [cid, place, count], none, [])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def prefix_keys(tokens: np.ndarray, counts: np.ndarray, bounds: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The index keys of a set sorted by hash, with the count of each token."""
     n = len(tokens)
-    if n <= 2:
-        return np.zeros(0, np.uint64)
     want = n - needed(n, num, den) + 1
-    counted = member(tokens, frequent, bits)
-    common = counted | (tokens >> np.uint64(63) == 1)
-    rare = tokens[~common][:want]
+    order = np.lexsort((tokens, counts))
+    tokens, often = tokens[order], counts[order] >= FREQUENT
+    rare = tokens[~often][:want]
     if len(rare) == want:
         return mix(rare)
-    often = tokens[common]
-    level = np.zeros(len(often), np.uint8)
-    level[counted[common]] = levels[np.searchsorted(frequent, tokens[counted])]
-    often = often[np.lexsort((often, level))]
+    often = tokens[often]
     missing = want - len(rare)
     keys = [mix(rare)]
     first, last = np.searchsorted(bounds, [needed(n, num, den), n], side="right") - 1
@@ -241,7 +299,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, levels: np.ndarray, bi
         end = int(np.searchsorted(np.cumsum(worth), missing)) + 1
         inside = order[order < end]
         t, g = often[inside], group[inside]
-        salt = np.uint64(size) * np.uint64(0xD6E8FEB86659FD93)
+        salt = mix(np.array([size], np.uint64))
         step = 1
         while step < len(t):
             same = g[step:] == g[:-step]
@@ -254,55 +312,58 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, levels: np.ndarray, bi
     return np.concatenate(keys)
 
 
-def post(k: int, num: int, den: int, buckets: int, words, shared):
-    """Pass 2: blobs of (40 bits of the key, signature) by bucket of the key."""
+def post(num: int, den: int, buckets: int):
+    """Step 2, indexing: of a bucket's counts (first) and sets, blobs of (40 bits of the key, signature) by bucket of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, levels = shared.value
-        bits, bounds = bitmap(frequent), size_bounds(num, den)
+        bounds = size_bounds(num, den)
+        counted: list[bytes] = []
+        table = None
         keys: list[np.ndarray] = []
         sids: list[np.ndarray] = []
-        size, seen = 0, set()
+        size = 0
 
         def flush() -> pa.RecordBatch:
             key, sid = np.concatenate(keys), np.concatenate(sids)
-            order = np.argsort(key)
-            key, sid = key[order], sid[order]
-            of = bucket_of(key, buckets)
-            cut = np.searchsorted(of, np.arange(buckets + 1))
-            at = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            part = [slice(int(cut[b]), int(cut[b + 1])) for b in at]
-            blobs = [(key[p] >> np.uint64(8)).astype(np.uint32).tobytes() + key[p].astype(np.uint8).tobytes() + sid[p].tobytes() for p in part]
+            at, blobs = deal(buckets, bucket_of(key, buckets), [*travelling(key), sid], np.zeros(0, np.int64), [])
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            for tokens in shingle_sets(binaries(batch.column("_text")), k, words.value):
-                if len(tokens) > 2 and (sid := signature(tokens)[0]) not in seen:
-                    seen.add(sid)
-                    got = prefix_keys(tokens, frequent, levels, bits, bounds, num, den)
-                    keys.append(got)
-                    sids.append(np.full(len(got), sid, np.int64))
-                    size += len(got)
+            for sid, cid, blob, tokens in zip(*(batch.column(c).to_pylist() for c in ("sid", "cid", "blob", "tokens")), strict=True):
+                if blob is not None:
+                    counted.append(blob)
+                    continue
+                if table is None:
+                    table = gather(counted, ["i8", "u4", "u1"], [])[0]
+                    order = np.argsort(table[0], kind="stable")
+                    table = [c[order] for c in table]
+                    counted.clear()
+                tokens = np.frombuffer(tokens, np.uint64)
+                counts = np.ones(len(tokens), np.uint8)
+                a, b = np.searchsorted(table[0], [cid, cid + 1])
+                counts[table[1][a:b]] = table[2][a:b]
+                keys.append(prefix_keys(tokens, counts, bounds, num, den))
+                sids.append(np.full(len(keys[-1]), sid, np.int64))
+                size += len(keys[-1])
             if size > POSTED:
                 yield flush()
-                keys, sids, size, seen = [], [], 0, set()
+                keys, sids, size = [], [], 0
         if size:
             yield flush()
 
     return run
 
 
-def chain(num: int, den: int):
-    """Of a bucket's index entries, the edges between classes next to each other in size under one key."""
+def chain(num: int, den: int, slots: int):
+    """Of a bucket's index entries, a forest of the edges between classes next to each other in size under one key, as a blob."""
     gap = int(np.ceil(np.log2(den / num) * 512)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
         if not blobs:
             return
-        n = [len(b) // 13 for b in blobs]
-        key = np.concatenate([np.frombuffer(b, np.uint32, k).astype(np.uint64) << np.uint64(8) | np.frombuffer(b, np.uint8, k, 4 * k) for b, k in zip(blobs, n, strict=True)])
-        sid = np.concatenate([np.frombuffer(b, np.int64, k, 5 * k) for b, k in zip(blobs, n, strict=True)])
+        (high, low, sid), _ = gather(blobs, ["u4", "u1", "i8"], [])
+        key = arrived(high, low)
         del blobs
         size = (sid & (1 << 14) - 1).astype(np.uint64)
         order = np.argsort(key << np.uint64(14) | size, kind="stable")
@@ -311,11 +372,22 @@ def chain(num: int, den: int):
         a, b = sid[1:][near], sid[:-1][near]
         if len(a):
             a, b = forest(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int32()), pa.array([np.concatenate([a, b]).tobytes()], pa.binary())], names=["slot", "blob"])
 
     return run
 
 
+def join_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of some buckets' forests: most buckets hold the same groups."""
+    a = b = np.zeros(0, np.int64)
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            more = np.frombuffer(blob, np.int64).reshape(2, -1)
+            a, b = forest(np.concatenate([a, more[0]]), np.concatenate([b, more[1]]))
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 class Verifier:
     """Exact links of sets, added one by one; sets that are connected aren't compared again."""
 
@@ -410,11 +482,11 @@ def verify(num: int, den: int):
     return run
 
 
-def fetch_sets(k: int, words):
+def fetch_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [s.tobytes() for s in shingle_sets(binaries(batch.column("_text")), k, words.value)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("comp", "cid", "blocks")), pa.array(blobs, pa.binary())], names=["comp", "cid", "blocks", "tokens"])
+            blobs = [s.tobytes() for s in shingle_sets(binaries(batch.column("_text")), k)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "cid")), pa.array(blobs, pa.binary())], names=["sid", "cid", "tokens"])
 
     return run
 
@@ -424,32 +496,44 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = tune(docs.sparkSession)
     parts = partitions(spark)
     rows = keyed(docs, id_col, text_col)
-    words = spark.sparkContext.broadcast(common_words(rows))  # COMMON words at most
-    pass1 = scratch(rows.mapInArrow(describe(k, num, den, parts, words), "_id long, _key long, sid long, sid2 long, n long, bucket int, blob binary"), "jaccard-sets")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(pass1, parts))  # MAX_FREQUENT tokens at most
-    described = pass1.where("blob IS NULL").select("_id", "_key", "sid", "sid2", "n", F.xxhash64("sid", "sid2").alias("cid"))
-
-    posted = rows.select("_text").mapInArrow(post(k, num, den, parts, words, frequent), "bucket int, blob binary")
-    near = components(posted.repartition(parts, "bucket").mapInArrow(chain(num, den), "a long, b long"))
-
-    # classes of the components, each with one document that has its set
-    chosen = described.where("n > 2").join(near.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid")
-    classes = scratch(chosen.groupBy("comp", "cid").agg(F.min(F.struct("_id", "_key")).alias("doc"), F.first("n").alias("n")), "jaccard-classes")
-    blocks = classes.groupBy("comp").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.lit(1)).cast("int").alias("blocks")).where("c > 1").drop("c")
-    wanted = classes.join(blocks, "comp").select("comp", "cid", "blocks", F.col("doc._id").alias("_id"), F.col("doc._key").alias("_key"))
-    sets = rows.join(wanted, ["_id", "_key"]).select("comp", "cid", "blocks", "_text").mapInArrow(fetch_sets(k, words), "comp long, cid long, blocks int, tokens binary")
-    # each set goes to all pairs of blocks that its own block is part of
+    described = scratch(rows.mapInArrow(describe(k), "_id long, _key long, sid long, sid2 long, n long").withColumn("cid", F.xxhash64("sid", "sid2")), "jaccard-sets")
+
+    # 1: classes that share enough with any other
+    posted = rows.select("_text").mapInArrow(announce(k, num, den, parts), "bucket int, blob binary").repartition(parts, "bucket")
+    hits = posted.mapInArrow(count_hits(parts), "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(add_hits, "sid long, hits long")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) / 12))
+    classes = described.where("n > 2").groupBy("sid", "cid").agg(F.min(F.struct("_id", "_key")).alias("doc"), F.first("n").alias("n"))
+    survivors = scratch(classes.join(hits, "sid").where(F.col("hits") >= least).select("sid", "cid", "n", "doc._id", "doc._key"), "jaccard-survivors")
+    wanted = survivors.select("sid", "cid", "_id", "_key")
+    if survivors.count() <= SMALL:
+        wanted = F.broadcast(wanted)
+    sets = scratch(rows.join(wanted, ["_id", "_key"]).select("sid", "cid", "_text").mapInArrow(fetch_sets(k), "sid long, cid long, tokens binary"), "jaccard-tokens")
+
+    # 2 and 3: candidates
+    asked = sets.mapInArrow(ask_counts(parts), "bucket int, blob binary").repartition(parts, "bucket")
+    counts = asked.mapInArrow(answer_counts(parts), "bucket int, blob binary").select("bucket", F.lit(None).cast("long").alias("sid"), F.lit(None).cast("long").alias("cid"), "blob", F.lit(None).cast("binary").alias("tokens"))
+    own = sets.select(F.pmod("cid", F.lit(parts)).cast("int").alias("bucket"), "sid", "cid", F.lit(None).cast("binary").alias("blob"), "tokens")
+    met = counts.unionByName(own).repartition(parts, "bucket").sortWithinPartitions(F.col("blob").isNull())
+    keys = met.mapInArrow(post(num, den, parts), "bucket int, blob binary").repartition(parts, "bucket")
+    slots = max(1, round(parts**0.5))
+    forests = keys.mapInArrow(chain(num, den, slots), "slot int, blob binary").repartition(slots, "slot")
+    near = components(forests.mapInArrow(join_forests, "a long, b long"), thinned=True)
+
+    # 4: each set goes to all pairs of blocks that its own block is part of
+    found = scratch(survivors.join(near.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid").select("comp", "cid", "n", "_id"), "jaccard-candidates")
+    blocks = found.groupBy("comp").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.lit(1)).cast("int").alias("blocks")).where("c > 1").drop("c")
+    chosen = sets.select("cid", "tokens").join(found.join(blocks, "comp").select("comp", "cid", "blocks"), "cid")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("own", own).withColumn("other", other).select(
+    dealt = chosen.withColumn("own", own).withColumn("other", other).select(
         "comp", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "tokens")
     links = dealt.repartition(parts, "comp", "left", "right").sortWithinPartitions("comp", "left", "right").mapInArrow(verify(num, den), "a long, b long")
     linked = components(links)
 
-    names = classes.select(F.col("cid").alias("node"), F.col("doc._id").alias("_id")).join(linked, "node")
+    names = found.select(F.col("cid").alias("node"), "_id").join(linked, "node")
     least = names.groupBy("root").agg(F.min(public_id()).alias("least"))
     joined = scratch(names.join(least, "root").select(F.col("node").alias("cid"), "least"), "jaccard-links")
-    drop_scratch(classes)
+    drop_scratch(sets, found, survivors)
     alone = described.groupBy("cid").agg(F.min(public_id()).alias("own"))
     final = alone.join(joined, "cid", "left").select("cid", F.coalesce("least", "own").alias("component"))
     whole = described.where("n > 0").join(final, "cid").select("_id", "_key", F.col("n").alias("n_shingles"), "component")
