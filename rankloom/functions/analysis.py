@@ -68,9 +68,11 @@ def by_pattern(text: Column, pattern: str) -> Column:
 
 
 def char_ngrams(term: Column, low: int, high: int) -> Column:
-    n = F.length(term)
-    sizes = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.substring(term, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)]
-    return F.concat(*sizes)
+    def of_size(k: int) -> Column:
+        begins = F.sequence(F.lit(1), F.length(term) - (k - 1))
+        return F.when(F.length(term) >= k, F.transform(begins, lambda i: F.substring(term, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of_size, range(low, high + 1)))
 
 
 def edge_ngrams(term: Column, low: int, high: int, front: bool = True) -> Column:

@@ -19,7 +19,7 @@ def date_to_string(ts: Column, resolution: str = "millisecond") -> Column:
 def string_to_date(text: Column) -> Column:
     """Any of the sortable formats, told apart by length."""
     full = F.concat(text, F.substring(F.lit("00000101000000000"), F.length(text) + 1, F.lit(17)))
-    return F.to_timestamp(full, "yyyyMMddHHmmssSSS")
+    return F.to_timestamp(F.regexp_replace(full, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)(\d{3})$", "$1-$2-$3 $4:$5:$6.$7"))
 
 
 def round_date(ts: Column, resolution: str) -> Column:

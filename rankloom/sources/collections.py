@@ -51,8 +51,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """(id, user, status, time, content) of tab-separated short posts."""
     rows = spark.read.csv(path, sep="\t", schema="id string, user string, status string, time string, content string", quote="")
-    stamp = F.coalesce(F.try_to_timestamp("time", F.lit("EEE MMM dd HH:mm:ss Z yyyy")), F.try_to_timestamp("time", F.lit("yyyyMMddHHmmss")))
-    return rows.withColumn("time", F.coalesce(stamp, F.try_to_timestamp("time", F.lit("MMM dd HH:mm:ss Z yyyy"))))
+    named = F.try_to_timestamp(F.regexp_replace("time", r"^[A-Za-z]{3} (?=[A-Za-z])", ""), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    return rows.withColumn("time", F.coalesce(named, F.try_to_timestamp("time", F.lit("yyyyMMddHHmmss"))))
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, fields: dict[str, str]) -> DataFrame:

@@ -12,7 +12,7 @@ DEPTH = 1000
 def section(name: str, following: str) -> Column:
     """The text after an open tag without end tag, up to the next of the ``following`` ones."""
     found = F.regexp_extract("value", rf"(?is)<{name}>(.*?)(?=<(?:{following})\b|</?top>|$)", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(found, r"(?i)^\s*(Number|Description|Narrative|Topic)\s*:", " "), r"<[^>]*>|\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(found, r"(?i)^\s*(Number|Description|Narrative|Topic)\s*:", " "), r"(?:<[^>]*>|\s)+", " "))
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
