@@ -690,3 +690,95 @@ def _(spark, sf):
     events = table(spark, sf, "events")
     limits = events.groupBy("user_id").agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("t"))
     return events.join(limits, "user_id").where("ts <= t").select("event_id", "user_id")
+
+
+# Analysis
+
+TEXTS = "t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def term_counts(spark, sf, analyzer, then=None) -> DataFrame:
+    """Counts of the analyzer's terms; ``then`` maps its tokens, which are split once for each text."""
+    split = documents(spark, sf).select(analyzer(F.coalesce("text", F.lit(""))).alias("tokens"))
+    rows = split.select(F.explode(then(F.col("tokens")) if then else "tokens").alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def counts_sql(tokens: str) -> str:
+    return f"WITH {TEXTS}, x AS (SELECT unnest({tokens}) AS term FROM t) SELECT term, count(*) AS n FROM x GROUP BY term"
+
+
+GENERAL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+ANALYSES = {
+    "tokenize_whitespace": (A.whitespace, r"regexp_extract_all(text, '[^ \n\t]+')"), "tokenize_letters": (A.letters, r"regexp_extract_all(text, '\p{L}+')"), "tokenize_simple": (A.lower_letters, r"regexp_extract_all(lower(text), '\p{L}+')"),
+    "tokenize_general": (A.general, GENERAL), "filter_stop": (lambda t: A.stop(A.general(t), ["the", "of", "and", "der", "de"]), f"list_filter({GENERAL}, lambda w: w NOT IN ('the', 'of', 'and', 'der', 'de'))"),
+    "filter_length": (lambda t: A.length_between(A.general(t), 3, 6), f"list_filter({GENERAL}, lambda w: length(w) BETWEEN 3 AND 6)"),
+    "filter_index_unit": (lambda t: A.index_unit(A.general(t)), f"list_filter({GENERAL}, lambda w: length(w) < 20 AND length(regexp_replace(w, '[^0-9]', '', 'g')) <= 4 AND NOT regexp_matches(w, '" + "|".join(f"{c}{{4}}" for c in "0123456789abcdefghijklmnopqrstuvwxyzäöüßàâçéèêëîïôûñáíóú") + "'))"),
+    "filter_numbers": (lambda t: A.number_filter(A.general(t)), f"list_filter({GENERAL}, lambda w: NOT regexp_full_match(w, '[09]+'))"),
+    "filter_accents": (lambda t: F.transform(A.general(t), A.fold_accents), f"list_transform({GENERAL}, lambda w: replace(translate(w, '{A.ACCENTED}', '{A.PLAIN}'), 'ß', 'ss'))"),
+    "filter_elision": (lambda t: F.transform(A.whitespace(F.lower(t)), A.elision), r"list_transform(regexp_extract_all(lower(text), '[^ \n\t]+'), lambda w: regexp_replace(w, '^(?:l|m|t|qu|n|s|j|d|c)[''’]', ''))"),
+    "filter_reverse": (lambda t: A.reverse(A.general(t)), f"list_transform({GENERAL}, lambda w: reverse(w))"),
+    "shingles": ((lambda t: A.limit(A.general(t), 50), lambda t: A.shingles(t, 2)), f"[array_to_string(({GENERAL})[:50][i:i + 1], ' ') FOR i IN range(1, least(len({GENERAL}), 50))]"),
+    "char_ngrams": ((lambda t: A.limit(A.general(t), 50), lambda t: F.flatten(F.transform(t, lambda w: A.char_ngrams(w, 3, 3)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, i, 3) FOR i IN range(1, length(w) - 1)]))"),
+    "edge_ngrams": ((lambda t: A.limit(A.general(t), 50), lambda t: F.flatten(F.transform(t, lambda w: A.edge_ngrams(w, 2, 4)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, 1, i) FOR i IN range(2, least(4, length(w)) + 1)]))"),
+}
+for _name, (_f, _sql) in ANALYSES.items():
+    query(_name, counts_sql(_sql))(lambda spark, sf, f=_f: term_counts(spark, sf, *(f if isinstance(f, tuple) else (f,))))
+
+
+@query("stem_terms")
+def _(spark, sf):
+    return A.stem_terms(term_counts(spark, sf, A.general))
+
+
+# Dates, numbers, pages
+
+
+@query("date_strings", "SELECT event_id, strftime(ts, '%Y%m%d%H') AS hour, strftime(date_trunc('month', ts), '%Y%m%d') AS month FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", S.date_to_string(F.col("ts"), "hour").alias("hour"), S.date_to_string(S.round_date(F.col("ts"), "month"), "day").alias("month"))
+
+
+@query("sortable_numbers", "SELECT o_orderkey, o_orderkey AS back, row_number() OVER (ORDER BY o_orderkey)::INT AS rank FROM orders WHERE o_orderkey <= 2000")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").where("o_orderkey <= 2000").select("o_orderkey", S.long_to_sortable(F.col("o_orderkey").cast("long")).alias("s"))
+    return rows.select("o_orderkey", S.sortable_to_long(F.col("s")).alias("back"), F.row_number().over(Window.orderBy("s")).alias("rank"))
+
+
+@query("page_text", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages".replace('\\"', '"'))
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", S.strip_html(F.col("html")).alias("text"))
+
+
+@query("patent_queries", EVERY + ", w AS (SELECT doc_id, term, tf, tf * log2(n / df) AS weight FROM post JOIN lex USING (term), st WHERE doc_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS p FROM w) SELECT doc_id AS topic_id, term, tf::BIGINT AS qtf FROM k WHERE p <= 10".replace(" WHERE doc_id % 50 = 0", ""))
+def _(spark, sf):
+    from ..sources.trec import patent_queries
+
+    index = whole_index(spark, sf)
+    return patent_queries(index.postings, index.lexicon, index.stats, 10)
+
+
+@query("run_lines", RUN + " SELECT topic_id, 'T Q0 ' || doc_id || ' ' || (rank - 1) AS line FROM run100".replace("'T Q0 '", "topic_id || ' Q0 '"))
+def _(spark, sf):
+    from ..sources.trec import run_lines
+
+    index, terms = index_and_terms(spark, sf)
+    run = ranked(R.score(index, terms, "BM25"), 100).withColumn("docno", F.col("doc_id"))
+    lines = run_lines(run, "rankloom")
+    return lines.select("topic_id", F.array_join(F.slice(F.split("value", " "), 1, 4), " ").alias("line"))
+
+
+@query("query_language", VECTORS + f" SELECT a.doc_id, round(a.s + coalesce(b.s * 2, 0), 6) * 1.0 AS score FROM {clause('the')} a LEFT JOIN {clause('with')} b USING (doc_id) WHERE a.doc_id NOT IN (SELECT doc_id FROM v WHERE term = 'from')")
+def _(spark, sf):
+    from . import language
+
+    tree = language.parse("+the with^2 -from")
+    found = searcher(spark, sf, "the", "with", "from").search(B.Boolean(tree.clauses, coord=False))
+    return hits(found)
+
+
+@query("dependence_search", POS + ", v AS (SELECT doc_id, count(*) FILTER (term = 'of')::DOUBLE AS a, count(*) FILTER (term = 'and')::DOUBLE AS b FROM p GROUP BY doc_id) SELECT doc_id FROM v WHERE a > 0 OR b > 0")
+def _(spark, sf):
+    from . import language
+
+    return searcher(spark, sf, "of", "and", positions=True).search(language.dependence("of and")).select("doc_id")

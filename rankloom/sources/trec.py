@@ -42,7 +42,7 @@ def patent_queries(index_postings: DataFrame, lexicon: DataFrame, stats: DataFra
     """(topic_id, term, qtf): each document's k terms of the largest tf * log2(N / df), as a query."""
     weight = F.col("tf") * F.log2(F.col("N") / F.col("df"))
     rows = index_postings.join(lexicon, "term").crossJoin(F.broadcast(stats)).select(F.col("doc_id").alias("topic_id"), "term", F.col("tf").alias("qtf"), weight.alias("weight"))
-    place = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("weight"), "term"))
+    place = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc(F.round("weight", 9)), "term"))
     return rows.withColumn("place", place).where(F.col("place") <= k).select("topic_id", "term", "qtf")
 
 
