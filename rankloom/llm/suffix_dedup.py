@@ -403,7 +403,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = found.where(F.col("kind") != PLACE).groupBy("_id", "_key").agg(F.collect_list(F.struct("kind", "start", "size", "seg", "anchor", "many")).alias("copies"))
     texts = rows.join(copies, ["_id", "_key"]).select("_text", "copies").mapInArrow(read_copies(span), "anchor long, seg long, many boolean, at int, bytes binary")
     dealt = texts.repartition(parts, "anchor").sortWithinPartitions("anchor", F.col("bytes").isNull())
-    spans = dealt.mapInArrow(sort_segments(span), "seg long, begin int, end int").groupBy("seg").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    # written, so that the join below can split the places of a very common segment
+    spans = scratch(dealt.mapInArrow(sort_segments(span), "seg long, begin int, end int").groupBy("seg").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "segment-spans")
     places = found.where(F.col("kind") == PLACE).select("_id", "_key", "start", "seg").unionByName(shipped.where("blob IS NULL").select("_id", "_key", "start", "seg"))
     hits = places.join(spans, "seg").select("_id", "_key", F.transform("spans", lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
     return hits.groupBy("_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
