@@ -190,3 +190,12 @@ ZERO = {"BM25": bm25, "ABM25": abm25, "LBM25": lbm25, "DFR_BM25": dfr_bm25, "TF_
 SMOOTHED = {"BB2": bb2, "Dirichlet_LM": dirichlet_ln, "DLM": dlm, "JelinekMercer_LM": jelinek_mercer, "Hiemstra_LM": hiemstra, "EDLM": edlm, "TSDLM": tsdlm}
 #: Further models may be put in here by name.
 MODELS: dict[str, Model] = {k: Model(f) for k, f in ZERO.items()} | {k: Model(f, _absent(f)) for k, f in SMOOTHED.items()}
+
+
+def bm25_ratio(s, k1=1.2, b=0.75) -> Column:
+    """tf over its pivoted length, saturated, times the natural-log idf."""
+    x = s.tf / (1 - b + b * s.dl / s.avdl)
+    return s.qtf * x / (x + k1) * ln((s.N - s.df + 0.5) / (s.df + 0.5))
+
+
+MODELS["BM25_ratio"] = Model(bm25_ratio)

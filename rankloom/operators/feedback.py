@@ -220,3 +220,44 @@ def features(run: DataFrame, index: Index, query: DataFrame) -> DataFrame:
     grouped = rows.groupBy("topic_id", "doc_id").agg(F.first("score").alias("score"), F.first("dl").alias("dl"), F.count("*").alias("hits"), F.sum("idf").alias("mass"))
     return grouped.join(F.broadcast(totals), "topic_id").crossJoin(F.broadcast(index.stats)).select(
         "topic_id", "doc_id", "score", F.abs(F.col("avdl") - F.col("dl")).alias("length_gap"), (F.col("hits") / F.col("n_query")).alias("share"), (F.col("mass") / F.col("total")).alias("idf_share"))
+
+
+def rerank_by_classifier(run: DataFrame, index: Index, terms: DataFrame, top: int = 10, bottom: int = 10, depth: int = 50, share: float = 0.5, steps: int = 200) -> DataFrame:
+    """Pseudo-labels from a topic's first and last documents train a logistic regression on tf-idf of ``terms``; the first
+    ``depth`` documents are scored again.
+
+    A topic's rows are depth + bottom documents times its expansion terms, so they fit one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    last = F.max("rank").over(Window.partitionBy("topic_id"))
+    chosen = run.withColumn("last", last).where((F.col("rank") <= depth) | (F.col("rank") > F.col("last") - bottom))
+    weight = (1 + F.log(F.col("tf"))) * lg(F.col("N") / F.col("df"))
+    rows = index.postings.select("term", "doc_id", "tf").join(F.broadcast(terms.select("topic_id", "term")), "term").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats)).select("topic_id", "doc_id", "term", weight.alias("weight"))
+    vectors = chosen.join(rows, ["topic_id", "doc_id"], "left").groupBy("topic_id", "doc_id", "rank", "last", "score").agg(F.collect_list(F.struct("term", "weight")).alias("features"))
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rank")
+        names = sorted({f["term"] for fs in frame["features"] for f in fs if f["term"] is not None})
+        place = {t: k for k, t in enumerate(names)}
+        x = np.zeros((len(frame), len(names) + 1))
+        x[:, -1] = 1
+        for row, fs in enumerate(frame["features"]):
+            for f in fs:
+                if f["term"] is not None:
+                    x[row, place[f["term"]]] = f["weight"]
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x /= np.where(norm > 0, norm, 1)
+        good, bad = (frame["rank"] <= top).to_numpy(), (frame["rank"] > frame["last"] - bottom).to_numpy()
+        train = good | bad
+        w, y = np.zeros(x.shape[1]), good[train].astype(float)
+        for _ in range(steps):
+            w -= 0.5 * (x[train].T @ (1 / (1 + np.exp(-x[train] @ w)) - y) / max(1, train.sum()) + 1e-3 * w)
+        p = 1 / (1 + np.exp(-x @ w))
+        old = frame["score"].to_numpy(float)
+        old = (old - old.min()) / max(1e-12, old.max() - old.min())
+        out = frame[["topic_id", "doc_id", "rank"]].assign(score=share * p + (1 - share) * old)
+        return out[out["rank"] <= depth][["topic_id", "doc_id", "score"]]
+
+    return vectors.groupBy("topic_id").applyInPandas(learn, run.select("topic_id", "doc_id", F.col("score").cast("double")).schema)

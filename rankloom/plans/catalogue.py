@@ -782,3 +782,43 @@ def _(spark, sf):
     from . import language
 
     return searcher(spark, sf, "of", "and", positions=True).search(language.dependence("of and")).select("doc_id")
+
+
+# Proximity feedback and further re-ranking
+
+query("model_bm25_ratio", BASE + ranked_sql("SELECT topic_id, doc_id, sum(qtf * (tf / (1 - 0.75 + 0.75 * dl / avdl)) / (tf / (1 - 0.75 + 0.75 * dl / avdl) + 1.2) * ln((n - df + 0.5) / (df + 0.5)) * (CASE WHEN n - df + 0.5 > 0 THEN 1 ELSE 0 END)) AS score FROM rows GROUP BY ALL"))(model_query("BM25_ratio"))
+
+NEAR_SQL = FB_SQL + ", fp AS (SELECT topic_id, doc_id, term, pos FROM fb JOIN flat USING (doc_id)), qp AS (SELECT fp.* FROM fp JOIN q USING (topic_id, term)), pairs AS (SELECT fp.topic_id, fp.doc_id, fp.term, qp.term AS qt, abs(fp.pos - qp.pos)::DOUBLE AS d FROM fp JOIN qp ON fp.topic_id = qp.topic_id AND fp.doc_id = qp.doc_id AND fp.term <> qp.term)"
+
+
+def near_parts(spark, sf):
+    docs = documents(spark, sf)
+    index, terms = I.build(docs), topics(spark)
+    run = ranked(R.score(index, terms, "BM25"), 10)
+    return index, terms, FB.pseudo(run, 3)
+
+
+NEAR3 = NEAR_SQL.replace("FROM run WHERE rank <= 10)", "FROM run WHERE rank <= 3)")
+
+
+@query("term_association", NEAR3 + " SELECT topic_id, term, qt AS q, round(sum(CASE WHEN d > 0 THEN greatest(0, 10 - (d - 1)) ELSE 0 END), 6)::DOUBLE AS value FROM pairs GROUP BY ALL HAVING sum(CASE WHEN d > 0 THEN greatest(0, 10 - (d - 1)) ELSE 0 END) > 0")
+def _(spark, sf):
+    from ..operators import proximity as P
+
+    index, terms, fb = near_parts(spark, sf)
+    return P.associations(fb, index, terms, "hal").where("value > 0").withColumn("value", F.round("value", 6))
+
+
+@query("feedback_positional", NEAR3 + ", cell AS (SELECT topic_id, doc_id, term, sum(exp(-d * d / 1250) / (25 * 2.5066282746310002)) AS plm FROM pairs GROUP BY ALL)" + best_sql("SELECT topic_id, term, sum(0.9 * plm + 0.1 * ctf / t) AS weight FROM cell JOIN lex USING (term), st GROUP BY topic_id, term HAVING count(*) >= 2", 20, "sum"))
+def _(spark, sf):
+    from ..operators import proximity as P
+
+    index, terms, fb = near_parts(spark, sf)
+    return weights(P.select_positional(fb, index, terms, 20))
+
+
+@query("rerank_classifier")
+def _(spark, sf):
+    index, terms, run, fb = feedback_parts(spark, sf)
+    chosen = FB.select_pooled(fb, index, "Bo1", 100)
+    return FB.rerank_by_classifier(run, index, chosen).withColumn("score", F.round("score", 6))
