@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, public_id, read_docs, row_id, scratch, tune
+from .common import binaries, public_id, read_docs, released, row_id, scratch, tune
 
 #: Words of one benchmark window.
 WINDOW = 10
@@ -247,6 +247,7 @@ def one_block(rows: DataFrame, windows: Windows, with_text: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(windows)  # bounded by the block's words
     schema = rows.schema if with_text else rows.drop("_text").schema
 
+    @released
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binaries(batch.column("_text"))
@@ -292,3 +293,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items_digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+
+
+#: The same in DuckDB.
+SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM bi),
+di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+hits AS (SELECT doc_id, di.k, i, item_id FROM di JOIN windows b ON b.k = di.k AND b.s = array_to_string(w[i:i + di.k - 1], ' ')),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cover.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, coalesce(items.s, sha256('')) AS items_sha256, coalesce(cover.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
