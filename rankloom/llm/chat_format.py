@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, public_id, read_docs, row_id, scratch, tune
+from .common import partitions, public_id, read_docs, released, row_id, scratch, tune
 
 #: Control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -116,6 +116,7 @@ def chat_format(conversations: DataFrame, *, id_col: str = "conv_id", turn_col:
                                                                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
+    @released
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [prefix_hashes([(t["role"], t["text"]) for t in turns])[:ORDER_DEPTH] for turns in batch.column("turns").to_pylist()]
@@ -127,6 +128,7 @@ def chat_format(conversations: DataFrame, *, id_col: str = "conv_id", turn_col:
     spread = ordered.select("_id", "turns", *[F.try_element_at("path", F.lit(k + 1)).alias(f"p{k}") for k in range(ORDER_DEPTH)])
     sorted_ = spread.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
 
+    @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("text", pa.string()), ("nodes", pa.list_(pa.struct([*((k, pa.int32()) for k in ("begin", "end", "position", "parent", "loss_begin", "loss_end")),
                             ("ancestors", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]))), ("conversations", pa.list_(pa.struct([("conv_id", pa.int64()), ("leaf", pa.int32())])))])
@@ -170,6 +172,7 @@ def read_back(pack: dict) -> Iterator[tuple[int, list[tuple[str, str]], list[str
 def read_conversations(packs: DataFrame) -> DataFrame:
     """(_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of each conversation of the packs."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

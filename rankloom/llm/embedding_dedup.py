@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, partitions, read_docs, scratch
+from .common import drop_scratch, partitions, read_docs, released, scratch
 from .components import components
 
 #: Cosine from which on two vectors link.
@@ -50,6 +50,7 @@ def assign(pivots: list[np.ndarray], min_cosine: float):
         near[np.arange(len(unit)), home] = True
         return home, near
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cls", "label", "dim", "cell", "home", "n", "unit"]
         for batch in batches:
@@ -95,6 +96,7 @@ def block_links(home: np.ndarray, home_cls: list[int], member: np.ndarray, membe
 def join_cells(min_cosine: float):
     """Rows in order of (label, dim, cell, i, j) -> (cls, links) of the home vectors, and edges (a, b)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, []
 

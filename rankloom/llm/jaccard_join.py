@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, scratch, tune
+from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, released, scratch, tune
 from .components import UnionFind, components, forest
 from .kernels import PLACE, mix, shingle_sets
 
@@ -82,6 +82,7 @@ def spare(n: int) -> int:
 def describe(k: int):
     """A row for each document."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(binaries(batch.column("_text")), k)
@@ -142,6 +143,7 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def announce(k: int, num: int, den: int, buckets: int):
     """Step 1: blobs of (token, signature) by bucket of the token; tokens that repeat in the buffer are settled here and sent once."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
         sids: list[np.ndarray] = []
@@ -181,6 +183,7 @@ def announce(k: int, num: int, den: int, buckets: int):
 def count_hits(buckets: int):
     """How many tokens of a bucket each class shares with another, as blobs by bucket of the class."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
         (high, low, sid), (more, hits) = gather(blobs, ["u4", "u1", "i8"], ["i8", "u4"])
@@ -198,6 +201,7 @@ def count_hits(buckets: int):
     return run
 
 
+@released
 def add_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sid, hits) of a bucket's classes."""
     blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
@@ -214,6 +218,7 @@ def add_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ask_counts(buckets: int):
     """Step 2: blobs of (token, class, place in its set) by bucket; tokens that are frequent in the buffer alone are settled here."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         cids: list[int] = []
@@ -252,6 +257,7 @@ def ask_counts(buckets: int):
 def answer_counts(buckets: int):
     """Blobs of (class, place, count) by bucket of the class, for tokens with a count of two or more."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
         (high, low, cid, place), (more, more_place) = gather(blobs, ["u4", "u1", "i8", "u4"], ["i8", "u4"])
@@ -315,6 +321,7 @@ def prefix_keys(tokens: np.ndarray, counts: np.ndarray, bounds: np.ndarray, num:
 def post(num: int, den: int, buckets: int):
     """Step 2, indexing: of a bucket's counts (first) and sets, blobs of (40 bits of the key, signature) by bucket of the key."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = size_bounds(num, den)
         counted: list[bytes] = []
@@ -358,6 +365,7 @@ def chain(num: int, den: int, slots: int):
     """Of a bucket's index entries, a forest of the edges between classes next to each other in size under one key, as a blob."""
     gap = int(np.ceil(np.log2(den / num) * 512)) + 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
         if not blobs:
@@ -377,6 +385,7 @@ def chain(num: int, den: int, slots: int):
     return run
 
 
+@released
 def join_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The forest of some buckets' forests: most buckets hold the same groups."""
     a = b = np.zeros(0, np.int64)
@@ -449,6 +458,7 @@ class Verifier:
 def verify(num: int, den: int):
     """Groups (comp, left, right) of rows (side, class id, set) -> links of class ids."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sides, sets = None, [], [], []
 
@@ -483,6 +493,7 @@ def verify(num: int, den: int):
 
 
 def fetch_sets(k: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [s.tobytes() for s in shingle_sets(binaries(batch.column("_text")), k)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, read_docs, tune
+from .common import binaries, read_docs, released, tune
 
 #: Bytes of a window.
 WINDOW = 128
@@ -128,6 +128,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     chosen = rows.where(F.pmod(F.xxhash64(F.coalesce("_id", F.lit(""))), F.lit(2**31)) < F.coalesce(cut[F.col("_lang")], F.lit(-1)))
     number = {lang: k for k, lang in enumerate(languages)}
 
+    @released
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, langs = [], []
@@ -153,6 +154,7 @@ def classify(docs: DataFrame, model: ByteCNN | None, languages: list[str], *, te
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     shared = spark.sparkContext.broadcast((model, languages))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, names = shared.value
         for batch in batches:

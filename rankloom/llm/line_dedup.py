@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, scratch, tune
+from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, released, scratch, tune
 
 #: Documents from which on a key counts as frequent.
 MIN_DOCS = 10
@@ -50,6 +50,7 @@ def line_keys(text: bytes) -> list[bytes]:
 
 
 def hash_lines(min_chars: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, rows, places = [], [], []
@@ -75,6 +76,7 @@ def stream_marks(mode: str, min_docs: int):
     it is known to be frequent and its rows pass through.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         names = [x.split()[0] for x in MARKS.split(", ")]
@@ -209,6 +211,7 @@ def decode_bitmap(data: bytes) -> np.ndarray:
 def keep_bitmaps(docs: DataFrame, **options) -> DataFrame:
     """(_id, _key, bitmap) of each document that loses lines; the bitmap covers its lines up to the last one dropped."""
 
+    @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = [encode_bitmap(max(p) + 1, p) for p in batch.column("gone").to_pylist()]
@@ -221,6 +224,7 @@ def keep_bitmaps(docs: DataFrame, **options) -> DataFrame:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as (_id, _key, _text, kept text, n_lines, n_dropped)."""
 
+    @released
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []

@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, public_id, read_docs, row_id, scratch, strings, tune
+from .common import partitions, public_id, read_docs, released, row_id, scratch, strings, tune
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a unit, units that are broadcast (about 24 bytes each), units that a task counts at a time.
-MAX_UNIT, TABLE, COUNTED = 64, 1 << 22, 1 << 19
+MAX_UNIT, TABLE, COUNTED = 64, 1 << 22, 1 << 18
 #: Score of a byte piece that stands for a part of a character without piece.
 BYTE_SCORE = -1e6
 
@@ -106,13 +107,13 @@ def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("unit", F.expr(fold).alias("best")).select("unit", F.expr(back).alias("ids"))
 
 
+@released
 def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
     def rows() -> Iterator[pa.RecordBatch]:
-        found = list(held.items())
-        for lo in range(0, len(found), 1 << 16):
-            part = found[lo : lo + (1 << 16)]
+        left = iter(held.items())
+        while part := list(islice(left, 1 << 14)):
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["unit", "n"])
 
     for batch in batches:
@@ -135,6 +136,7 @@ def packed(pieces: Pieces):
     """Encoded units as blobs (hashes, sizes, ids) of many units each."""
     kind = np.uint16 if len(pieces.text) < 1 << 16 else np.int32
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
 
@@ -218,6 +220,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.string())],
                                           names=["_id", "ids", "n_pieces", "decoded"])
 
+    @released
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value[0]
         for batch in batches:
@@ -229,6 +232,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
                     ids.append(known.gather(at))
             yield result(doc, ids)
 
+    @released
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the other documents (id, text, units that aren't in the table)."""
         known = shared.value[0]
@@ -247,6 +251,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     if rest is None:
         return done
 
+    @released
     def mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, scratch, tune
+from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, released, scratch, tune
 from .kernels import BYTE, POWERS, mix, prefix_sums
 
 #: Bytes of a string that counts as repeated, and of its anchor.
@@ -126,6 +126,7 @@ def spots(ids, keys, start, size, seg) -> pa.RecordBatch:
 def ship(span: int, anchor: int, buckets: int):
     """Step 1: blobs of entries by bucket, and the places of segments that repeat within the task's buffer."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         ids, keys, size = [], [], 0
@@ -200,6 +201,7 @@ FOUND = "kind int, _id long, _key long, start int, size int, seg long, anchor lo
 def repeated(group: int):
     """Step 2: the places of a bucket's segments with repeated anchors, and one copy of each distinct segment."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ids, keys, base = [], [], [], 0
         for batch in batches:
@@ -249,6 +251,7 @@ def repeated(group: int):
 def read_copies(span: int):
     """Step 3, reading: (anchor, seg, many, at, bytes); in large groups each string of ``span`` bytes by its hash, without bytes."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "seg", "many", "at", "bytes"]
         for batch in batches:
@@ -348,6 +351,7 @@ def merged(spans: list) -> list[tuple[int, int]]:
 def sort_segments(span: int):
     """Step 3, sorting: rows in order of anchor -> (seg, begin, end) of what is repeated."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         chunk: list[tuple] = []
@@ -413,6 +417,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Every row of ``docs`` as (_id, _key, n_bytes, spans, kept): merged byte ranges that go, and the bytes that stay."""
 
+    @released
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, cuts, kept = [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_id, read_docs, row_id, strings, tune
+from .common import public_id, read_docs, released, row_id, strings, tune
 
 #: Tokens in a row, and tokens that are packed together.
 LENGTH, BATCH_TOKENS = 2048, 1 << 20
@@ -119,6 +119,7 @@ def pack_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a file of fixed size; executors needn't have it
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(shared.value)
         kind = np.uint16 if tokenizer.pad < 1 << 16 else np.int32

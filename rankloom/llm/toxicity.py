@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_id, read_docs, row_id, strings, tune
+from .common import public_id, read_docs, released, row_id, strings, tune
 from .kernels import PLACE
 from .language_id import held_out
 
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def train_on(rows: DataFrame, sums: dict[int, int]) -> Model:
     every = np.arange(1 << BITS, dtype=np.int32)
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
@@ -165,6 +166,7 @@ def train_on(rows: DataFrame, sums: dict[int, int]) -> Model:
         parts = counts.reshape(2, SLICES, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([np.ascontiguousarray(parts[:, s]).tobytes() for s in range(SLICES)], pa.binary())], names=["slice", "counts"])
 
+    @released
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -185,6 +187,7 @@ def train_on(rows: DataFrame, sums: dict[int, int]) -> Model:
     table = np.full(1 << BITS, -1, np.int32)
     table[kept["number"].to_numpy()] = np.arange(kept.num_rows, dtype=np.int32)
 
+    @released
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column("_text"))
@@ -204,6 +207,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(shared.value.scores(strings(batch.column("_text"))))], names=["_id", "score"])
