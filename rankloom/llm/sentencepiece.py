@@ -38,7 +38,7 @@ from .common import partitions, public_id, read_docs, released, row_id, scratch,
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a unit, units that are broadcast (about 24 bytes each), units that a task counts at a time.
-MAX_UNIT, TABLE, COUNTED = 64, 1 << 22, 1 << 18
+MAX_UNIT, TABLE, COUNTED = 64, 1 << 22, 1 << 17
 #: Score of a byte piece that stands for a part of a character without piece.
 BYTE_SCORE = -1e6
 
