@@ -718,9 +718,9 @@ ANALYSES = {
     "filter_accents": (lambda t: F.transform(A.general(t), A.fold_accents), f"list_transform({GENERAL}, lambda w: replace(translate(w, '{A.ACCENTED}', '{A.PLAIN}'), 'ß', 'ss'))"),
     "filter_elision": (lambda t: F.transform(A.whitespace(F.lower(t)), A.elision), r"list_transform(regexp_extract_all(lower(text), '[^ \n\t]+'), lambda w: regexp_replace(w, '^(?:l|m|t|qu|n|s|j|d|c)[''’]', ''))"),
     "filter_reverse": (lambda t: A.reverse(A.general(t)), f"list_transform({GENERAL}, lambda w: reverse(w))"),
-    "shingles": ((lambda t: A.limit(A.general(t), 50), lambda t: A.shingles(t, 2)), f"[array_to_string(({GENERAL})[:50][i:i + 1], ' ') FOR i IN range(1, least(len({GENERAL}), 50))]"),
-    "char_ngrams": ((lambda t: A.limit(A.general(t), 50), lambda t: F.flatten(F.transform(t, lambda w: A.char_ngrams(w, 3, 3)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, i, 3) FOR i IN range(1, length(w) - 1)]))"),
-    "edge_ngrams": ((lambda t: A.limit(A.general(t), 50), lambda t: F.flatten(F.transform(t, lambda w: A.edge_ngrams(w, 2, 4)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, 1, i) FOR i IN range(2, least(4, length(w)) + 1)]))"),
+    "shingles": ((A.general, lambda t: A.shingles(t, 2)), f"[array_to_string(({GENERAL})[:50][i:i + 1], ' ') FOR i IN range(1, least(len({GENERAL}), 50))]"),
+    "char_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.char_ngrams(w, 3, 3)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, i, 3) FOR i IN range(1, length(w) - 1)]))"),
+    "edge_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.edge_ngrams(w, 2, 4)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, 1, i) FOR i IN range(2, least(4, length(w)) + 1)]))"),
 }
 for _name, (_f, _sql) in ANALYSES.items():
     query(_name, counts_sql(_sql))(lambda spark, sf, f=_f: term_counts(spark, sf, *(f if isinstance(f, tuple) else (f,))))
