@@ -53,8 +53,8 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; those without words all stay."""
-    groups = scratch(j.jaccard_join(docs, id_col=ID, text_col=TEXT).where("n_shingles > 0").select("_id", "_key", "component"), "groups")
-    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("_id") == NULL_ID, "_id", "_key")).alias("kept"))
+    groups = scratch(j.jaccard_join(docs, id_col=ID, text_col=TEXT).where("n_shingles > 0").select("_id", "_key", "root"), "groups")
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("_id") == NULL_ID, "_id", "_key")).alias("kept"))
     gone = groups.join(kept, F.col("kept._id").eqNullSafe(groups["_id"]) & (F.col("kept._key") == groups["_key"]), "left_anti").select("_id", "_key").distinct()
     keyed = docs.withColumns({"_id": row_id(ID), "_key": F.xxhash64(F.col(TEXT).cast("string"))})
     return keyed.join(gone, ["_id", "_key"], "left_anti").select(*docs.columns)

@@ -503,7 +503,10 @@ def fetch_sets(k: int):
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Every row of ``docs`` as (_id, _key, n_shingles, component): the smallest id reachable by links."""
+    """Every row of ``docs`` as (_id, _key, n_shingles, component, root): the smallest id reachable by links.
+
+    ``root`` tells groups apart where ids are null or repeat; it is null for an empty set.
+    """
     spark = tune(docs.sparkSession)
     parts = partitions(spark)
     rows = keyed(docs, id_col, text_col)
@@ -543,12 +546,12 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     names = found.select(F.col("cid").alias("node"), "_id").join(linked, "node")
     least = names.groupBy("root").agg(F.min(public_id()).alias("least"))
-    joined = scratch(names.join(least, "root").select(F.col("node").alias("cid"), "least"), "jaccard-links")
+    joined = scratch(names.join(least, "root").select(F.col("node").alias("cid"), "least", "root"), "jaccard-links")
     drop_scratch(sets, found, survivors)
     alone = described.groupBy("cid").agg(F.min(public_id()).alias("own"))
-    final = alone.join(joined, "cid", "left").select("cid", F.coalesce("least", "own").alias("component"))
-    whole = described.where("n > 0").join(final, "cid").select("_id", "_key", F.col("n").alias("n_shingles"), "component")
-    return whole.unionByName(described.where("n = 0").select("_id", "_key", F.col("n").alias("n_shingles"), public_id().alias("component")))
+    final = alone.join(joined, "cid", "left").select("cid", F.coalesce("least", "own").alias("component"), F.coalesce("root", "cid").alias("root"))
+    whole = described.where("n > 0").join(final, "cid").select("_id", "_key", F.col("n").alias("n_shingles"), "component", "root")
+    return whole.unionByName(described.where("n = 0").select("_id", "_key", F.col("n").alias("n_shingles"), public_id().alias("component"), F.lit(None).cast("long").alias("root")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

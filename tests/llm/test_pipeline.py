@@ -1,6 +1,7 @@
 import re
 
 import pytest
+import xxhash
 
 from rankloom.llm import decontaminate as d
 from rankloom.llm import sentencepiece as sp
@@ -46,3 +47,16 @@ def test_stage_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_copies_with_null_and_repeated_ids(spark, tmp_path):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [*cases.corpus(), (None, text("p")), (None, text("q")), (None, text("q") + " more"), (5, text("r")), (500, text("r") + " more"), (501, text("s")), (501, text("t"))]
+    group = [c for _, _, c in cases.brute_jaccard([(k, t) for k, (_, t) in enumerate(rows)])]
+    rank = lambda i, t: (i is None, i or 0, (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) if t else 0)
+    first = {}
+    for row, g in zip(rows, group, strict=True):
+        first[g] = min(first.get(g, row), row, key=lambda x: rank(*x))
+    expected = [row for row, g in zip(rows, group, strict=True) if not (row[1] or "").split() or row == first[g]]
+    got = pipeline.drop_near_copies(spark, cases.frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
+    cases.same([tuple(r) for r in got], expected)
