@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from rankloom.llm import decontaminate as d
 from rankloom.llm import jaccard_join as j
@@ -61,27 +62,41 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside occurrences of benchmark windows go, with what stands between them."""
-    windows = list(d.blocks_of(read_docs(spark, sf_dir, "benchmark"), "item_id", "text", d.BLOCK_WORDS))
-    out = docs
-    for k, block in enumerate(windows):
-        if k:
+    """Words inside occurrences of benchmark windows go, with what stands between them.
+
+    All blocks of a large benchmark are searched in the original text; the spans so far travel with the rows.
+    """
+    blocks, out = d.blocks_of(read_docs(spark, sf_dir, "benchmark"), "item_id", "text", d.BLOCK_WORDS), docs
+    block = next(blocks, None)
+    while block:
+        after = next(blocks, None)
+        out = clean_block(spark, out, d.Windows(block), docs.schema, last=not after)
+        if after:
             out = scratch(out, "decontaminated")
-        out = clean_block(spark, out, d.Windows(block))
+        block = after
     return out
 
 
-def clean_block(spark: SparkSession, docs: DataFrame, windows: d.Windows) -> DataFrame:
-    shared, names = tune(spark).sparkContext.broadcast(windows), docs.columns
+def clean_block(spark: SparkSession, rows: DataFrame, windows: d.Windows, kind: StructType, last: bool) -> DataFrame:
+    """Rows of schema ``kind`` with the spans of this block and those before; after the ``last`` the text without them."""
+    shared, names, marks = tune(spark).sparkContext.broadcast(windows), kind.names, ["__starts", "__ends"]
+    longs = pa.list_(pa.int64())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(TEXT))
             _, spans, _ = d.shard_hits(shared.value, [t.encode() for t in texts])
-            texts = [d.strip_spans(t, [a for a, _ in s], [b for _, b in s]) if s else t for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == TEXT else batch.column(c) for c in names], names=names)
-
-    return docs.mapInArrow(clean, docs.schema)
+            if marks[0] in batch.schema.names:
+                old = [list(zip(a, b, strict=True)) for a, b in zip(*(batch.column(c).to_pylist() for c in marks), strict=True)]
+                spans = [d.merged(a + b) if a else b for a, b in zip(old, spans, strict=True)]
+            if last:
+                texts = [d.strip_spans(t, [a for a, _ in s], [b for _, b in s]) if s else t for t, s in zip(texts, spans, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == TEXT else batch.column(c) for c in names], names=names)
+            else:
+                found = [pa.array([[s[k] for s in x] for x in spans], longs) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], names=[*names, *marks])
+
+    return rows.mapInArrow(clean, kind if last else StructType([*kind.fields, *(StructField(c, ArrayType(LongType())) for c in marks)]))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,15 @@ def test_near_copies_with_null_and_repeated_ids(spark, tmp_path):
     expected = [row for row, g in zip(rows, group, strict=True) if not (row[1] or "").split() or row == first[g]]
     got = pipeline.drop_near_copies(spark, cases.frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
     cases.same([tuple(r) for r in got], expected)
+
+
+@pytest.mark.parametrize("block", [1 << 21, 12])
+def test_passages_of_many_blocks(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(d, "BLOCK_WORDS", block)
+    words = [f"w{k}" for k in range(60)]
+    cut = words[:5] + words[30:35]  # neighbours only after words 5 to 29 are gone
+    items = [(1, " ".join(words[5:20])), (2, " ".join(words[15:30])), (3, " ".join(cut)), (4, " ".join(words[40:52]))]
+    rows = [(1, " ".join(words)), (2, ", ".join(words[10:26])), (3, None), (4, "clean text"), (None, " ".join(cut))]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = pipeline.drop_benchmark_passages(spark, cases.frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
+    assert {r.doc_id: r.text.split() for r in got} == {1: words[:5] + words[30:40] + words[52:], 2: [], 3: [], 4: ["clean", "text"], None: []}
