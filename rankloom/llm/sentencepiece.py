@@ -7,7 +7,8 @@ Each distinct unit is encoded once, in DataFrame operations only: all its substr
 length are exploded, joined with the piece table on the piece, grouped by unit as edges of a lattice, and folded
 by a Viterbi pass over the edges (higher-order ``aggregate``): the path with the largest sum of piece
 scores wins; of equal sums the one whose last differing piece is the longest.  A character without piece goes
-as its UTF-8 bytes.  A unit of more than ``MAX_UNIT`` characters is cut into blocks of that length.
+as its UTF-8 bytes.  A unit of more than ``MAX_UNIT`` characters (a rule of dashes, a run of letters) isn't a row of
+these tables: it is encoded whole where its document is read, by the same Viterbi pass in time linear in its length.
 
 The vocabulary is a public one and is not trained here.  Its own encoder merges pairs greedily; this operator
 maximises the score instead, so ids may differ from that encoder's, and decoding gives the text back exactly.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import partitions, public_id, read_docs, released, row_id, scratch, strings, tune
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a unit, units that are broadcast (about 24 bytes each), units that a task counts at a time.
+#: Characters of a unit of the tables, units that are broadcast (about 24 bytes each), units that a task counts at a time.
 MAX_UNIT, TABLE, COUNTED = 64, 1 << 22, 1 << 17
 #: Score of a byte piece that stands for a part of a character without piece.
 BYTE_SCORE = -1e6
@@ -47,10 +49,7 @@ _UNIT = regex.compile(r" *[\p{L}\p{M}]+| *[^ \n\p{L}\p{M}]+| +|\n")
 
 def units(text: str) -> list[str]:
     """The units of a text, in order; together they are a blank and the text."""
-    found = _UNIT.findall(f" {text}") if text else []
-    if any(len(u) > MAX_UNIT for u in found):
-        found = [u[k : k + MAX_UNIT] for u in found for k in range(0, len(u), MAX_UNIT)]
-    return found
+    return _UNIT.findall(f" {text}") if text else []
 
 
 class Pieces:
@@ -80,6 +79,36 @@ class Pieces:
             raise ValueError(f"pieces that reach over a unit's border: {bad[:5]}")
         self.longest = max(len(p) for p, _, _ in self.rows)
 
+    @cached_property
+    def best(self) -> dict[str, tuple[int, float]]:
+        """The id and score of each piece."""
+        out: dict[str, tuple[int, float]] = {}
+        for piece, i, score in self.rows:
+            if piece not in out or score > out[piece][1]:
+                out[piece] = i, score
+        return out
+
+    def encode(self, unit: str) -> np.ndarray:
+        """The ids of a long unit; the same path as that of ``lattice``."""
+        best, n = self.best, len(unit)
+        value, begin, last = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for e in range(1, n + 1):
+            top = None
+            for s in range(max(0, e - self.longest), e):
+                found = best.get(unit[s:e])
+                if found is None:
+                    if e - s > 1:
+                        continue
+                    found = -1 - ord(unit[s]), BYTE_SCORE * len(unit[s].encode())
+                if top is None or value[s] + found[1] > top:
+                    top = value[e] = value[s] + found[1]
+                    begin[e], last[e] = s, found[0]
+        ids, at = [], n
+        while at:
+            ids.append(last[at])
+            at = begin[at]
+        return np.array([i for x in reversed(ids) for i in ([x] if x >= 0 else [self.of_byte[b] for b in chr(-1 - x).encode()])], np.int32)
+
     def decode(self, ids: np.ndarray) -> str:
         text = self.text
         return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
@@ -118,7 +147,7 @@ def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in strings(batch.column("_text")):
-            held.update(units(text))
+            held.update([u for u in units(text) if len(u) <= MAX_UNIT])
         if len(held) > COUNTED:
             yield from rows()
             held.clear()
@@ -126,7 +155,7 @@ def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encoded_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) of all distinct units, in the shared folder."""
+    """(unit, n, ids) of all distinct units that aren't long, in the shared folder."""
     counts = scratch(rows.select("_text").mapInArrow(count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "units")
     spread = counts.select("unit").repartition(partitions(rows.sparkSession), "unit")  # kept by the explosion and the grouping
     return counts, scratch(lattice(spread, pieces), "encoded-units")
@@ -220,16 +249,24 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.string())],
                                           names=["_id", "ids", "n_pieces", "decoded"])
 
+    def ids_of(found: list[str], at: np.ndarray, extra: dict[str, np.ndarray]) -> np.ndarray:
+        """Ids of units at places ``at`` of the table, in ``extra``, or long."""
+        known, own = shared.value
+        if len(at) == 0 or at.min() >= 0:
+            return known.gather(at)
+        return np.concatenate([known.gather(at[i : i + 1]) if at[i] >= 0 else own.encode(u) if len(u) > MAX_UNIT else extra[u] for i, u in enumerate(found)])
+
     @released
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value[0]
         for batch in batches:
             doc, ids = [], []
             for key, text in zip(batch.column("_id").to_pylist(), strings(batch.column("_text")), strict=True):
-                at = known.find(units(text))
-                if len(at) == 0 or at.min() >= 0:
+                found = units(text)
+                at = known.find(found)
+                if all(len(found[i]) > MAX_UNIT for i in np.flatnonzero(at < 0)):
                     doc.append(key)
-                    ids.append(known.gather(at))
+                    ids.append(ids_of(found, at, {}))
             yield result(doc, ids)
 
     @released
@@ -240,7 +277,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
             at, missing = [], []
             for k, text in enumerate(strings(batch.column("_text"))):
                 found = units(text)
-                lack = sorted({found[i] for i in np.flatnonzero(known.find(found) < 0)})
+                lack = sorted({found[i] for i in np.flatnonzero(known.find(found) < 0) if len(found[i]) <= MAX_UNIT})
                 if lack:
                     at.append(k)
                     missing.append(lack)
@@ -260,7 +297,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
                 found = units(text)
                 at = known.find(found)
                 extra = {m["unit"]: expand(pa.array([m["ids"]], pa.list_(pa.int32())), own)[1] for m in more}
-                ids.append(np.concatenate([known.gather(at[i : i + 1]) if at[i] >= 0 else extra[u] for i, u in enumerate(found)]))
+                ids.append(ids_of(found, at, extra))
                 doc.append(key)
             yield result(doc, ids)
 

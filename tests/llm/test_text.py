@@ -120,6 +120,15 @@ def test_sentencepiece(spark, table):
     assert sp.encode(cases.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("table", [1 << 22, 3])
+def test_sentencepiece_long_units(spark, table):
+    texts = ["-" * 80, "internationalization" * 5, "see " + "=" * 130 + " and " + "." * 65 + "\n" + " " * 90 + "x", "ȸ" * 70 + "é" * 70, "-" * 63, "-" * 64, "short", "-" * 70000]
+    pieces = sp.Pieces(sp.MODEL)
+    out = sp.encode(cases.frame(spark, list(enumerate(texts))), table=table).select("_id", "ids", "decoded").collect()
+    got = {r._id: (np.frombuffer(r.ids, "<i4").tolist(), r.decoded) for r in out}
+    assert got == {i: (viterbi(f" {t}", pieces), t) for i, t in enumerate(texts)}
+
+
 def test_packing(spark):
     rows = cases.corpus(40)
     out = pack.pack_tokens(cases.frame(spark, rows), length=64, batch_tokens=2000).collect()
