@@ -741,8 +741,13 @@ def _(spark, sf):
 
 @query("sortable_numbers", "SELECT o_orderkey, o_orderkey AS back, row_number() OVER (ORDER BY o_orderkey)::INT AS rank FROM orders WHERE o_orderkey <= 2000")
 def _(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderkey <= 2000").select("o_orderkey", S.long_to_sortable(F.col("o_orderkey").cast("long")).alias("s"))
-    return rows.select("o_orderkey", S.sortable_to_long(F.col("s")).alias("back"), F.row_number().over(Window.orderBy("s")).alias("rank"))
+    rows = table(spark, sf, "orders").select("o_orderkey", S.long_to_sortable(F.col("o_orderkey").cast("long")).alias("s"))
+    # strings that share all but the last three digits are ranked together, after the counts of lower beginnings; nulls are last
+    rows = rows.withColumn("begin", F.coalesce(F.substring("s", 1, 11), F.lit("~")))
+    lower = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("begin").count().select("begin", F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("begin").orderBy("s"))
+    return rows.join(before, "begin").select("o_orderkey", S.sortable_to_long(F.col("s")).alias("back"), (F.col("before") + place).cast("int").alias("rank"))
 
 
 @query("page_text", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages".replace('\\"', '"'))
