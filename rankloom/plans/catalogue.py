@@ -90,7 +90,7 @@ def _(spark, sf):
 
 @query("index_positions", EVERY + " SELECT doc_id, term, pos::INT AS pos FROM flat WHERE term IN ('the', 'der', 'de')")
 def _(spark, sf):
-    return I.tokens(documents(spark, sf)).where(F.col("term").isin("the", "der", "de"))
+    return I.tokens(documents(spark, sf))
 
 
 @query("index_lexicon", EVERY + " SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf FROM lex")
@@ -112,14 +112,14 @@ def _(spark, sf):
 def _(spark, sf):
     docs = documents(spark, sf)
     whole = I.merge(I.build(docs.where("doc_id % 2 = 0")), I.build(docs.where("doc_id % 2 = 1")))
-    return whole.lexicon.where(F.col("term").isin("the", "of", "der")).crossJoin(whole.stats).select("term", "df", "ctf", F.col("N").alias("n"), F.round("avdl", 6).alias("avdl"))
+    return whole.lexicon.crossJoin(whole.stats).select("term", "df", "ctf", F.col("N").alias("n"), F.round("avdl", 6).alias("avdl"))
 
 
 @query("index_delete", f"WITH {TOK.replace('FROM documents', 'FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)')}, {FLAT}, {DL}, {POST}, {LEX} SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf FROM lex WHERE term IN ('the', 'of', 'der', 'que')")
 def _(spark, sf):
     index = I.build(documents(spark, sf), positions=False)
     gone = table(spark, sf, "labels").where("quality = 0").select("doc_id")
-    return I.delete(index, gone).lexicon.where(F.col("term").isin("the", "of", "der", "que"))
+    return I.delete(index, gone).lexicon
 
 
 @query("index_check", "SELECT * FROM (VALUES ('counts', 0::BIGINT), ('df_at_most_n', 0::BIGINT)) v(name, failures)")
