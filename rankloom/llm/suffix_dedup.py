@@ -11,20 +11,21 @@ the same anchor form one segment (``SPAN`` to ``2 * SPAN - ANCHOR`` bytes), and:
 3. The segments of a bucket are sorted by suffix, anchors together, in bounded chunks.  A stack scan of
    the common prefixes of neighbours builds the common-prefix intervals of at least ``SPAN`` bytes; one
    whose suffixes differ in the byte to their left is a maximal repeat, with all its occurrences.  An
-   anchor with more than ``GROUP`` distinct segments is dealt on by the bytes of each single string.
+   anchor with more than ``GROUP`` distinct segments is dealt on by the hash of each single string, and streamed.
 4. The occurrences of the segments carry the repeats back to the documents, where they are merged.
 
-Documents are joined twice by key, and no stage holds more than a chunk.
+Documents are joined twice by key, and no stage holds more than a chunk; only step 2 holds a bucket's entries, as they came.
 
 Defined results: null and empty text have no bytes and lose none; a text shorter than ``SPAN`` bytes loses
 none; rows that repeat id and text are two documents, and repeat each other; a null id is kept as null;
-other columns are ignored.  Hashes have 104 bits for a segment and 64 for a single string of a large group.
+other columns are ignored.  Hashes have 104 bits for a segment and 128 for a single string of a large group.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,13 @@ from .kernels import BYTE, POWERS, mix, prefix_sums
 #: Bytes of a string that counts as repeated, and of its anchor.
 SPAN, ANCHOR = 200, 100
 #: Distinct segments of one anchor that are sorted together, and bytes of segments in one sorted chunk.
-GROUP, CHUNK = 8192, 1 << 20
-#: Segments that a task holds before it ships them.
-HELD = 1 << 21
+GROUP, CHUNK = 2048, 1 << 18
+#: Segments that a task holds before it ships them, entries of a bucket that are compared together, suffixes whose prefixes are.
+HELD, COMPARED, SLICE = 1 << 20, 1 << 18, 1 << 13
 #: Bytes that are cut into segments at a time.
 PIECE = 1 << 19
+#: Values of bytes for the second hash of a single string.
+SECOND = mix(BYTE)
 
 ENTRY = np.dtype([("anchor", "<u4"), ("anchor_low", "u1"), ("hash", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("size", "<u2"), ("many", "u1")])
 
@@ -107,20 +110,21 @@ def cut_documents(texts: list[bytes], span: int, anchor: int) -> Iterator[tuple[
 
 
 def spot_names() -> list[str]:
-    return ["bucket", "blob", "_id", "_key", "start", "size", "seg"]
+    return ["bucket", "blob", "_id", "_key", "start", "size", "seg", "hash"]
 
 
-SPOTS = "bucket int, blob binary, _id long, _key long, start int, size int, seg long"
+SPOTS = "bucket int, blob binary, _id long, _key long, start int, size int, seg long, hash long"
 
 
 def segment_id(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Of both hashes; with the segment's own hash beside it, it stands for all their bits."""
     return mix(mix(anchor) + whole).view(np.int64)
 
 
-def spots(ids, keys, start, size, seg) -> pa.RecordBatch:
+def spots(ids, keys, start, size, seg, whole) -> pa.RecordBatch:
     n = len(seg)
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.asarray(start, np.int32)),
-                                       pa.array(np.asarray(size, np.int32)), pa.array(np.asarray(seg, np.int64))], names=spot_names())
+                                       pa.array(np.asarray(size, np.int32)), pa.array(np.asarray(seg, np.int64)), pa.array(whole.view(np.int64))], names=spot_names())
 
 
 def ship(span: int, anchor: int, buckets: int):
@@ -132,35 +136,40 @@ def ship(span: int, anchor: int, buckets: int):
         ids, keys, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, start, anchors, whole, length = (np.concatenate([h[k] for h in held]) for k in range(5))
-            order = np.lexsort((whole, anchors))
-            doc, start, anchors, whole, length = doc[order], start[order], anchors[order], whole[order], length[order]
-            fresh = np.append(True, (anchors[1:] != anchors[:-1]) | (whole[1:] != whole[:-1]))
-            begin = np.flatnonzero(fresh)
+            anchors, whole = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+            of = ((anchors >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)) << np.uint64(40) | low40(anchors)  # bucket, then what travels
+            del anchors
+            order = np.lexsort((whole, of))
+            of, whole = of[order], whole[order]
+            doc, start, length = (np.concatenate([h[k] for h in held])[order] for k in (0, 1, 4))
+            held.clear()
+            del order
+            begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (whole[1:] != whole[:-1])))
             counts = np.diff(np.append(begin, len(doc)))
             id_array, key_array = np.array(ids, np.int64), np.array(keys, np.int64)
             more = np.repeat(counts > 1, counts)
             for lo in range(0, len(doc), 1 << 17):
                 at = lo + np.flatnonzero(more[lo : lo + (1 << 17)])
                 if len(at):
-                    yield spots(id_array[doc[at]], key_array[doc[at]], start[at], length[at], segment_id(low40(anchors[at]), whole[at]))
+                    yield spots(id_array[doc[at]], key_array[doc[at]], start[at], length[at], segment_id(low40(of[at]), whole[at]), whole[at])
             out = np.zeros(len(begin), ENTRY)
-            a = anchors[begin]
-            out["anchor"], out["anchor_low"], out["hash"] = (a >> np.uint64(8)).astype(np.uint32), a.astype(np.uint8), whole[begin]
+            a = of[begin]
+            out["anchor"], out["anchor_low"], out["hash"] = (low40(a) >> np.uint64(8)).astype(np.uint32), a.astype(np.uint8), whole[begin]
             out["doc"], out["start"], out["size"], out["many"] = doc[begin], start[begin], length[begin], counts > 1
-            of = ((a >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-            cut = np.searchsorted(of, np.arange(buckets + 1))
+            cut = np.searchsorted(a >> np.uint64(40), np.arange(buckets + 1, dtype=np.uint64))
             at = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            blobs = [pack(out[cut[b] : cut[b + 1]], id_array, key_array) for b in at]
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=spot_names())
+            for lo in range(0, len(at), 64):
+                part = at[lo : lo + 64]
+                blobs, n = [pack(out[cut[b] : cut[b + 1]], id_array, key_array) for b in part], len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=spot_names())
 
         for batch in batches:
             base = len(ids)
             ids += batch.column("_id").to_pylist()
             keys += batch.column("_key").to_pylist()
             for doc, *rest in cut_documents(binaries(batch.column("_text")), span, anchor):
-                held.append((doc + base, *rest))
+                start, anchors, whole, length = rest
+                held.append(((doc + base).astype(np.int32), start.astype(np.int32), anchors, whole, length.astype(np.int16)))
                 size += len(doc)
             if size > HELD:
                 yield from flush()
@@ -179,97 +188,104 @@ def low40(anchors: np.ndarray) -> np.ndarray:
 def pack(entries: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
     """Entries column by column, after the ids and keys of their documents."""
     docs, entries["doc"] = np.unique(entries["doc"], return_inverse=True)
-    columns = [np.ascontiguousarray(entries[c]).tobytes() for c in ENTRY.names]
+    columns = [entries[c].tobytes() for c in ENTRY.names]
     return b"".join([len(docs).to_bytes(4, "little"), len(entries).to_bytes(4, "little"), ids[docs].tobytes(), keys[docs].tobytes(), *columns])
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The columns of the entries, ids and keys, as views of the blob."""
     d, n = (int.from_bytes(blob[k : k + 4], "little") for k in (0, 4))
-    at, out = 8 + 16 * d, np.empty(n, ENTRY)
+    at, out = 8 + 16 * d, {}
     for c in ENTRY.names:
-        kind = ENTRY[c]
-        out[c] = np.frombuffer(blob, kind, n, at)
-        at += n * kind.itemsize
+        out[c] = np.frombuffer(blob, ENTRY[c], n, at)
+        at += n * ENTRY[c].itemsize
     return out, np.frombuffer(blob, np.int64, d, 8), np.frombuffer(blob, np.int64, d, 8 + 8 * d)
 
 
 #: Kinds of rows: a place of a segment whose anchor repeats; the copy of it that is read; the same in a large group.
 PLACE, COPY, COPY_LARGE = 0, 1, 2
-FOUND = "kind int, _id long, _key long, start int, size int, seg long, anchor long, many boolean"
+FOUND = "kind int, _id long, _key long, start int, size int, seg long, hash long, anchor long, many boolean"
 
 
 def repeated(group: int):
-    """Step 2: the places of a bucket's segments with repeated anchors, and one copy of each distinct segment."""
+    """Step 2: the places of a bucket's segments with repeated anchors, and one copy of each distinct segment.
 
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, ids, keys, base = [], [], [], 0
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                entries, i, k = unpack(blob)
-                entries["doc"] += base
-                parts.append(entries)
-                ids.append(i)
-                keys.append(k)
-                base += len(i)
-        if not parts:
-            return
-        entries, id_array, key_array = np.concatenate(parts), np.concatenate(ids), np.concatenate(keys)
-        parts.clear()
-        anchors = entries["anchor"].astype(np.uint64) << np.uint64(8) | entries["anchor_low"]
-        order = np.lexsort((entries["hash"], anchors))
-        entries, anchors = entries[order], anchors[order]
+    The blobs of a bucket stay as they came; ranges of their anchors are compared one after the other.
+    """
+
+    def compared(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        column = lambda c: np.concatenate([p[0][c][p[3] : p[4]] for p in parts])
+        doc = [p[0]["doc"][p[3] : p[4]] for p in parts]
+        id_array, key_array = (np.concatenate([p[k][d] for p, d in zip(parts, doc, strict=True)]) for k in (1, 2))
+        anchors, whole, many = column("anchor").astype(np.uint64) << np.uint64(8) | column("anchor_low"), column("hash"), column("many")
+        start, size = column("start"), column("size")
+        order = np.lexsort((whole, anchors))
+        anchors, many = anchors[order], many[order]
         begin = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
         sizes = np.diff(np.append(begin, len(anchors)))
-        alive = (sizes > 1) | (np.maximum.reduceat(entries["many"], begin) > 0)
-        keep = np.repeat(alive, sizes)
-        entries, anchors = entries[keep], anchors[keep]
-        if not len(entries):
+        keep = np.repeat((sizes > 1) | (np.maximum.reduceat(many, begin) > 0), sizes)
+        order, anchors, many = order[keep], anchors[keep], many[keep]
+        if not len(order):
             return
-        seg = segment_id(anchors, entries["hash"].astype(np.uint64))
-        fresh = np.append(True, (anchors[1:] != anchors[:-1]) | (entries["hash"][1:] != entries["hash"][:-1]))
-        begin = np.flatnonzero(fresh)
+        whole, start, size, id_array, key_array = whole[order], start[order], size[order], id_array[order], key_array[order]
+        seg = segment_id(anchors, whole)
+        begin = np.flatnonzero(np.append(True, (anchors[1:] != anchors[:-1]) | (whole[1:] != whole[:-1])))
         counts = np.diff(np.append(begin, len(seg)))
-        many = (counts > 1) | (np.maximum.reduceat(entries["many"], begin) > 0)
+        repeats = (counts > 1) | (np.maximum.reduceat(many, begin) > 0)
         # distinct segments of each anchor
         of = anchors[begin]
         edge = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         distinct = np.diff(np.append(edge, len(of)))
         kind = np.where(np.repeat(distinct, distinct) > group, COPY_LARGE, COPY)
-        places = np.flatnonzero(entries["many"] == 0)  # those of the others are out already
-        for which, at, kinds, manys in ((0, places, np.full(len(places), PLACE), np.zeros(len(places), bool)), (1, begin, kind, many)):
-            for lo in range(0, len(at), 1 << 17):
-                p, part = at[lo : lo + (1 << 17)], slice(lo, lo + (1 << 17))
-                doc = entries["doc"][p]
+        places = np.flatnonzero(many == 0)  # those of the others are out already
+        for at, kinds, manys in ((places, np.full(len(places), PLACE), np.zeros(len(places), bool)), (begin, kind, repeats)):
+            for lo in range(0, len(at), 1 << 16):
+                p, part = at[lo : lo + (1 << 16)], slice(lo, lo + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds[part].astype(np.int32)), pa.array(id_array[doc]), pa.array(key_array[doc]), pa.array(entries["start"][p].astype(np.int32)), pa.array(entries["size"][p].astype(np.int32)),
-                     pa.array(seg[p]), pa.array(anchors[p].view(np.int64)), pa.array(manys[part])], names=[x.split()[0] for x in FOUND.split(", ")])
+                    [pa.array(kinds[part].astype(np.int32)), pa.array(id_array[p]), pa.array(key_array[p]), pa.array(start[p].astype(np.int32)), pa.array(size[p].astype(np.int32)),
+                     pa.array(seg[p]), pa.array(whole[p].view(np.int64)), pa.array(anchors[p].view(np.int64)), pa.array(manys[part])], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
+        ranges = max(1, -(-sum(len(b[0]["doc"]) for b in blobs) // COMPARED))
+        bounds = [[0] * len(blobs)]
+        for k in range(1, ranges):
+            bounds.append([int(np.searchsorted(b[0]["anchor"], np.uint32((k << 32) // ranges))) for b in blobs])
+        bounds.append([len(b[0]["doc"]) for b in blobs])
+        for low, high in pairwise(bounds):
+            parts = [(*blob, a, b) for blob, a, b in zip(blobs, low, high, strict=True) if a < b]
+            if parts:
+                yield from compared(parts)
 
     return run
 
 
 def read_copies(span: int):
-    """Step 3, reading: (anchor, seg, many, at, bytes); in large groups each string of ``span`` bytes by its hash, without bytes."""
+    """Step 3, reading: (anchor, check, seg, hash, many, at, bytes); in large groups each string of ``span`` bytes by two hashes, without bytes."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "seg", "many", "at", "bytes"]
+        names = ["anchor", "check", "seg", "hash", "many", "at", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
         for batch in batches:
             out: list[tuple] = []
             for text, copies in zip(binaries(batch.column("_text")), batch.column("copies").to_pylist(), strict=True):
                 for c in copies:
                     part = text[c["start"] : c["start"] + c["size"]]
                     if c["kind"] == COPY:
-                        out.append((c["anchor"], c["seg"], c["many"], 0, part))
+                        out.append((c["anchor"], 0, c["seg"], c["hash"], c["many"], 0, part))
                     else:
-                        sums = prefix_sums(BYTE[np.frombuffer(part, np.uint8)])
-                        n = len(part) - span + 1
-                        of = mix((sums[span:] - sums[:-span]) * POWERS.get(n)[1]).view(np.int64)
-                        out += [(h, c["seg"], c["many"], at, None) for at, h in enumerate(of.tolist())]
-            for lo in range(0, len(out), 1 << 15):
-                part = out[lo : lo + (1 << 15)]
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate(kinds)], names=names)
+                        data, n = np.frombuffer(part, np.uint8), len(part) - span + 1
+                        two = []
+                        for values in (BYTE, SECOND):
+                            sums = prefix_sums(values[data])
+                            two.append(mix((sums[span:] - sums[:-span]) * POWERS.get(n)[1]).view(np.int64).tolist())
+                        out += [(x, y, c["seg"], c["hash"], c["many"], at, None) for at, (x, y) in enumerate(zip(*two, strict=True))]
+                    if len(out) >= 1 << 13:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
+                        out = []
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
 
     return run
 
@@ -288,16 +304,17 @@ def maximal_repeats(strings: list[bytes], span: int) -> Iterator[tuple[int, np.n
     suffixes = [strings[w][o:] for w, o in zip(which.tolist(), offset.tolist(), strict=True)]
     order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
     lengths = np.array([len(suffixes[i]) for i in order])
-    width = int(lengths.max())
-    table = np.zeros((len(order), width + 1), np.uint8)
-    flat = np.frombuffer(b"".join(suffixes[i] for i in order), np.uint8)
-    table[np.arange(width + 1) < lengths[:, None]] = flat
-    del suffixes, flat
+    common = np.zeros(len(order) - 1, np.int64)
+    for lo in range(0, len(order) - 1, SLICE):
+        part = lengths[lo : lo + SLICE + 1]
+        width = int(part.max())
+        table = np.zeros((len(part), width), np.uint8)
+        table[np.arange(width) < part[:, None]] = np.frombuffer(b"".join([suffixes[i] for i in order[lo : lo + SLICE + 1]]), np.uint8)
+        differs = np.ones((len(part) - 1, width + 1), bool)
+        np.not_equal(table[1:], table[:-1], out=differs[:, :width])
+        common[lo : lo + len(part) - 1] = np.minimum(differs.argmax(axis=1), np.minimum(part[1:], part[:-1]))
+    del suffixes
     which, offset = which[order], offset[order]
-    differs = table[1:] != table[:-1]
-    differs[:, width] = True
-    common = np.minimum(differs.argmax(axis=1), np.minimum(lengths[1:], lengths[:-1]))
-    del differs, table
     left = np.array([strings[w][o - 1] if o else -1 - i for i, (w, o) in enumerate(zip(which.tolist(), offset.tolist(), strict=True))])
     changes = np.concatenate(([0], np.cumsum(left[1:] != left[:-1])))  # a range has one left byte if this is the same at both ends
     stack: list[tuple[int, int]] = []  # (common prefix, first suffix) of the open intervals
@@ -349,45 +366,51 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 
 def sort_segments(span: int):
-    """Step 3, sorting: rows in order of anchor -> (seg, begin, end) of what is repeated."""
+    """Step 3, sorting: rows in order of anchor and check -> (seg, hash, begin, end) of what is repeated."""
+    names = ("anchor", "check", "seg", "hash", "many", "at", "bytes")
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
         chunk: list[tuple] = []
-        current, size = None, 0
+        single: list[tuple] = []  # places of a string of a large group that is repeated; or its first place so far
+        current, size, repeated_ = None, 0, False
 
-        def emit(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.int32()) for k in (1, 2))], names=["seg", "begin", "end"])
+        def emit(found: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names=["seg", "hash", "begin", "end"])
 
         def flush() -> pa.RecordBatch:
-            spans = covered([x[4] for x in chunk], [x[2] for x in chunk], span)
-            return emit([(x[1], a, b) for x, s in zip(chunk, spans, strict=True) for a, b in s])
-
-        def close() -> None:
-            nonlocal group, size
-            if group and group[0][4] is None:
-                if len(group) > 1 or group[0][2]:
-                    single.extend((x[1], x[3], x[3] + span) for x in group)
-            else:
-                chunk.extend(group)
-                size += sum(len(x[4]) for x in group)
-            group = []
-
-        single: list[tuple[int, int, int]] = []
+            spans = covered([x[6] for x in chunk], [x[4] for x in chunk], span)
+            return emit([(x[2], x[3], a, b) for x, s in zip(chunk, spans, strict=True) for a, b in s])
+
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "seg", "many", "at", "bytes")), strict=True):
-                if (row[0], row[4] is None) != current:
-                    close()
-                    current = row[0], row[4] is None
-                    if size > CHUNK:
-                        yield flush()
-                        chunk, size = [], 0
-                    if len(single) > 1 << 15:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                anchor, check, seg, whole, many, at, text = row
+                fresh = (anchor, check, text is None) != current
+                if text is None:
+                    if fresh:
+                        if current and current[2] and not repeated_:
+                            single.pop()
+                        repeated_ = False
+                        if len(single) > 1 << 13:
+                            yield emit(single)
+                            single = []
+                    elif len(single) > 1 << 13 and repeated_:
                         yield emit(single)
                         single = []
-                group.append(row)
-        close()
+                    repeated_ |= many or not fresh
+                    single.append((seg, whole, at, at + span))
+                else:
+                    if fresh and current and current[2] and not repeated_:
+                        single.pop()
+                    if fresh and size > CHUNK:
+                        yield flush()
+                        chunk, size = [], 0
+                    chunk.append(row)
+                    size += len(text)
+                current = anchor, check, text is None
+        if current and current[2] and not repeated_:
+            single.pop()
         if chunk:
             yield flush()
         if single:
@@ -404,13 +427,13 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shipped = scratch(rows.mapInArrow(ship(span, anchor, parts), SPOTS), "segments")
     blobs = shipped.where("blob IS NOT NULL").select("bucket", "blob").repartition(parts, "bucket")
     found = scratch(blobs.mapInArrow(repeated(group), FOUND), "repeated-segments")
-    copies = found.where(F.col("kind") != PLACE).groupBy("_id", "_key").agg(F.collect_list(F.struct("kind", "start", "size", "seg", "anchor", "many")).alias("copies"))
-    texts = rows.join(copies, ["_id", "_key"]).select("_text", "copies").mapInArrow(read_copies(span), "anchor long, seg long, many boolean, at int, bytes binary")
-    dealt = texts.repartition(parts, "anchor").sortWithinPartitions("anchor", F.col("bytes").isNull())
+    copies = found.where(F.col("kind") != PLACE).groupBy("_id", "_key").agg(F.collect_list(F.struct("kind", "start", "size", "seg", "hash", "anchor", "many")).alias("copies"))
+    texts = rows.join(copies, ["_id", "_key"]).select("_text", "copies").mapInArrow(read_copies(span), "anchor long, check long, seg long, hash long, many boolean, at int, bytes binary")
+    dealt = texts.repartition(parts, "anchor").sortWithinPartitions("anchor", F.col("bytes").isNull(), "check")
     # written, so that the join below can split the places of a very common segment
-    spans = scratch(dealt.mapInArrow(sort_segments(span), "seg long, begin int, end int").groupBy("seg").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "segment-spans")
-    places = found.where(F.col("kind") == PLACE).select("_id", "_key", "start", "seg").unionByName(shipped.where("blob IS NULL").select("_id", "_key", "start", "seg"))
-    hits = places.join(spans, "seg").select("_id", "_key", F.transform("spans", lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
+    spans = scratch(dealt.mapInArrow(sort_segments(span), "seg long, hash long, begin int, end int").groupBy("seg", "hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "segment-spans")
+    places = found.where(F.col("kind") == PLACE).select("_id", "_key", "start", "seg", "hash").unionByName(shipped.where("blob IS NULL").select("_id", "_key", "start", "seg", "hash"))
+    hits = places.join(spans, ["seg", "hash"]).select("_id", "_key", F.transform("spans", lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
     return hits.groupBy("_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
