@@ -8,14 +8,16 @@ length are exploded, joined with the piece table on the piece, grouped by unit a
 by a Viterbi pass over the edges (higher-order ``aggregate``): the path with the largest sum of piece
 scores wins; of equal sums the one whose last differing piece is the longest.  A character without piece goes
 as its UTF-8 bytes.  A unit of more than ``MAX_UNIT`` characters (a rule of dashes, a run of letters) isn't a row of
-these tables: it is encoded whole where its document is read, by the same Viterbi pass in time linear in its length.
+these tables, as the fold copies its array of places at each step: it is encoded whole where its document is read, by the
+same Viterbi pass in time linear in its length.
 
 The vocabulary is a public one and is not trained here.  Its own encoder merges pairs greedily; this operator
 maximises the score instead, so ids may differ from that encoder's, and decoding gives the text back exactly.
 
 The encoded units are looked up in two ways.  The ``TABLE`` most frequent ones (of all units' counts) are broadcast
 as packed arrays of bounded size, and documents made of these only are encoded where they are read.  For the other
-documents the remaining units are joined by shuffle.
+documents the remaining units are joined by shuffle.  Workers tell units by 64-bit hashes of their characters, computed
+over arrays of code points; no string is made for a unit that isn't new.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; a null id is kept as null;
 repeated rows are encoded one by one; other columns are ignored.
@@ -24,27 +26,28 @@ repeated rows are encoded one by one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
-from itertools import islice
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, public_id, read_docs, released, row_id, scratch, strings, tune
+from .kernels import BASE, POWERS, mix, prefix_sums
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a unit of the tables, units that are broadcast (about 24 bytes each), units that a task counts at a time.
-MAX_UNIT, TABLE, COUNTED = 64, 1 << 22, 1 << 17
+#: Characters of a unit of the tables, units that are broadcast (about 24 bytes each).
+MAX_UNIT, TABLE = 512, 1 << 22
+#: Characters that are hashed at a time; units and characters that a task counts at a time.
+BLOCK, COUNTED, READ = 1 << 18, 1 << 19, 1 << 23
 #: Score of a byte piece that stands for a part of a character without piece.
 BYTE_SCORE = -1e6
 
 _UNIT = regex.compile(r" *[\p{L}\p{M}]+| *[^ \n\p{L}\p{M}]+| +|\n")
+OTHER, LETTER, BLANK, FEED = range(4)
 
 
 def units(text: str) -> list[str]:
@@ -52,6 +55,65 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(f" {text}") if text else []
 
 
+@cache
+def kinds() -> np.ndarray:
+    """The kind of each code point."""
+    out = np.zeros(0x110000, np.uint8)
+    for found in regex.finditer(r"[\p{L}\p{M}]+", "".join(map(chr, range(0x110000)))):
+        out[found.start() : found.end()] = LETTER
+    out[ord(" ")], out[ord("\n")] = BLANK, FEED
+    return out
+
+
+@cache
+def values() -> np.ndarray:
+    """A 64-bit value for each code point."""
+    return mix(np.arange(1, 0x110001, dtype=np.uint64) * BASE)
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def hashes_between(code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums = prefix_sums(values()[code])
+    return mix((sums[end] - sums[begin]) * POWERS.get(len(code) + 1)[1][begin])
+
+
+def hash_units(found: list[str]) -> np.ndarray:
+    ends = np.cumsum([len(u) for u in found], dtype=np.int64)
+    return hashes_between(codes("".join(found)), np.append(0, ends[:-1]), ends) if found else np.zeros(0, np.uint64)
+
+
+def unit_spans(joined: str, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, begins, ends) of the units of ``joined``, block by block; at each of ``starts`` a text begins."""
+    at, size = 0, BLOCK
+    while at < len(joined):
+        stop = min(len(joined), at + size)
+        code = codes(joined[at:stop])
+        kind = kinds()[code]
+        fresh = np.ones(len(code), bool)
+        fresh[1:] = (kind[1:] != kind[:-1]) & ((kind[:-1] != BLANK) | (kind[1:] == FEED)) | (kind[1:] == FEED)
+        fresh[starts[np.searchsorted(starts, at) : np.searchsorted(starts, stop)] - at] = True
+        begin = np.flatnonzero(fresh)
+        if stop == len(joined):
+            end = np.append(begin[1:], len(code))
+        elif len(begin) > 1:  # the last unit may go on
+            begin, end = begin[:-1], begin[1:]
+        else:
+            size *= 2
+            continue
+        yield hashes_between(code[: end[-1]], begin, end), begin + at, end + at
+        at, size = at + int(end[-1]), BLOCK
+
+
+def join_texts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """(texts that aren't empty, each after a blank; where these begin; their numbers)."""
+    of = np.array([k for k, t in enumerate(texts) if t], np.int64)
+    sizes = np.array([len(texts[k]) + 1 for k in of.tolist()], np.int64)
+    return "".join([f" {t}" for t in texts if t]), np.cumsum(sizes) - sizes, of
+
+
 class Pieces:
     """The vocabulary: (piece with blanks, id, score) of all ordinary pieces, and the ids of bytes."""
 
@@ -113,17 +175,34 @@ class Pieces:
         text = self.text
         return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
+    @cached_property
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the bytes of all pieces, where each begins, how many it has)."""
+        size = np.array([len(t) for t in self.text], np.int64)
+        return np.frombuffer(b"".join(self.text), np.uint8), np.cumsum(size) - size, size
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the texts of these ids, number of bytes of each text); each text loses the blank in front."""
+        data, begin, size = self.flat
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        begin, size = begin[ids], size[ids]
+        begin[first] += 1
+        size[first] -= 1
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+        parts = [gather(data, begin[lo : lo + BLOCK], size[lo : lo + BLOCK]) for lo in range(0, len(ids), BLOCK)]
+        return np.concatenate([np.zeros(0, np.uint8), *parts]), np.diff(ends)
+
 
 def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     """``distinct`` (unit, other columns) with ids: array<int>, a negative number -1 - c for a character c without piece."""
     spark = distinct.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))  # a vocabulary of fixed size
-    n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e")))))
-    exploded = distinct.select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"))
-    met = exploded.join(table, "piece", "left").where("id IS NOT NULL OR e - s = 1")
+    # two plain explosions: the ends of substrings, then their begins
+    ends = distinct.select("unit", F.explode(F.expr("sequence(1, length(unit))")).alias("e"))
+    both = ends.select("unit", "e", F.explode(F.expr(f"sequence(greatest(0, e - {pieces.longest}), e - 1)")).alias("s"))
+    met = both.select("unit", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece")).join(table, "piece", "left").where("id IS NOT NULL OR e - s = 1")
     edge = F.struct("e", "s", F.coalesce(F.col("id"), -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(BYTE_SCORE) * F.octet_length("piece")).alias("score"))
-    grouped = met.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    grouped = met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     # one entry for each place that is done: its best score, where its last piece begins, which piece it is
     fold = """aggregate(edges, struct(array(struct(0D AS v, -1 AS s, -1 AS id)) AS done, 0 AS e, 0D AS v, 0 AS s, 0 AS id),
       (a, x) -> if(x.e = a.e,
@@ -138,19 +217,30 @@ def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
 
 @released
 def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: list[tuple[np.ndarray, ...]] = []  # hashes, counts, text, begin, end of one place
+    texts: list[str] = []
 
     def rows() -> Iterator[pa.RecordBatch]:
-        left = iter(held.items())
-        while part := list(islice(left, 1 << 14)):
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["unit", "n"])
+        if not held:
+            return
+        _, first, of = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+        n = np.bincount(of, np.concatenate([h[1] for h in held])).astype(np.int64)
+        where = [np.concatenate([h[k] for h in held])[first] for k in (2, 3, 4)]
+        for lo in range(0, len(first), 1 << 14):
+            part = [texts[t][a:b] for t, a, b in zip(*(w[lo : lo + (1 << 14)].tolist() for w in where), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(n[lo : lo + (1 << 14)])], names=["unit", "n"])
 
     for batch in batches:
-        for text in strings(batch.column("_text")):
-            held.update([u for u in units(text) if len(u) <= MAX_UNIT])
-        if len(held) > COUNTED:
+        joined, starts, _ = join_texts(strings(batch.column("_text")))
+        for hashes, begin, end in unit_spans(joined, starts):
+            short = end - begin <= MAX_UNIT
+            found, first, n = np.unique(hashes[short], return_index=True, return_counts=True)
+            held.append((found, n, np.full(len(found), len(texts), np.int32), begin[short][first], end[short][first]))
+        texts.append(joined)
+        if sum(len(h[0]) for h in held) > COUNTED or sum(map(len, texts)) > READ:
             yield from rows()
             held.clear()
+            texts.clear()
     yield from rows()
 
 
@@ -200,22 +290,52 @@ class Table:
         # ids stay in place; an entry knows where its own begin
         self.begins, self.ids = begin[order].astype(np.int32), flat
 
-    def find(self, found: list[str]) -> np.ndarray:
-        """Places in the table, -1 for units that aren't there."""
-        wanted = hash_units(found)
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of these hashes in the table, -1 for units that aren't there."""
         at = np.searchsorted(self.hashes, wanted)
         at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == wanted, at, -1) if len(self.hashes) else np.full(len(found), -1)
+        return np.where(self.hashes[at] == wanted, at, -1) if len(self.hashes) else np.full(len(wanted), -1)
 
-    def gather(self, at: np.ndarray) -> np.ndarray:
+    def given(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each of these places, all their ids)."""
         size = self.sizes[at].astype(np.int64)
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(self.begins[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
-def hash_units(found: list[str]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(u) for u in found), np.uint64, len(found))
+        return size, gather(self.ids, self.begins[at], size)
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``flat[begin : begin + size]`` of all, after each other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def look_up(texts: list[str], table: Table, pieces: Pieces, extra: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
+    """(ids of all texts, number of ids of each text, units of texts that are neither in the table, in ``extra`` nor long)."""
+    joined, starts, of = join_texts(texts)
+    counts, out, lacking = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)], {}
+    for hashes, begin, end in unit_spans(joined, starts):
+        found, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = table.find(found)
+        hit, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        sizes, pool = np.zeros(len(found), np.int64), []
+        sizes[hit], flat = table.given(at[hit])
+        begins = np.zeros(len(found), np.int64)
+        begins[hit] = np.cumsum(sizes[hit]) - sizes[hit]
+        held = len(flat)
+        for k in rest.tolist():
+            ids = extra.get(int(found[k]))
+            if ids is None and end[first[k]] - begin[first[k]] > MAX_UNIT:
+                ids = pieces.encode(joined[begin[first[k]] : end[first[k]]])
+            if ids is not None:
+                begins[k], sizes[k] = held, len(ids)
+                pool.append(ids)
+                held += len(ids)
+        size = sizes[which]
+        out.append(gather(np.concatenate([flat.astype(np.int32), *pool]), begins[which], size))
+        text = of[np.searchsorted(starts, begin, side="right") - 1]
+        counts += np.bincount(text, size, len(texts)).astype(np.int64)
+        for k in np.flatnonzero(size == 0).tolist():
+            lacking.setdefault(int(text[k]), set()).add(joined[begin[k] : end[k]])
+    return np.concatenate(out), counts, lacking
 
 
 def expand(column: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +348,8 @@ def expand(column: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return size, flat
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, table: int = TABLE) -> DataFrame:
-    """Every row of ``docs`` as (_id, ids: binary of 32-bit ids, n_pieces, decoded: the text of the ids)."""
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, table: int = TABLE, decoded: bool = True) -> DataFrame:
+    """Every row of ``docs`` as (_id, ids: binary of 32-bit ids, n_pieces) and, if asked for, decoded: the text of the ids."""
     spark = tune(docs.sparkSession)
     pieces = Pieces(model)
     rows = docs.select(row_id(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -242,47 +362,29 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         often = counts.where((F.col("n") > least["n"]) | ((F.col("n") == least["n"]) & (F.col("unit") <= least["unit"]))).select("unit")
         chosen, rest = encoded.join(often, "unit", "left_semi"), encoded.join(often, "unit", "left_anti")
     shared = spark.sparkContext.broadcast((Table(chosen, pieces), pieces))  # ``table`` units at most
-    kind = "_id long, ids binary, n_pieces long, decoded string"
+    kind = "_id long, ids binary, n_pieces long" + ", decoded string" * decoded
 
-    def result(doc: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-        own = shared.value[1]
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.string())],
-                                          names=["_id", "ids", "n_pieces", "decoded"])
-
-    def ids_of(found: list[str], at: np.ndarray, extra: dict[str, np.ndarray]) -> np.ndarray:
-        """Ids of units at places ``at`` of the table, in ``extra``, or long."""
-        known, own = shared.value
-        if len(at) == 0 or at.min() >= 0:
-            return known.gather(at)
-        return np.concatenate([known.gather(at[i : i + 1]) if at[i] >= 0 else own.encode(u) if len(u) > MAX_UNIT else extra[u] for i, u in enumerate(found)])
+    def result(doc: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [doc, binary(ids.astype("<i4").view(np.uint8), 4 * counts), pa.array(counts)]
+        if decoded:
+            columns.append(binary(*shared.value[1].decode_all(ids, counts)).cast(pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=["_id", "ids", "n_pieces", "decoded"][: len(columns)])
 
     @released
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
         for batch in batches:
-            doc, ids = [], []
-            for key, text in zip(batch.column("_id").to_pylist(), strings(batch.column("_text")), strict=True):
-                found = units(text)
-                at = known.find(found)
-                if all(len(found[i]) > MAX_UNIT for i in np.flatnonzero(at < 0)):
-                    doc.append(key)
-                    ids.append(ids_of(found, at, {}))
-            yield result(doc, ids)
+            ids, counts, lacking = look_up(strings(batch.column("_text")), *shared.value, {})
+            keep = np.ones(len(counts), bool)
+            keep[list(lacking)] = False
+            yield result(batch.column("_id").filter(pa.array(keep)), ids[np.repeat(keep, counts)] if lacking else ids, counts[keep])
 
     @released
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the other documents (id, text, units that aren't in the table)."""
-        known = shared.value[0]
         for batch in batches:
-            at, missing = [], []
-            for k, text in enumerate(strings(batch.column("_text"))):
-                found = units(text)
-                lack = sorted({found[i] for i in np.flatnonzero(known.find(found) < 0) if len(found[i]) <= MAX_UNIT})
-                if lack:
-                    at.append(k)
-                    missing.append(lack)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(take), batch.column("_text").take(take), pa.array(missing, pa.list_(pa.string()))], names=["_id", "_text", "missing"])
+            _, _, lacking = look_up(strings(batch.column("_text")), *shared.value, {})
+            take = pa.array(sorted(lacking), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(take), batch.column("_text").take(take), pa.array([sorted(lacking[k]) for k in sorted(lacking)], pa.list_(pa.string()))], names=["_id", "_text", "missing"])
 
     done = rows.mapInArrow(whole, kind)
     if rest is None:
@@ -290,16 +392,12 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     @released
     def mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value
+        own = shared.value[1]
         for batch in batches:
-            doc, ids = [], []
-            for key, text, more in zip(batch.column("_id").to_pylist(), strings(batch.column("_text")), batch.column("more").to_pylist(), strict=True):
-                found = units(text)
-                at = known.find(found)
-                extra = {m["unit"]: expand(pa.array([m["ids"]], pa.list_(pa.int32())), own)[1] for m in more}
-                ids.append(ids_of(found, at, extra))
-                doc.append(key)
-            yield result(doc, ids)
+            more = {m["unit"]: m["ids"] for row in batch.column("more").to_pylist() for m in row}
+            given = [expand(pa.array([ids], pa.list_(pa.int32())), own)[1].astype(np.int32) for ids in more.values()]
+            ids, counts, _ = look_up(strings(batch.column("_text")), *shared.value, dict(zip(hash_units(list(more)).tolist(), given, strict=True)))
+            yield result(batch.column("_id"), ids, counts)
 
     left = scratch(rows.mapInArrow(others, "_id long, _text string, missing array<string>").withColumn("_key", F.xxhash64("_text")), "other-documents")
     asked = left.select("_id", "_key", F.explode("missing").alias("unit")).distinct()
@@ -307,6 +405,12 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     return done.unionByName(left.select("_id", "_key", "_text").join(given, ["_id", "_key"]).select("_id", "_text", "more").mapInArrow(mended, kind))
 
 
+def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values that follow each other in ``data``."""
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_docs(spark, sf_dir)).select(public_id().alias("doc_id"), "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
