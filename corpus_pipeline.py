@@ -101,7 +101,7 @@ def clean_block(spark: SparkSession, rows: DataFrame, windows: d.Windows, kind:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids: 32-bit little-endian) of every document."""
-    return sp.encode(docs, id_col=ID, text_col=TEXT).select(sp.public_id().alias(ID), "n_pieces", "ids")
+    return sp.encode(docs, id_col=ID, text_col=TEXT, decoded=False).select(sp.public_id().alias(ID), "n_pieces", "ids")
 
 
 STAGES = [
