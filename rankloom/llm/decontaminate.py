@@ -3,9 +3,9 @@
 A shard is a bounded run of documents.  Its words are numbered by the benchmark's vocabulary; a word that
 no benchmark text holds can't be part of a match, so a run of such words is one separator.  Over that
 sequence the shard gets a suffix array, its Burrows-Wheeler transform in a wavelet tree, and every
-``SAMPLE``-th position of the text as located sample.  All windows of all benchmark items are searched
-backward at the same time (one numpy step for each word of the window), each match is located by walking
-to a sampled position, and the spans are merged for each document.
+``SAMPLE``-th position of the text as located sample.  All windows of all benchmark items whose words the shard
+holds are searched backward at the same time (one numpy step for each word of the window), each match is located by
+walking to a sampled position, and the spans are merged for each document.
 
 Nothing is shuffled: documents are read once and every row gets its answer where it is read.
 
@@ -182,13 +182,17 @@ def shard_hits(windows: Windows, texts: list[bytes]) -> tuple[list[int], list[li
             text = seq[kept].astype(np.int64)
             text[ends] = 1
             index, word = FMIndex(text), np.concatenate(places)
+            held = np.zeros(len(windows.vocabulary) + 2, bool)
+            held[text] = True
             for size, patterns, owners in windows.by_size:
-                low, high = index.ranges(patterns)
+                asked = np.flatnonzero(held[patterns].all(axis=1))
+                low, high = index.ranges(patterns[asked])
                 hit = np.flatnonzero(low < high)
                 if not len(hit):
                     continue
-                counts_of = high[hit] - low[hit]
-                rows = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(counts_of)[:-1])), counts_of) + np.arange(counts_of.sum())
+                low, high, hit = low[hit], high[hit], asked[hit]
+                counts_of = high - low
+                rows = np.repeat(low - np.concatenate(([0], np.cumsum(counts_of)[:-1])), counts_of) + np.arange(counts_of.sum())
                 found = kept[index.locate(rows)]
                 docs = np.searchsorted(starts, found, side="right") - 1
                 for doc, begin, which in zip(docs.tolist(), word[found].tolist(), np.repeat(hit, counts_of).tolist(), strict=True):
@@ -197,6 +201,40 @@ def shard_hits(windows: Windows, texts: list[bytes]) -> tuple[list[int], list[li
     return counts, [merged(s) for s in spans], items
 
 
+def judged(windows: Windows, batches: Iterator[pa.RecordBatch], text_col: str = "_text") -> Iterator[tuple[pa.RecordBatch, tuple[list, list, list]]]:
+    """Each batch with what ``shard_hits`` says of its rows; a shard takes texts of many batches, or a part of one."""
+    waiting: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    found: tuple[list, list, list] = ([], [], [])
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        for whole, part in zip(found, shard_hits(windows, texts), strict=True):
+            whole.extend(part)
+        texts.clear()
+        size = 0
+
+    def ready() -> Iterator[tuple[pa.RecordBatch, tuple[list, list, list]]]:
+        while waiting and len(found[0]) >= waiting[0].num_rows:
+            n = waiting[0].num_rows
+            yield waiting.pop(0), tuple(f[:n] for f in found)
+            for f in found:
+                del f[:n]
+
+    for batch in batches:
+        waiting.append(batch)
+        for text in binaries(batch.column(text_col)):
+            texts.append(text)
+            size += len(text) // 4
+            if size >= SHARD_SYMBOLS:
+                close()
+        yield from ready()
+    if texts:
+        close()
+    yield from ready()
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching spans as one."""
     out: list[tuple[int, int]] = []
@@ -249,16 +287,7 @@ def one_block(rows: DataFrame, windows: Windows, with_text: bool) -> DataFrame:
 
     @released
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = binaries(batch.column("_text"))
-            n_words, spans, items = [], [], []
-            begin = size = 0
-            for at, text in enumerate(texts):
-                size += len(text) // 4
-                if size >= SHARD_SYMBOLS or at == len(texts) - 1:
-                    for whole, part in zip((n_words, spans, items), shard_hits(shared.value, texts[begin : at + 1]), strict=True):
-                        whole.extend(part)
-                    begin, size = at + 1, 0
+        for batch, (n_words, spans, items) in judged(shared.value, batches):
             old = [list(zip(a, b, strict=True)) for a, b in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
             spans = [merged(a + b) if a else b for a, b in zip(old, spans, strict=True)]
             items = [sorted(set(a) | b) for a, b in zip(batch.column("items").to_pylist(), items, strict=True)]
