@@ -21,7 +21,7 @@ from rankloom.llm import jaccard_join as j
 from rankloom.llm import language_id as lang
 from rankloom.llm import line_dedup as lines
 from rankloom.llm import sentencepiece as sp
-from rankloom.llm.common import NULL_ID, read_docs, row_id, scratch, strings, tune
+from rankloom.llm.common import NULL_ID, drop_scratch, read_docs, row_id, scratch, strings, tune
 
 ID, TEXT, LANG = "doc_id", "text", "lang"
 
@@ -83,9 +83,8 @@ def clean_block(spark: SparkSession, rows: DataFrame, windows: d.Windows, kind:
     longs = pa.list_(pa.int64())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, (_, spans, _) in d.judged(shared.value, batches, TEXT):
             texts = strings(batch.column(TEXT))
-            _, spans, _ = d.shard_hits(shared.value, [t.encode() for t in texts])
             if marks[0] in batch.schema.names:
                 old = [list(zip(a, b, strict=True)) for a, b in zip(*(batch.column(c).to_pylist() for c in marks), strict=True)]
                 spans = [d.merged(a + b) if a else b for a, b in zip(old, spans, strict=True)]
@@ -118,8 +117,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, over ``documents``."""
-    docs = read_docs(spark, sf_dir)
+    docs, before = read_docs(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_scratch(before)
+        before = docs
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
