@@ -5,9 +5,9 @@ conversations of one tree (or neighbouring trees); it writes every node's charac
 with a position for each node (where its characters stand in the conversation) and the intervals of the
 pack that its ancestors take: a character attends to its node up to itself and to these intervals.
 
-Conversations are ordered by the hashes of their growing prefixes, range-partitioned in that order and
-streamed, so those that share turns are next to each other however many they are; a very common first turn
-spreads over many packs and partitions, and each pack writes it once.
+Conversations are ordered by the hashes of all their growing prefixes, range-partitioned in that order and
+streamed into trees, so those that share turns are next to each other however many they are, and a pack closes by
+what it writes; a very common first turn spreads over many packs and partitions, and each pack writes it once.
 
 The template of a turn is ``<s>[INST]`` role ``[/INST]`` text ``</s>``.  In roles and texts a backslash is doubled
 and every control string gets a backslash after its first character, so none is left, and ``unescape`` gives the text
@@ -15,7 +15,7 @@ back.  The loss mask covers the escaped texts of the assistant's turns, without
 
 Defined results: a null text is empty, a null role too; turns are ordered by turn (null first), role and
 text, and repeated rows are turns of their own; rows without conversation id make one conversation, with a null
-id; an empty table gives no packs; other columns are ignored.
+id, in one row, so they must fit a task; an empty table gives no packs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +34,8 @@ from .common import partitions, public_id, read_docs, released, row_id, scratch,
 #: Control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 ASSISTANT = "assistant"
-#: Conversations and characters in one pack, at most (a single conversation may have more characters).
-PACK_CONVERSATIONS, PACK_CHARS = 256, 1 << 20
-#: Prefix hashes of a conversation that it is ordered by, before its id.
-ORDER_DEPTH = 8
+#: Conversations and characters of different turns in one pack, at most (a single conversation may have more characters).
+PACK_CONVERSATIONS, PACK_CHARS = 1 << 13, 1 << 20
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -65,25 +63,35 @@ def prefix_hashes(turns: list[tuple[str, str]]) -> list[int]:
     return out
 
 
-def pack_trees(conversations: list[tuple[int, list[tuple[str, str]]]]) -> dict:
-    """One pack of neighbouring conversations.
+class Tree:
+    """The pack that grows: neighbouring conversations, each turn once."""
 
-    nodes: (begin, end, position, parent, loss begin, loss end); the loss range is empty for other roles.
-    conversations: (id, node of the last turn or -1).
-    """
-    children: dict[tuple[int, str, str], int] = {}
-    tree: list[tuple[int, str, str]] = []  # parent, role, text
-    below: dict[int, list[int]] = {}
-    leaves = []
-    for conv, turns in conversations:
+    def __init__(self) -> None:
+        self.children: dict[tuple[int, str, str], int] = {}
+        self.tree: list[tuple[int, str, str]] = []  # parent, role, text
+        self.below: dict[int, list[int]] = {}
+        self.leaves: list[tuple[int, int]] = []
+        self.chars = 0
+
+    def add(self, conv: int, turns: list[tuple[str, str]]) -> None:
         at = -1
         for role, text in turns:
-            if (node := children.get((at, role, text))) is None:
-                node = children[at, role, text] = len(tree)
-                tree.append((at, role, text))
-                below.setdefault(at, []).append(node)
+            if (node := self.children.get((at, role, text))) is None:
+                node = self.children[at, role, text] = len(self.tree)
+                self.tree.append((at, role, text))
+                self.below.setdefault(at, []).append(node)
+                self.chars += len(role) + len(text)
             at = node
-        leaves.append((conv, at))
+        self.leaves.append((conv, at))
+
+
+def pack_trees(grown: Tree) -> dict:
+    """One pack.
+
+    nodes: (begin, end, position, parent, loss begin, loss end); the loss range is empty for other roles.
+    conversations: (id, node of the last turn or -1).
+    """
+    tree, below, leaves = grown.tree, grown.below, grown.leaves
     parts: list[str] = []
     nodes: list[dict] = []
     number: dict[int, int] = {-1: -1}
@@ -119,29 +127,26 @@ def chat_format(conversations: DataFrame, *, id_col: str = "conv_id", turn_col:
     @released
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [prefix_hashes([(t["role"], t["text"]) for t in turns])[:ORDER_DEPTH] for turns in batch.column("turns").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("turns"), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "turns", "path"])
+            keys = [b"".join((h + (1 << 63)).to_bytes(8, "big") for h in prefix_hashes([(t["role"], t["text"]) for t in turns])) for turns in batch.column("turns").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("turns"), pa.array(keys, pa.binary())], names=["_id", "turns", "path"])
 
-    kind = "_id long, turns array<struct<turn:long,role:string,text:string>>, path array<long>"
+    kind = "_id long, turns array<struct<turn:long,role:string,text:string>>, path binary"
     ordered = scratch(whole.mapInArrow(order, kind), "conversations")  # the range partitioner reads it twice
-    keys = [*(f"p{k}" for k in range(ORDER_DEPTH)), "_id"]
-    spread = ordered.select("_id", "turns", *[F.try_element_at("path", F.lit(k + 1)).alias(f"p{k}") for k in range(ORDER_DEPTH)])
-    sorted_ = spread.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    sorted_ = ordered.repartitionByRange(partitions(spark), "path", "_id").sortWithinPartitions("path", "_id")
 
     @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("text", pa.string()), ("nodes", pa.list_(pa.struct([*((k, pa.int32()) for k in ("begin", "end", "position", "parent", "loss_begin", "loss_end")),
                             ("ancestors", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]))), ("conversations", pa.list_(pa.struct([("conv_id", pa.int64()), ("leaf", pa.int32())])))])
-        held, size = [], 0
+        tree = Tree()
         for batch in batches:
             for conv, turns in zip(batch.column("_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                held.append((conv, [(t["role"], t["text"]) for t in turns]))
-                size += sum(len(t["text"]) for t in turns)
-                if len(held) >= PACK_CONVERSATIONS or size >= PACK_CHARS:
-                    yield pa.RecordBatch.from_pylist([pack_trees(held)], schema)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_pylist([pack_trees(held)], schema)
+                tree.add(conv, [(t["role"], t["text"]) for t in turns])
+                if len(tree.leaves) >= PACK_CONVERSATIONS or tree.chars >= PACK_CHARS:
+                    yield pa.RecordBatch.from_pylist([pack_trees(tree)], schema)
+                    tree = Tree()
+        if tree.leaves:
+            yield pa.RecordBatch.from_pylist([pack_trees(tree)], schema)
 
     return sorted_.select("_id", "turns").mapInArrow(pack, PACK)
 
