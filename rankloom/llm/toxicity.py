@@ -3,9 +3,10 @@
 A text's features are the n-grams (``ORDERS`` code points) that it holds at least once after lower-casing and
 with one blank for all that stands between words, hashed to ``2 ** BITS`` numbers.  From labelled texts each feature gets the log ratio of its smoothed shares in
 toxic and other texts; the ``FEATURES`` features that tell the classes apart best are kept, scaled by that
-ratio, and a logistic regression with an L2 penalty is fitted on them in numpy.  A score is its probability.
+ratio, and a logistic regression with an L2 penalty is fitted on them in numpy, in which both classes weigh the same
+(toxic texts are few).  A score is its probability.
 
-Training draws at most about ``MAX_TRAIN`` labelled rows, those with the smallest hashes of their id; their
+Training draws at most about ``max_train`` labelled rows, those with the smallest hashes of their id; their
 counts are summed by slices of the feature numbers.  Scoring reads every code point of every text and
 shuffles nothing.
 
@@ -118,7 +119,8 @@ def fit(present: np.ndarray, ratio: np.ndarray, toxic: np.ndarray) -> tuple[np.n
     """Weights and bias of a logistic regression on 0/1 features scaled by ``ratio``."""
     x = present.astype(np.float32) * ratio.astype(np.float32)
     x /= (scale := max(1e-6, float(np.abs(x).sum(axis=1).mean())))
-    y, w, b = toxic.astype(np.float32), np.zeros(x.shape[1], np.float32), float(np.log(toxic.mean() / (1 - toxic.mean())))
+    y, w, b = toxic.astype(np.float32), np.zeros(x.shape[1], np.float32), 0.0
+    weight = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())).astype(np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     rng, step = np.random.default_rng(SEED), 0
     for _ in range(EPOCHS):
@@ -126,7 +128,7 @@ def fit(present: np.ndarray, ratio: np.ndarray, toxic: np.ndarray) -> tuple[np.n
         for lo in range(0, len(order), BATCH):
             rows, step = order[lo : lo + BATCH], step + 1
             part = x[rows]
-            error = 1 / (1 + np.exp(-np.clip(part @ w + b, -30, 30))) - y[rows]
+            error = (1 / (1 + np.exp(-np.clip(part @ w + b, -30, 30))) - y[rows]) * weight[rows]
             g, gb = error @ part / len(rows) + PENALTY * w / len(w) ** 0.5, float(error.mean())
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -134,15 +136,15 @@ def fit(present: np.ndarray, ratio: np.ndarray, toxic: np.ndarray) -> tuple[np.n
     return w.astype(np.float64) * ratio / scale, b
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """From labelled rows of ``docs``; MAX_TRAIN of them, about."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
+    """From labelled rows of ``docs``; ``max_train`` of them, about."""
     tune(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("_toxic"))
     total = known.count()
     if not total:
         return constant(0)
-    chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(2**31)) < int(min(1.0, MAX_TRAIN / total) * 2**31))
-    rows = docs.select(row_id(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_toxic").repartition(TASKS).cache()  # MAX_TRAIN ids, about
+    chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(2**31)) < int(min(1.0, max_train / total) * 2**31))
+    rows = docs.select(row_id(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_toxic").repartition(TASKS).cache()  # max_train ids, about
     try:
         sums = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
         if len(sums) < 2:
