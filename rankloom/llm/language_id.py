@@ -28,8 +28,8 @@ from .common import binaries, read_docs, released, tune
 WINDOW = 128
 #: Documents of a language that are learned from, about, and windows of each of them.
 PER_LANGUAGE, WINDOWS_EACH = 600, 8
-#: Languages that can be learned; of more, those with the most documents.
-MAX_LANGUAGES = 256
+#: Languages that can be learned; more are an error.
+MAX_LANGUAGES = 4096
 #: Widths of the filters, filters of each width, size of a byte's embedding.
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 EPOCHS, RATE, BATCH, SEED = 4, 0.01, 128, 7
@@ -116,16 +116,17 @@ def held_out(id_col: str = "doc_id", modulus: int = 3, rest: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(0)) == rest
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[ByteCNN | None, list[str]]:
-    """The network and its languages, from the rows of ``docs``; at most MAX_LANGUAGES * PER_LANGUAGE * WINDOWS_EACH windows, about."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, windows_each: int = WINDOWS_EACH) -> tuple[ByteCNN | None, list[str]]:
+    """The network and its languages, from the rows of ``docs``: about ``per_language`` of each language, with at most ``windows_each`` windows."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = sorted(((r["n"], r["_lang"]) for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()), reverse=True)
-    languages = sorted(lang for _, lang in counts)
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
+    languages = sorted(counts)
     if not languages:
         return None, []
-    share = {lang: min(1.0, PER_LANGUAGE / n) for n, lang in counts}
-    cut = F.create_map(*(F.lit(x) for lang in languages for x in (lang, int(share[lang] * 2**31))))
-    chosen = rows.where(F.pmod(F.xxhash64(F.coalesce("_id", F.lit(""))), F.lit(2**31)) < F.coalesce(cut[F.col("_lang")], F.lit(-1)))
+    cuts = docs.sparkSession.createDataFrame([(lang, int(min(1.0, per_language / counts[lang]) * 2**31)) for lang in languages], "_lang string, _cut long")
+    chosen = rows.join(F.broadcast(cuts), "_lang").where(F.pmod(F.xxhash64(F.coalesce("_id", F.lit(""))), F.lit(2**31)) < F.col("_cut")).select("_text", "_lang")  # MAX_LANGUAGES rows at most
     number = {lang: k for k, lang in enumerate(languages)}
 
     @released
@@ -134,7 +135,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             found, langs = [], []
             for text, lang in zip(binaries(batch.column("_text")), batch.column("_lang").to_pylist(), strict=True):
                 every = windows_of([text])[0]
-                for k in np.unique(np.linspace(0, len(every) - 1, WINDOWS_EACH).astype(int)):
+                for k in np.unique(np.linspace(0, len(every) - 1, windows_each).astype(int)):
                     found.append(every[k].tobytes())
                     langs.append(number[lang])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.int32())], names=["window", "lang"])
