@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binaries, drop_scratch, keyed, partitions, public_id, read_docs, released, scratch, tune
-from .components import UnionFind, components, forest
+from .components import components, forest
 from .kernels import PLACE, mix, shingle_sets
 
 #: Words in a shingle, and the similarity NUM / DEN.
@@ -52,6 +52,8 @@ SMALL = 1 << 20
 BLOCK_TOKENS = 1 << 22
 #: Index entries that a task holds before it sends them.
 POSTED = 1 << 22
+#: Edges of a forest that a task holds.
+JOINED = 1 << 19
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -387,12 +389,15 @@ def chain(num: int, den: int, slots: int):
 
 @released
 def join_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The forest of some buckets' forests: most buckets hold the same groups."""
+    """The forest of some buckets' forests: most buckets hold the same groups.  One of more than JOINED edges is sent as it is."""
     a = b = np.zeros(0, np.int64)
     for batch in batches:
         for blob in batch.column("blob").to_pylist():
             more = np.frombuffer(blob, np.int64).reshape(2, -1)
             a, b = forest(np.concatenate([a, more[0]]), np.concatenate([b, more[1]]))
+            if len(a) > JOINED:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                a = b = np.zeros(0, np.int64)
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -434,22 +439,27 @@ class Verifier:
 
     def edges(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         """A forest of the links between left and right (index arrays; the same array for links within)."""
-        sets, out, hubs = UnionFind(), [], []
+        of, out, hubs = np.arange(len(self.sets)), [], []  # the group of each set
+
+        def unite(x: int, y: int) -> None:
+            if of[x] != of[y]:
+                of[of == of[y]] = of[x]
+                out.append((x, y))
+
         for x in left.tolist():
             # the sets that have linked most others so far are tried first
             for y in hubs[:4]:
-                if sets.find(x) != sets.find(y) and self.linked(x, y) and sets.union(x, y):
-                    out.append((x, y))
-            root = np.array([sets.find(y) for y in right.tolist()])
-            rest = right[root != sets.find(x)]
+                if of[x] != of[y] and self.linked(x, y):
+                    unite(x, y)
+            rest = right[of[right] != of[x]]
             if not len(rest):
                 continue
             if len(rest) > 8:
                 found = self.links(x, rest, self.overlaps(x)[rest])
             else:
                 found = np.array([y for y in rest.tolist() if self.linked(x, y)], np.int64)
-            new = [(x, y) for y in found.tolist() if sets.union(x, y)]
-            out += new
+            for y in found.tolist():
+                unite(x, y)
             if len(found) > 1:
                 hubs.insert(0, x)
         return out
