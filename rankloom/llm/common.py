@@ -42,11 +42,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary folder only where none is configured (local tests)."""
+    """The cluster's shared folder; a temporary folder only where none is configured and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
