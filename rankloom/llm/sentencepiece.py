@@ -41,8 +41,11 @@ from .kernels import BASE, POWERS, mix, prefix_sums
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a unit of the tables, units that are broadcast (about 24 bytes each).
 MAX_UNIT, TABLE = 512, 1 << 22
+#: Distinct units of one partition of the lattice, some 25 edges each of which are sorted together; and how many times the
+#: session's partitions there may be.
+EACH, SPREAD = 1 << 13, 16
 #: Characters that are hashed at a time; units and characters that a task counts at a time.
-BLOCK, COUNTED, READ = 1 << 18, 1 << 19, 1 << 23
+BLOCK, COUNTED, READ = 1 << 17, 1 << 19, 1 << 23
 #: Score of a byte piece that stands for a part of a character without piece.
 BYTE_SCORE = -1e6
 
@@ -244,11 +247,12 @@ def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def encoded_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) of all distinct units that aren't long, in the shared folder."""
+def encoded_units(rows: DataFrame, pieces: Pieces) -> tuple[DataFrame, DataFrame, int]:
+    """(unit, n) and (unit, ids) of all distinct units that aren't long, in the shared folder; their number."""
     counts = scratch(rows.select("_text").mapInArrow(count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "units")
-    spread = counts.select("unit").repartition(partitions(rows.sparkSession), "unit")  # kept by the explosion and the grouping
-    return counts, scratch(lattice(spread, pieces), "encoded-units")
+    total, parts = counts.count(), partitions(rows.sparkSession)
+    spread = counts.select("unit").repartition(max(parts, min(total // EACH, SPREAD * parts)), "unit")  # kept by the explosions and the grouping
+    return counts, scratch(lattice(spread, pieces), "encoded-units"), total
 
 
 def packed(pieces: Pieces):
@@ -353,8 +357,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     spark = tune(docs.sparkSession)
     pieces = Pieces(model)
     rows = docs.select(row_id(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    counts, encoded = encoded_units(rows, pieces)
-    total = counts.count()
+    counts, encoded, total = encoded_units(rows, pieces)
     if total <= table:
         chosen, rest = encoded, None
     else:
