@@ -13,7 +13,7 @@ HEADLINE = ("index_lexicon", "bm25_top10", "model_pl2", "model_dirichlet_lm", "b
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from rankloom.plans.catalogue import QUERIES
+    from rankloom.plans.catalogue import QUERIES, whole_index
 
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "16g")
@@ -21,7 +21,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["index_statistics"](spark, SF_DIR).collect()  # starts the JVM's compilers
-    took = {}
+    began = time.time()
+    whole_index(spark, SF_DIR)  # written once; the queries below read it
+    took = {"index_build": round(time.time() - began, 3)}
     for name in HEADLINE:
         began = time.time()
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()

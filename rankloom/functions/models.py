@@ -155,8 +155,8 @@ def matf(s) -> Column:
 
 def ematf(s) -> Column:
     mixed = 2 / (1 + lg(1 + s.ql))
-    level = idf_bm(s) * burst(s) / s.norm * s.dl / s.atf
-    return s.qtf * (mixed * squash(level) + (1 - mixed) * squash(length_part(s))) * idf_bm(s) * squash(s.ctf / s.df)
+    level = lg((s.N + 1) / s.df) * burst(s) / s.norm * s.dl / s.atf
+    return s.qtf * (mixed * squash(level) + (1 - mixed) * squash(length_part(s))) * idf_bm(s)
 
 
 def tfmidf(s, weight=0.9) -> Column:

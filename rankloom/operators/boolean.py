@@ -189,7 +189,7 @@ class Searcher:
             return self.weighted(rows, index, query.boost * F.col("boost")).groupBy("doc_id").agg(F.sum("score").alias("score"))
         if isinstance(query, Phrase):
             index = self.index(query.field)
-            found = phrase_matches(index.postings, list(query.terms), query.slop).where("freq > 0")
+            found = phrase_matches(index.only(list(query.terms)).postings, list(query.terms), query.slop).where("freq > 0")
             idf = index.lexicon.where(F.col("term").isin(*query.terms)).crossJoin(index.stats).agg(F.sum(s.idf(F.col("df"), F.col("N"))).alias("idf"))
             value = s.tf(F.col("freq")) * F.col("idf") * F.col("idf") * query.boost * s.length_norm(F.col("dl"))
             return found.join(F.broadcast(idf), how="cross").select("doc_id", value.alias("score"))
@@ -207,13 +207,27 @@ class Searcher:
             out = out.unionByName(part)
         return out
 
+    def term_rows(self, query: Boolean, index: Index) -> DataFrame:
+        """(doc_id, score, occur) of term clauses: one scan of the postings for all of them."""
+        asked = index.only([q.text for _, q in query.clauses])
+        clauses = self.documents.sparkSession.createDataFrame([(q.text, occur, float(q.boost)) for occur, q in query.clauses], "term string, occur string, boost double")
+        sized = F.broadcast(clauses.join(asked.lexicon, "term").crossJoin(asked.stats))  # MAX_CLAUSES rows at most
+        s = self.similarity
+        idf = s.idf(F.col("df"), F.col("N"))
+        value = s.tf(F.col("tf")) * idf * idf * F.col("boost") * s.length_norm(F.col("dl"))
+        return asked.postings.join(sized, "term").select("doc_id", value.alias("score"), "occur")
+
     def boolean(self, query: Boolean) -> DataFrame:
         """One aggregate over all clauses: required clauses counted, prohibited ones absent, enough optional ones."""
         required = sum(occur == MUST for occur, _ in query.clauses)
         optional = sum(occur == SHOULD for occur, _ in query.clauses)
         if not required + optional:
             return self.documents.where(F.lit(False)).withColumn("score", F.lit(0.0))
-        rows = self.union([self.run(q).select("doc_id", "score", F.lit(occur).alias("occur")) for occur, q in query.clauses])
+        plain = {q.field for _, q in query.clauses if isinstance(q, Term)} if all(isinstance(q, Term) for _, q in query.clauses) else set()
+        if len(plain) == 1:
+            rows = self.term_rows(query, self.index(plain.pop()))
+        else:
+            rows = self.union([self.run(q).select("doc_id", "score", F.lit(occur).alias("occur")) for occur, q in query.clauses])
         count = lambda occur: F.count_if(F.col("occur") == occur)
         agg = rows.groupBy("doc_id").agg(F.sum(F.when(F.col("occur") != MUST_NOT, F.col("score"))).alias("score"), count(MUST).alias("must"), count(SHOULD).alias("should"), count(MUST_NOT).alias("not"))
         least = query.min_should or (0 if required else 1)

@@ -83,9 +83,14 @@ QE_MODELS = {"Bo1": bo1, "Bo2": bo2, "KL": kl, "KL_plain": kl_plain, "TFIDF": tf
 
 
 def best_terms(weights: DataFrame, k: int, by: str = "max") -> DataFrame:
-    """The k heaviest terms of each topic (ties by term), divided by the largest weight or the sum."""
+    """The k heaviest terms of each topic, divided by the largest weight or the sum.
+
+    Weights that differ by less than a billionth of the topic's largest are equal (sums come in any order); ties go by term.
+    """
     topic = Window.partitionBy("topic_id")
-    ranked = weights.withColumn("place", F.row_number().over(topic.orderBy(F.desc("weight"), "term"))).where(F.col("place") <= k)
+    top = F.max("weight").over(topic)
+    rounded = weights.withColumn("level", F.round(F.when(top > 0, F.col("weight") / top).otherwise(F.col("weight")), 9))
+    ranked = rounded.withColumn("place", F.row_number().over(topic.orderBy(F.desc("level"), "term"))).where(F.col("place") <= k)
     total = (F.max if by == "max" else F.sum)("weight").over(topic)
     return ranked.select("topic_id", "term", F.when(total > 0, F.col("weight") / total).otherwise(0.0).alias("weight"))
 

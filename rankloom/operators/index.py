@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import general
+from ..sources.storage import new_path, signature
+
+#: Terms that a look-up names in the filter of its scan.
+LITERAL = 1000
+_stored: dict[tuple, str] = {}
 
 
 @dataclass(frozen=True)
@@ -25,10 +30,19 @@ class Index:
     stats: DataFrame
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """Postings are sorted by term inside files, so that a look-up prunes row groups."""
-        self.postings.sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
-        self.lexicon.write.mode(mode).parquet(f"{path}/lexicon")
-        self.stats.write.mode(mode).parquet(f"{path}/stats")
+        """Files hold ranges of (term, document), sorted: a look-up prunes files and pages, and a frequent term fills several files."""
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+        self.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/lexicon")
+        self.stats.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+
+    def only(self, terms: DataFrame | list[str]) -> Index:
+        """The part with these terms.  Up to ``LITERAL`` of them become a filter of the scan; more are left to the joins."""
+        if isinstance(terms, DataFrame):
+            terms = [r[0] for r in terms.select("term").distinct().limit(LITERAL + 1).collect()]
+        if len(terms) > LITERAL:
+            return self
+        asked = F.col("term").isin(sorted(set(terms)))
+        return Index(self.postings.where(asked), self.lexicon.where(asked), self.stats)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
@@ -73,6 +87,27 @@ def build(docs: DataFrame, analyzer: Callable[[Column], Column] = general, posit
     return Index(postings, lexicon_of(postings), statistics(split))
 
 
+def stored(docs: DataFrame, analyzer: Callable[[Column], Column] = general, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index of documents that stand in files, with positions: written to the shared folder once, then read by every query.
+
+    It is written anew when the files change.  Documents that stand in no files get an index that is computed where it's used.
+    """
+    spark, state = docs.sparkSession, signature(docs)
+    if not state:
+        return build(docs, analyzer, True, id_col, text_col)
+    key = (spark.sparkContext.applicationId, analyzer, id_col, text_col, state)
+    if key not in _stored:
+        path = new_path(spark, "index")
+        built = build(docs, analyzer, True, id_col, text_col)
+        built.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        lexicon_of(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
+        total = spark.read.parquet(f"{path}/lexicon").agg(F.coalesce(F.sum("ctf"), F.lit(0)).alias("T"))
+        counts = docs.agg(F.count("*").alias("N")).crossJoin(total)
+        counts.select("N", F.when(F.col("N") > 0, F.col("T")).alias("T"), F.try_divide(F.col("T"), F.col("N")).alias("avdl")).coalesce(1).write.parquet(f"{path}/stats")
+        _stored[key] = path
+    return Index.read(spark, _stored[key])
+
+
 def merge(*shards: Index) -> Index:
     """Shards with disjoint documents as one index, with exact statistics."""
     union = lambda frames: reduce(DataFrame.unionByName, frames)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import general
 from ..functions.models import MODELS, Model, burst, squash
-from .index import Index, analysed, lexicon_of, postings_of, statistics
+from .index import Index, analysed, lexicon_of, postings_of, statistics, stored
 
 
 def query_terms(topics: DataFrame, analyzer=general, id_col: str = "topic_id", text_col: str = "query") -> DataFrame:
@@ -74,7 +74,7 @@ def top_k(scored: DataFrame, k: int = 1000, start: int = 1) -> DataFrame:
 
 def search(docs: DataFrame, topics: DataFrame, model: str | Model = "BM25", k: int = 1000, **params) -> DataFrame:
     terms = query_terms(topics)
-    return top_k(score(index_for(docs, terms), terms, model, **params), k)
+    return top_k(score(stored(docs).only(terms), terms, model, **params), k)
 
 
 def bm25f(fields: dict[str, tuple[DataFrame, float, float]], terms: DataFrame, k1: float = 1.2, idf_field: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import feedback as FB
 from ..operators import sets, spans
 from ..operators import index as I
 from ..operators import search as R
+from ..sources.storage import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,9 +49,14 @@ def topics(spark) -> DataFrame:
     return R.query_terms(R.topics_frame(spark, TOPICS))
 
 
-def index_and_terms(spark, sf, positions=False):
+def whole_index(spark, sf):
+    """The stored index of the documents."""
+    return I.stored(documents(spark, sf))
+
+
+def index_and_terms(spark, sf):
     terms = topics(spark)
-    return R.index_for(documents(spark, sf), terms, positions), terms
+    return whole_index(spark, sf).only(terms), terms
 
 
 def ranked(scored: DataFrame, k: int = BOUND) -> DataFrame:
@@ -88,7 +94,7 @@ def _(spark, sf):
     return I.postings_of(I.analysed(documents(spark, sf))).select("term", "doc_id", "tf", "dl")
 
 
-@query("index_positions", EVERY + " SELECT doc_id, term, pos::INT AS pos FROM flat WHERE term IN ('the', 'der', 'de')")
+@query("index_positions", EVERY + " SELECT doc_id, term, pos::INT AS pos FROM flat")
 def _(spark, sf):
     return I.tokens(documents(spark, sf))
 
@@ -108,14 +114,14 @@ def _(spark, sf):
     return I.analysed(documents(spark, sf)).select("doc_id", "dl", F.round("atf", 6).alias("atf"))
 
 
-@query("index_merge_shards", EVERY + " SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf, n::BIGINT AS n, round(avdl, 6) AS avdl FROM lex, st WHERE term IN ('the', 'of', 'der')")
+@query("index_merge_shards", EVERY + " SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf, n::BIGINT AS n, round(avdl, 6) AS avdl FROM lex, st")
 def _(spark, sf):
     docs = documents(spark, sf)
     whole = I.merge(I.build(docs.where("doc_id % 2 = 0")), I.build(docs.where("doc_id % 2 = 1")))
     return whole.lexicon.crossJoin(whole.stats).select("term", "df", "ctf", F.col("N").alias("n"), F.round("avdl", 6).alias("avdl"))
 
 
-@query("index_delete", f"WITH {TOK.replace('FROM documents', 'FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)')}, {FLAT}, {DL}, {POST}, {LEX} SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf FROM lex WHERE term IN ('the', 'of', 'der', 'que')")
+@query("index_delete", f"WITH {TOK.replace('FROM documents', 'FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)')}, {FLAT}, {DL}, {POST}, {LEX} SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf FROM lex")
 def _(spark, sf):
     index = I.build(documents(spark, sf), positions=False)
     gone = table(spark, sf, "labels").where("quality = 0").select("doc_id")
@@ -204,13 +210,14 @@ for _name, _sql in SMOOTH_SQL.items():
     query(f"model_{_name.lower()}", f"{BASE}, {_cells}" + ranked_sql(f"SELECT topic_id, doc_id, sum({_sql.format(tf='tf')}) AS score FROM cells GROUP BY ALL"))(model_query(_name))
 
 NORMS = f"norms AS (SELECT doc_id, sum({sq(BURST)}) AS norm FROM post JOIN dl USING (doc_id) GROUP BY doc_id)"
-EMATF_LEVEL = f"({IDF} * {BURST} / norm * dl / atf)"
+EMATF_LEVEL = f"({lg('(n + 1) / df')} * {BURST} / norm * dl / atf)"
 
 
-@query("model_ematf", f"{BASE}, {NORMS}" + ranked_sql(f"SELECT topic_id, doc_id, sum(qtf * ({MIX} * {sq(EMATF_LEVEL)} + (1 - {MIX}) * {sq(LEN)}) * {IDF} * {sq('(ctf / df)')}) AS score FROM rows JOIN norms USING (doc_id) GROUP BY topic_id, doc_id"))
+@query("model_ematf", f"{BASE}, {NORMS}" + ranked_sql(f"SELECT topic_id, doc_id, sum(qtf * ({MIX} * {sq(EMATF_LEVEL)} + (1 - {MIX}) * {sq(LEN)}) * {IDF}) AS score FROM rows JOIN norms USING (doc_id) GROUP BY topic_id, doc_id"))
 def _(spark, sf):
     terms = topics(spark)
-    index = R.with_document_norms(I.build(documents(spark, sf), positions=False))
+    whole = R.with_document_norms(whole_index(spark, sf))
+    index = I.Index(whole.postings, whole.lexicon, whole.stats).only(terms)
     return ranked(R.score(index, terms, "EMATF", extra={"norm": F.col("norm")}))
 
 
@@ -274,12 +281,9 @@ VSM = "sqrt(tf) * pow(ln(n / (df + 1)) + 1, 2) / sqrt(greatest(dl, 1))"
 VECTORS = f"WITH {TOK}, {FLAT}, {DL}, {POST}, {LEX}, {ST}, v AS (SELECT term, doc_id, {VSM} AS s FROM post JOIN dl USING (doc_id) JOIN lex USING (term), st)"
 
 
-def searcher(spark, sf, *words, positions=False):
-    docs = documents(spark, sf)
-    terms = spark.createDataFrame([(w,) for w in words], "term string") if words else None
-    split = I.analysed(docs)
-    postings = I.postings_of(split, terms, positions)
-    return B.Searcher(I.Index(postings, I.lexicon_of(postings), I.statistics(split)), docs)
+def searcher(spark, sf, *words):
+    index = whole_index(spark, sf)
+    return B.Searcher(index.only(list(words)) if words else index, documents(spark, sf))
 
 
 def hits(found: DataFrame) -> DataFrame:
@@ -398,8 +402,8 @@ def _(spark, sf):
 
 @query("stop_terms", EVERY + " SELECT term FROM lex, st WHERE df > 0.4 * n")
 def _(spark, sf):
-    split = I.analysed(documents(spark, sf))
-    return sets.stop_terms(I.lexicon_of(I.postings_of(split)), I.statistics(split), 0.4)
+    index = whole_index(spark, sf)
+    return sets.stop_terms(index.lexicon, index.stats, 0.4)
 
 
 # Phrases, spans, kernels
@@ -409,7 +413,7 @@ POS = f"WITH {TOK}, {FLAT}, {DL}, p AS (SELECT term, doc_id, pos::INT AS pos FRO
 
 
 def positions(spark, sf):
-    return searcher(spark, sf, *WORDS, positions=True).indexes.postings
+    return searcher(spark, sf, *WORDS).indexes.postings
 
 
 @query("phrase_exact", POS + " SELECT doc_id, count(*)::DOUBLE AS freq FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the' AND b.pos = a.pos + 1 GROUP BY doc_id")
@@ -424,7 +428,7 @@ def _(spark, sf):
 
 @query("phrase_query", POS + f", {POST}, {LEX}, {ST}, m AS (SELECT doc_id, count(*)::DOUBLE AS f FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the' AND b.pos = a.pos + 1 GROUP BY doc_id), i AS (SELECT sum(ln(n / (df + 1)) + 1) AS idf FROM lex, st WHERE term IN ('of', 'the')) SELECT doc_id, round(sqrt(f) * idf * idf / sqrt(dl), 6) AS score FROM m JOIN dl USING (doc_id), i")
 def _(spark, sf):
-    return hits(searcher(spark, sf, "of", "the", positions=True).search(B.Phrase(("of", "the"))))
+    return hits(searcher(spark, sf, "of", "the").search(B.Phrase(("of", "the"))))
 
 
 @query("multi_phrase", POS + " SELECT a.doc_id, count(DISTINCT a.pos)::DOUBLE AS freq FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term IN ('of', 'in') AND b.term IN ('the', 'and') GROUP BY a.doc_id")
@@ -573,18 +577,12 @@ QE_SQL = {
 
 
 def best_sql(weights: str, k: int = 20, by: str = "max") -> str:
-    return f", w AS ({weights}), o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) AS p FROM w), b AS (SELECT topic_id, term, weight FROM o WHERE p <= {k}) SELECT topic_id, term, round(weight / {by}(weight) OVER (PARTITION BY topic_id), 6) AS weight FROM b"
-
-
-def whole_index(spark, sf):
-    split = I.analysed(documents(spark, sf))
-    postings = I.postings_of(split)
-    return I.Index(postings, I.lexicon_of(postings), I.statistics(split))
+    return f", w AS ({weights}), o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight / top, 9) DESC, term) AS p FROM (SELECT *, CASE WHEN max(weight) OVER (PARTITION BY topic_id) > 0 THEN max(weight) OVER (PARTITION BY topic_id) ELSE 1 END AS top FROM w)), b AS (SELECT topic_id, term, weight FROM o WHERE p <= {k}) SELECT topic_id, term, round(weight / {by}(weight) OVER (PARTITION BY topic_id), 6) AS weight FROM b"
 
 
 def feedback_parts(spark, sf):
     index, terms = whole_index(spark, sf), topics(spark)
-    run = ranked(R.score(index, terms, "BM25"), 100)
+    run = kept(ranked(R.score(index.only(terms), terms, "BM25"), 100), "run")
     return index, terms, run, FB.pseudo(run, 10)
 
 
@@ -705,7 +703,7 @@ def term_counts(spark, sf, analyzer, then=None) -> DataFrame:
 
 
 def counts_sql(tokens: str) -> str:
-    return f"WITH {TEXTS}, x AS (SELECT unnest({tokens}) AS term FROM t) SELECT term, count(*) AS n FROM x GROUP BY term"
+    return f"WITH {TEXTS}, s AS (SELECT text, {GENERAL} AS ws FROM t), x AS (SELECT unnest({tokens}) AS term FROM s) SELECT term, count(*) AS n FROM x GROUP BY term"
 
 
 GENERAL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -718,9 +716,9 @@ ANALYSES = {
     "filter_accents": (lambda t: F.transform(A.general(t), A.fold_accents), f"list_transform({GENERAL}, lambda w: replace(translate(w, '{A.ACCENTED}', '{A.PLAIN}'), 'ß', 'ss'))"),
     "filter_elision": (lambda t: F.transform(A.whitespace(F.lower(t)), A.elision), r"list_transform(regexp_extract_all(lower(text), '[^ \n\t]+'), lambda w: regexp_replace(w, '^(?:l|m|t|qu|n|s|j|d|c)[''’]', ''))"),
     "filter_reverse": (lambda t: A.reverse(A.general(t)), f"list_transform({GENERAL}, lambda w: reverse(w))"),
-    "shingles": ((A.general, lambda t: A.shingles(t, 2)), f"[array_to_string(({GENERAL})[:50][i:i + 1], ' ') FOR i IN range(1, least(len({GENERAL}), 50))]"),
-    "char_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.char_ngrams(w, 3, 3)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, i, 3) FOR i IN range(1, length(w) - 1)]))"),
-    "edge_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.edge_ngrams(w, 2, 4)))), f"flatten(list_transform(({GENERAL})[:50], lambda w: [substring(w, 1, i) FOR i IN range(2, least(4, length(w)) + 1)]))"),
+    "shingles": ((A.general, lambda t: A.shingles(t, 2)), "[ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]"),
+    "char_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.char_ngrams(w, 3, 3)))), f"flatten(list_transform({GENERAL}, lambda w: [substring(w, i, 3) FOR i IN range(1, length(w) - 1)]))"),
+    "edge_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.edge_ngrams(w, 2, 4)))), f"flatten(list_transform({GENERAL}, lambda w: [substring(w, 1, i) FOR i IN range(2, least(4, length(w)) + 1)]))"),
 }
 for _name, (_f, _sql) in ANALYSES.items():
     query(_name, counts_sql(_sql))(lambda spark, sf, f=_f: term_counts(spark, sf, *(f if isinstance(f, tuple) else (f,))))
@@ -739,7 +737,7 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", S.date_to_string(F.col("ts"), "hour").alias("hour"), S.date_to_string(S.round_date(F.col("ts"), "month"), "day").alias("month"))
 
 
-@query("sortable_numbers", "SELECT o_orderkey, o_orderkey AS back, row_number() OVER (ORDER BY o_orderkey)::INT AS rank FROM orders WHERE o_orderkey <= 2000")
+@query("sortable_numbers", "SELECT o_orderkey, o_orderkey AS back, row_number() OVER (ORDER BY o_orderkey)::INT AS rank FROM orders")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", S.long_to_sortable(F.col("o_orderkey").cast("long")).alias("s"))
     # strings that share all but the last three digits are ranked together, after the counts of lower beginnings; nulls are last
@@ -786,7 +784,7 @@ def _(spark, sf):
 def _(spark, sf):
     from . import language
 
-    return searcher(spark, sf, "of", "and", positions=True).search(language.dependence("of and")).select("doc_id")
+    return searcher(spark, sf, "of", "and").search(language.dependence("of and")).select("doc_id")
 
 
 # Proximity feedback and further re-ranking
@@ -797,9 +795,8 @@ NEAR_SQL = FB_SQL + ", fp AS (SELECT topic_id, doc_id, term, pos FROM fb JOIN fl
 
 
 def near_parts(spark, sf):
-    docs = documents(spark, sf)
-    index, terms = I.build(docs), topics(spark)
-    run = ranked(R.score(index, terms, "BM25"), 10)
+    index, terms = whole_index(spark, sf), topics(spark)
+    run = kept(ranked(R.score(index.only(terms), terms, "BM25"), 10), "run")
     return index, terms, FB.pseudo(run, 3)
 
 
