@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, public_id, read_docs, released, row_id, scratch, strings, tune
+from .common import drop_scratch, partitions, public_id, read_docs, released, row_id, scratch, strings, tune
 from .kernels import BASE, POWERS, mix, prefix_sums
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -391,6 +391,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     done = rows.mapInArrow(whole, kind)
     if rest is None:
+        drop_scratch(counts, encoded)
         return done
 
     @released

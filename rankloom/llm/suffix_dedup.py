@@ -434,7 +434,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = scratch(dealt.mapInArrow(sort_segments(span), "seg long, hash long, begin int, end int").groupBy("seg", "hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "segment-spans")
     places = found.where(F.col("kind") == PLACE).select("_id", "_key", "start", "seg", "hash").unionByName(shipped.where("blob IS NULL").select("_id", "_key", "start", "seg", "hash"))
     hits = places.join(spans, ["seg", "hash"]).select("_id", "_key", F.transform("spans", lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
-    return hits.groupBy("_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = scratch(hits.groupBy("_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "document-spans")
+    drop_scratch(shipped, found, spans)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
