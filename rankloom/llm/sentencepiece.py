@@ -26,17 +26,19 @@ repeated rows are encoded one by one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, partitions, public_id, read_docs, released, row_id, scratch, strings, tune
-from .kernels import BASE, POWERS, mix, prefix_sums
+from .kernels import BASE, INVERSE, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a unit of the tables, units that are broadcast (about 24 bytes each).
@@ -45,7 +47,7 @@ MAX_UNIT, TABLE = 512, 1 << 22
 #: session's partitions there may be.
 EACH, SPREAD = 1 << 13, 16
 #: Characters that are hashed at a time; units and characters that a task counts at a time.
-BLOCK, COUNTED, READ = 1 << 17, 1 << 19, 1 << 23
+BLOCK, COUNTED, READ = 1 << 16, 1 << 19, 1 << 23
 #: Score of a byte piece that stands for a part of a character without piece.
 BYTE_SCORE = -1e6
 
@@ -70,8 +72,21 @@ def kinds() -> np.ndarray:
 
 @cache
 def values() -> np.ndarray:
-    """A 64-bit value for each code point."""
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * BASE)
+    """A 64-bit value for each code point of the basic plane."""
+    return mix(np.arange(1, 0x10001, dtype=np.uint64) * BASE)
+
+
+def values_of(code: np.ndarray) -> np.ndarray:
+    if len(code) and int(code.max()) > 0xFFFF:
+        return mix((code.astype(np.uint64) + np.uint64(1)) * BASE)
+    return values()[code]
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    up, down = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64)))) for b in (BASE, INVERSE))
+    return up, down
 
 
 def codes(text: str) -> np.ndarray:
@@ -79,8 +94,10 @@ def codes(text: str) -> np.ndarray:
 
 
 def hashes_between(code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums = prefix_sums(values()[code])
-    return mix((sums[end] - sums[begin]) * POWERS.get(len(code) + 1)[1][begin])
+    up, down = powers(max(BLOCK, 1 << len(code).bit_length()))
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(values_of(code) * up[: len(code)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin])
 
 
 def hash_units(found: list[str]) -> np.ndarray:
@@ -279,10 +296,23 @@ def packed(pieces: Pieces):
     return run
 
 
+#: Begins the packed table inside the file of its broadcast.
+MARK = b"rankloom units 1"
+
+
+def padding() -> int:
+    """Bytes after mark and lengths, so that the arrays lie at multiples of 8 in a file of the pickled table."""
+    return -(pickle.dumps(bytes(1 << 20), pickle.HIGHEST_PROTOCOL).index(bytes(64)) + len(MARK) + 24) % 8
+
+
 class Table:
-    """Encoded units as packed arrays: sorted hashes, offsets, ids."""
+    """Encoded units as packed arrays: sorted hashes, offsets, sizes, ids."""
+
+    def __init__(self, hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.hashes, self.begins, self.sizes, self.ids = hashes, begins, sizes, ids
 
-    def __init__(self, encoded: DataFrame, pieces: Pieces) -> None:
+    @staticmethod
+    def collect(encoded: DataFrame, pieces: Pieces) -> Table:
         kind = np.uint16 if len(pieces.text) < 1 << 16 else np.int32
         rows = encoded.select("unit", "ids").mapInArrow(packed(pieces), "hashes binary, sizes binary, ids binary").toArrow()
         join = lambda name, of: np.concatenate([np.zeros(0, of), *(np.frombuffer(b.as_buffer(), of) for b in rows[name])])
@@ -290,9 +320,30 @@ class Table:
         del rows
         begin = np.cumsum(size, dtype=np.int32) - size
         order = np.argsort(hashes)
-        self.hashes, self.sizes = hashes[order], size[order]
-        # ids stay in place; an entry knows where its own begin
-        self.begins, self.ids = begin[order].astype(np.int32), flat
+        return Table(hashes[order], begin[order].astype(np.int32), size[order], flat)  # ids stay in place; an entry knows where its own begin
+
+    def payload(self) -> bytes:
+        head = np.array([len(self.hashes), len(self.ids), self.ids.itemsize], "<i8").tobytes()
+        return b"".join([MARK, head, bytes(padding()), *(x.tobytes() for x in (self.hashes, self.begins, self.ids, self.sizes))])
+
+    @staticmethod
+    def view(data: np.ndarray, pad: int) -> Table:
+        n, m, width = np.frombuffer(data[len(MARK) : len(MARK) + 24].tobytes(), "<i8").tolist()
+        at, out = len(MARK) + 24 + pad, []
+        for count, kind in ((n, np.uint64), (n, np.int32), (m, np.uint16 if width == 2 else np.int32), (n, np.uint16)):
+            part = data[at : at + count * np.dtype(kind).itemsize]
+            out.append(part.view(kind) if part.ctypes.data % np.dtype(kind).itemsize == 0 else np.frombuffer(part.tobytes(), kind))
+            at += len(part)
+        return Table(out[0], out[1], out[3], out[2])
+
+    @staticmethod
+    def opened(shared: Broadcast, pad: int) -> Table:
+        """From the local file of the broadcast, which all workers of an executor map; from its value where there is none."""
+        if path := getattr(shared, "_path", None):
+            data = np.memmap(path, np.uint8, "r")
+            if (at := data[:4096].tobytes().find(MARK)) >= 0:
+                return Table.view(data[at:], pad)
+        return Table.view(np.frombuffer(shared.value, np.uint8), pad)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Places of these hashes in the table, -1 for units that aren't there."""
@@ -364,19 +415,23 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         least = counts.orderBy(F.desc("n"), "unit").select("unit", "n").offset(table - 1).limit(1).first()
         often = counts.where((F.col("n") > least["n"]) | ((F.col("n") == least["n"]) & (F.col("unit") <= least["unit"]))).select("unit")
         chosen, rest = encoded.join(often, "unit", "left_semi"), encoded.join(often, "unit", "left_anti")
-    shared = spark.sparkContext.broadcast((Table(chosen, pieces), pieces))  # ``table`` units at most
+    payload = Table.collect(chosen, pieces).payload()  # ``table`` units at most
+    pad = padding()
+    packed_units, vocabulary = spark.sparkContext.broadcast(payload), spark.sparkContext.broadcast(pieces)
+    del payload
     kind = "_id long, ids binary, n_pieces long" + ", decoded string" * decoded
 
     def result(doc: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         columns = [doc, binary(ids.astype("<i4").view(np.uint8), 4 * counts), pa.array(counts)]
         if decoded:
-            columns.append(binary(*shared.value[1].decode_all(ids, counts)).cast(pa.string()))
+            columns.append(binary(*vocabulary.value.decode_all(ids, counts)).cast(pa.string()))
         return pa.RecordBatch.from_arrays(columns, names=["_id", "ids", "n_pieces", "decoded"][: len(columns)])
 
     @released
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Table.opened(packed_units, pad), vocabulary.value
         for batch in batches:
-            ids, counts, lacking = look_up(strings(batch.column("_text")), *shared.value, {})
+            ids, counts, lacking = look_up(strings(batch.column("_text")), *known, {})
             keep = np.ones(len(counts), bool)
             keep[list(lacking)] = False
             yield result(batch.column("_id").filter(pa.array(keep)), ids[np.repeat(keep, counts)] if lacking else ids, counts[keep])
@@ -384,8 +439,9 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     @released
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the other documents (id, text, units that aren't in the table)."""
+        known = Table.opened(packed_units, pad), vocabulary.value
         for batch in batches:
-            _, _, lacking = look_up(strings(batch.column("_text")), *shared.value, {})
+            _, _, lacking = look_up(strings(batch.column("_text")), *known, {})
             take = pa.array(sorted(lacking), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(take), batch.column("_text").take(take), pa.array([sorted(lacking[k]) for k in sorted(lacking)], pa.list_(pa.string()))], names=["_id", "_text", "missing"])
 
@@ -396,11 +452,12 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     @released
     def mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value[1]
+        own = vocabulary.value
+        known = Table.opened(packed_units, pad), own
         for batch in batches:
             more = {m["unit"]: m["ids"] for row in batch.column("more").to_pylist() for m in row}
             given = [expand(pa.array([ids], pa.list_(pa.int32())), own)[1].astype(np.int32) for ids in more.values()]
-            ids, counts, _ = look_up(strings(batch.column("_text")), *shared.value, dict(zip(hash_units(list(more)).tolist(), given, strict=True)))
+            ids, counts, _ = look_up(strings(batch.column("_text")), *known, dict(zip(hash_units(list(more)).tolist(), given, strict=True)))
             yield result(batch.column("_id"), ids, counts)
 
     left = scratch(rows.mapInArrow(others, "_id long, _text string, missing array<string>").withColumn("_key", F.xxhash64("_text")), "other-documents")
