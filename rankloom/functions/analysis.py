@@ -152,6 +152,55 @@ def limit(tokens: Column, n: int = 10000) -> Column:
     return F.slice(tokens, 1, n)
 
 
+def with_increments(tokens: Column, increment: int = 0) -> Column:
+    """(term, increment) of each token: the first has 1, all others ``increment``."""
+    return F.transform(tokens, lambda t, i: F.struct(t.alias("term"), F.when(i == 0, F.lit(1)).otherwise(F.lit(increment)).alias("increment")))
+
+
+#: Letters that Arabic texts write in several ways and the one form they get; marks that go (fixed values).
+ARABIC_FORMS = {"آ": "ا", "أ": "ا", "إ": "ا", "ى": "ي", "ة": "ه"}
+ARABIC_MARKS = "ـًٌٍَُِّْ"
+#: Article, conjunction and preposition prefixes, and endings, of Arabic light stemming; a stem keeps two letters or more (fixed values).
+ARABIC_PREFIXES = ("ال", "وال", "بال", "كال", "فال", "لل", "و")
+ARABIC_SUFFIXES = ("ها", "ان", "ات", "ون", "ين", "يه", "ية", "ه", "ة", "ي")
+#: Persian forms of shared letters (fixed values).
+PERSIAN_FORMS = {"ی": "ي", "ے": "ي", "ک": "ك", "ۀ": "ه", "ہ": "ه", "ٔ": ""}
+#: Greek letters with marks, and the final sigma, and their plain small letters (fixed values).
+GREEK_FORMS = {"ά": "α", "έ": "ε", "ή": "η", "ί": "ι", "ϊ": "ι", "ΐ": "ι", "ό": "ο", "ύ": "υ", "ϋ": "υ", "ΰ": "υ", "ώ": "ω", "ς": "σ"}
+
+
+def by_forms(text: Column, forms: dict[str, str], drop: str = "") -> Column:
+    """``text`` with each letter in its plain form, without the letters of ``drop``."""
+    kept = {k: v for k, v in forms.items() if v}
+    gone = drop + "".join(k for k, v in forms.items() if not v)
+    return F.translate(text, "".join(kept) + gone, "".join(kept.values()))
+
+
+def arabic(text: Column) -> Column:
+    return by_forms(text, ARABIC_FORMS, ARABIC_MARKS)
+
+
+def persian(text: Column) -> Column:
+    return by_forms(text, PERSIAN_FORMS)
+
+
+def greek(text: Column) -> Column:
+    return by_forms(F.lower(text), GREEK_FORMS)
+
+
+def arabic_stem(word: str) -> str:
+    """Light stemming: at most one prefix, then endings in the order of their list."""
+    for prefix in ARABIC_PREFIXES:
+        least = 4 if prefix == "و" else len(prefix) + 2
+        if word.startswith(prefix) and len(word) >= least:
+            word = word[len(prefix) :]
+            break
+    for suffix in ARABIC_SUFFIXES:
+        if word.endswith(suffix) and len(word) >= len(suffix) + 2:
+            word = word[: -len(suffix)]
+    return word
+
+
 ANALYZERS: dict[str, Callable[[Column], Column]] = {
     "whitespace": whitespace, "letters": letters, "simple": lower_letters, "keyword": keyword, "general": general, "standard": standard, "cjk": cjk_bigrams, "han": han_unigrams,
 }
@@ -207,8 +256,8 @@ def porter(word: str) -> str:
                 break
     if w.endswith("y") and "v" in shape(w[:-1]):
         w = w[:-1] + "i"
-    two = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-    w = swap(w, [tuple(r.split(":")) for r in two.split()], 0)
+    w = swap(w, [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
+                 ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")], 0)
     w = swap(w, [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")], 0)
     for end in "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split():
         if w.endswith(end):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sets
@@ -236,6 +236,30 @@ class Searcher:
         return kept.select("doc_id", (F.col("score") * coord * query.boost).alias("score"))
 
 
+def field_scores(documents: DataFrame, column: str, kind: str = "float", boost: float = 1.0) -> DataFrame:
+    """(doc_id, score) of every document with a value: a field read as a number is the score."""
+    return documents.select("doc_id", (F.col(column).cast(kind).cast("double") * boost).alias("score")).where("score IS NOT NULL")
+
+
+def explain_clauses(searcher: Searcher, query: Boolean) -> DataFrame:
+    """(doc_id, term, occur, tf, df, idf, norm, value, overlap, coord) of the term clauses that a hit meets; score = coord * sum of the values."""
+    s = searcher.similarity
+    index = searcher.index(next((q.field for _, q in query.clauses if isinstance(q, Term)), None)).only(sorted(terms_of(query)))
+    required = sum(occur == MUST for occur, _ in query.clauses)
+    most = sum(occur != MUST_NOT for occur, _ in query.clauses)
+    clauses = searcher.documents.sparkSession.createDataFrame([(q.text, occur, float(q.boost)) for occur, q in query.clauses], "term string, occur string, boost double")
+    rows = index.postings.join(F.broadcast(clauses.join(index.lexicon, "term").crossJoin(index.stats)), "term")
+    idf, norm = s.idf(F.col("df"), F.col("N")), s.length_norm(F.col("dl"))
+    rows = rows.select("doc_id", "term", "occur", "tf", "df", idf.alias("idf"), norm.alias("norm"), (s.tf(F.col("tf")) * idf * idf * F.col("boost") * norm).alias("value"))
+    doc = Window.partitionBy("doc_id")
+    for name in (MUST, SHOULD, MUST_NOT):
+        rows = rows.withColumn(f"n_{name}", F.count_if(F.col("occur") == name).over(doc))
+    least = query.min_should or (0 if required else 1)
+    kept = rows.where((F.col(f"n_{MUST}") == required) & (F.col(f"n_{MUST_NOT}") == 0) & (F.col(f"n_{SHOULD}") >= least))
+    overlap = F.col(f"n_{MUST}") + F.col(f"n_{SHOULD}")
+    return kept.select("doc_id", "term", "occur", "tf", "df", "idf", "norm", "value", overlap.alias("overlap"), (s.coord(overlap, most) if query.coord else F.lit(1.0)).alias("coord"))
+
+
 # The same conjunctions as joins; results agree with the aggregate form.
 
 

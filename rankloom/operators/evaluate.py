@@ -42,6 +42,28 @@ def per_topic(run: DataFrame, qrels: DataFrame, **options) -> DataFrame:
     return rows.groupBy("topic_id").agg(*aggs)
 
 
+def graded(run: DataFrame, qrels: DataFrame, depth: int = 10) -> DataFrame:
+    """(topic_id, dcg, ndcg) to ``depth``: gain 2 ** grade - 1 over log2(rank + 1), against the best order of the judged documents."""
+    gain = lambda rank: (F.pow(F.lit(2.0), F.greatest(F.col("grade"), F.lit(0))) - 1) / F.log2(rank + 1)
+    marks = qrels.groupBy("topic_id", "doc_id").agg(F.max("grade").alias("grade"))
+    best = marks.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("grade")))).where(F.col("place") <= depth)
+    ideal = best.groupBy("topic_id").agg(F.sum(gain(F.col("place"))).alias("ideal"))
+    got = run.where(F.col("rank") <= depth).join(marks, ["topic_id", "doc_id"]).groupBy("topic_id").agg(F.sum(gain(F.col("rank"))).alias("dcg"))
+    joined = ideal.join(got, "topic_id", "left").fillna(0.0, ["dcg"])
+    return joined.select("topic_id", "dcg", F.coalesce(F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0)), F.lit(0.0)).alias("ndcg"))
+
+
+def report_lines(topics: DataFrame, names: tuple[str, ...] = ("ap", "r_precision", "p_10")) -> DataFrame:
+    """(topic_id, value): a report's line of each topic, tab-separated, and one of the means, whose topic is ``all``."""
+    means = topics.agg(*(F.avg(n).alias(n) for n in names), *(F.sum(n).alias(n) for n in ("retrieved", "relevant", "relevant_retrieved"))).withColumn("topic_id", F.lit("all"))
+    rows = topics.select("topic_id", *names, "retrieved", "relevant", "relevant_retrieved").unionByName(means)
+    return rows.select("topic_id", F.concat_ws("\t", "topic_id", *(F.format_string("%.4f", n) for n in names), *(F.col(n).cast("string") for n in ("retrieved", "relevant", "relevant_retrieved"))).alias("value"))
+
+
+def write_report(topics: DataFrame, path: str) -> None:
+    report_lines(topics).coalesce(1).sortWithinPartitions(F.col("topic_id") == "all", "topic_id").select("value").write.mode("overwrite").text(path)
+
+
 def summary(topics: DataFrame) -> DataFrame:
     """Means over the topics, and totals."""
     means = [c for c in topics.columns if c not in ("topic_id", "retrieved", "relevant", "relevant_retrieved")]

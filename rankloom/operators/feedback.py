@@ -79,6 +79,24 @@ def model_based(weight: float = 0.5) -> Column:
     return F.when(value <= 0.001, 0.0).otherwise(value)
 
 
+def matf() -> Column:
+    """Bursts against the pool's mean term frequency, and length-adjusted frequency, mixed by the query's length."""
+    tf, aef = F.col("fb_tf"), F.col("ctf") / F.col("df")
+    mixed = 2 / (1 + lg(1 + F.col("ql")))
+    burst = lg(1 + tf) / lg(1 + F.col("fb_len") / F.col("fb_terms"))
+    level = tf * lg(1 + F.col("avdl") / F.col("fb_len"))
+    return (mixed * squash(burst) + (1 - mixed) * squash(level)) * lg((F.col("N") + 1) / F.col("df")) * squash(aef)
+
+
+def select_matf(feedback: DataFrame, index: Index, query: DataFrame, k: int = 40, min_docs: int = 2, by: str = "max") -> DataFrame:
+    """The terms of all feedback documents together by ``matf``."""
+    rows = pooled(feedback, index)
+    distinct = rows.groupBy("topic_id").agg(F.count("*").alias("fb_terms"))
+    lengths = query.groupBy("topic_id").agg(F.first("ql").alias("ql"))
+    weighed = rows.join(F.broadcast(distinct), "topic_id").join(F.broadcast(lengths), "topic_id").where(F.col("fb_df") >= min_docs)  # one row for each topic
+    return best_terms(weighed.select("topic_id", "term", matf().alias("weight")), k, by)
+
+
 QE_MODELS = {"Bo1": bo1, "Bo2": bo2, "KL": kl, "KL_plain": kl_plain, "TFIDF": tfidf, "Lemur_TFIDF": lemur_tfidf, "ModelBased": model_based}
 
 

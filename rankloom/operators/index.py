@@ -123,6 +123,31 @@ def delete(index: Index, doc_ids: DataFrame) -> Index:
     return Index(postings, lexicon_of(postings), statistics(lengths))
 
 
+def delete_terms(index: Index, terms: list[str]) -> Index:
+    """Without the documents that hold any of the terms."""
+    return delete(index, index.only(terms).postings.where(F.col("term").isin(terms)).select("doc_id").distinct())
+
+
+def update(index: Index, docs: DataFrame, analyzer: Callable[[Column], Column] = general, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """With ``docs`` in the place of the documents of the same id."""
+    rest = delete(index, docs.select(F.col(id_col).alias("doc_id")))
+    names = index.postings.columns
+    new = build(docs, analyzer, "positions" in names, id_col, text_col)
+    return merge(rest, Index(new.postings.select(*names), new.lexicon, new.stats))
+
+
+def parallel(first: DataFrame, *others: DataFrame, on: str = "doc_id") -> DataFrame:
+    """Tables that hold different fields of the same documents, as one."""
+    return reduce(lambda a, b: a.join(b.select(on, *(c for c in b.columns if c not in a.columns)), on), others, first)
+
+
+def discover(spark: SparkSession, root: str) -> list[str]:
+    """Paths of all indexes below ``root``, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/postings/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(s.getPath().getParent().getParent().toString() for s in found or [])
+
+
 def check(index: Index) -> DataFrame:
     """Invariants: rows (name, failures)."""
     terms = lexicon_of(index.postings).join(index.lexicon.withColumnRenamed("df", "df2").withColumnRenamed("ctf", "ctf2"), "term", "full")

@@ -6,10 +6,15 @@ Positions of one document meet in arrays inside a row, so a positional query cos
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from .boolean import Similarity
+    from .index import Index
+
 
 def gathered(postings: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, dl, p0, p1, ...): the positions of each term in documents that have them all."""
@@ -120,6 +125,23 @@ def span_scores(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.sum(1 / (F.col("end") - F.col("start") + 1)).alias("freq"))
 
 
+def span_query(spans: DataFrame, index: Index, terms: list[str], similarity: Similarity, boost: float = 1.0) -> DataFrame:
+    """(doc_id, score) of spans over these terms: tf of the span frequency, the terms' summed idf squared, and the length norm."""
+    asked = index.only(terms)
+    idf = asked.lexicon.where(F.col("term").isin(terms)).crossJoin(asked.stats).agg(F.sum(similarity.idf(F.col("df"), F.col("N"))).alias("idf"))
+    lengths = asked.postings.where(F.col("term").isin(terms)).select("doc_id", "dl").distinct()
+    value = similarity.tf(F.col("freq")) * F.col("idf") * F.col("idf") * boost * similarity.length_norm(F.col("dl"))
+    return span_scores(spans).join(lengths, "doc_id").crossJoin(F.broadcast(idf)).select("doc_id", value.alias("score"))
+
+
+def spans_with_payloads(spans: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(doc_id, start, end, payloads): the payloads (doc_id, pos, payload) at the places of each span, in order."""
+    s, p = spans.alias("s"), payloads.alias("p")
+    met = s.join(p, (F.col("s.doc_id") == F.col("p.doc_id")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    listed_ = F.transform(F.array_sort(F.collect_list(F.struct("pos", "payload"))), lambda x: x["payload"])
+    return met.groupBy(F.col("s.doc_id").alias("doc_id"), "start", "end").agg(listed_.alias("payloads"))
+
+
 def payload_scores(spans: DataFrame, payloads: DataFrame) -> DataFrame:
     """(doc_id, freq, payload): span frequency and the mean payload (doc_id, pos, payload) at the spans."""
     met = spans.join(payloads, (spans["doc_id"] == payloads["doc_id"]) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), "left")
@@ -159,3 +181,9 @@ def windows_with_all(positions: list[Column], dl: Column, width: int) -> Column:
     begins = lambda p: F.array_distinct(F.flatten(F.transform(p, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.greatest(F.least(i, last), F.greatest(i - (width - 1), F.lit(0)))))))
     inside = lambda p: F.filter(begins(p), lambda w: w <= last)
     return F.size(reduce(F.array_intersect, [inside(p) for p in positions])).cast("long")
+
+
+def windows_in_order(first: Column, second: Column, dl: Column, width: int) -> Column:
+    """Windows of ``width`` places with any place of the second term, if somewhere it follows the first within the width; else 0."""
+    follows = F.exists(second, lambda b: F.exists(first, lambda a: (b > a) & (b - a < width)))
+    return F.when(follows, windows_with_all([second], dl, width)).otherwise(F.lit(0).cast("long"))

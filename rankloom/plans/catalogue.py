@@ -18,7 +18,7 @@ from ..operators import feedback as FB
 from ..operators import sets, spans
 from ..operators import index as I
 from ..operators import search as R
-from ..sources.storage import kept
+from ..sources.storage import kept, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,10 +237,10 @@ def _(spark, sf):
     return ranked(R.score(index, terms, "BM25"), 10)
 
 
-@query("explain_bm25", BASE + f" SELECT topic_id, doc_id, term, tf::BIGINT AS tf, dl::BIGINT AS dl, df::BIGINT AS df, round({bm25_sql('0.35')}, 6) AS score FROM rows WHERE topic_id = 't2'")
+@query("explain_bm25", BASE + f" SELECT topic_id, doc_id, term, tf::BIGINT AS tf, dl::BIGINT AS dl, df::BIGINT AS df, round({bm25_sql('0.35')}, 6) AS score FROM rows")
 def _(spark, sf):
     index, terms = index_and_terms(spark, sf)
-    return R.explain(index, terms.where("topic_id = 't2'"), "BM25").withColumn("score", F.round("score", 6))
+    return R.explain(index, terms, "BM25").withColumn("score", F.round("score", 6))
 
 
 @query("qtf_normalise", f"WITH {Q} SELECT topic_id, term, round(qtf / sum(qtf) OVER (PARTITION BY topic_id), 6) AS share FROM q")
@@ -255,10 +255,11 @@ def _(spark, sf):
     return R.top_k(scored, 40, 21).select("topic_id", "doc_id", "rank", "score")
 
 
-@query("quantized_lengths", f"WITH {TOK}, {DL} SELECT count(*)::BIGINT AS n, max(dl)::BIGINT AS longest FROM dl")
+#: A one-byte norm keeps the power of two and two bits below it; the rest is cut off.
+@query("quantized_lengths", f"WITH {TOK}, {DL}, f AS (SELECT doc_id, 1 / sqrt(greatest(dl, 1)) AS f FROM dl), e AS (SELECT doc_id, f, pow(2, floor(log2(f))) AS e FROM f), v AS (SELECT doc_id, e * floor(f / e * 4) / 4 AS v FROM e) SELECT doc_id, round(1 / (v * v), 4) AS length FROM v")
 def _(spark, sf):
-    split = I.analysed(documents(spark, sf)).where("dl >= 0").withColumn("q", S.quantized_length(F.greatest("dl", F.lit(1))))
-    return split.agg(F.count("q").alias("n"), F.max("dl").alias("longest"))
+    split = I.analysed(documents(spark, sf)).withColumn("q", S.quantized_length(F.greatest("dl", F.lit(1))))
+    return split.select("doc_id", F.round("q", 4).alias("length"))
 
 
 @query("bm25f", f"WITH a AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1), b AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1), {Q}, "
@@ -824,3 +825,241 @@ def _(spark, sf):
     index, terms, run, fb = feedback_parts(spark, sf)
     chosen = FB.select_pooled(fb, index, "Bo1", 100)
     return FB.rerank_by_classifier(run, index, chosen).withColumn("score", F.round("score", 6))
+
+
+# Index changes, field scores, explanations, scored spans, reports, chains
+
+WITHOUT_DER = f"WITH all_{TOK}, tok AS (SELECT * FROM all_tok WHERE NOT list_contains(ts, 'der')), {FLAT}, {DL}, {POST}, {LEX}, {ST}"
+
+
+@query("index_delete_by_term", WITHOUT_DER + " SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf, (SELECT count(*) FROM dl WHERE dl > 0) AS n FROM lex")
+def _(spark, sf):
+    left = I.delete_terms(whole_index(spark, sf), ["der"])
+    return left.lexicon.crossJoin(F.broadcast(left.stats)).select("term", "df", "ctf", F.col("N").alias("n"))
+
+
+@query("index_update", EVERY.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'an update of ' || doc_id ELSE text END AS text FROM documents))") + " SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf FROM lex")
+def _(spark, sf):
+    new = documents(spark, sf).where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("an update of "), F.col("doc_id")).alias("text"))
+    return I.update(whole_index(spark, sf), new).lexicon
+
+
+@query("index_parallel", "SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)")
+def _(spark, sf):
+    sizes = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return I.parallel(sizes, table(spark, sf, "labels").select("doc_id", "quality"))
+
+
+@query("field_score_query", "SELECT doc_id, n_chars::FLOAT::DOUBLE * 0.5 AS score FROM documents WHERE n_chars IS NOT NULL")
+def _(spark, sf):
+    return B.field_scores(table(spark, sf, "documents"), "n_chars", "float", 0.5)
+
+
+@query("explain_boolean", VECTORS + """, hit AS (SELECT a.doc_id FROM v a WHERE a.term = 'the' AND a.doc_id IN (SELECT doc_id FROM v WHERE term = 'of') AND a.doc_id NOT IN (SELECT doc_id FROM v WHERE term = 'from')),
+ e AS (SELECT doc_id, term, CASE term WHEN 'with' THEN 'should' ELSE 'must' END AS occur, tf::BIGINT AS tf, df::BIGINT AS df, round(ln(n / (df + 1)) + 1, 6) AS idf, round(1 / sqrt(greatest(dl, 1)), 6) AS norm, round(v.s, 6) AS value
+ FROM hit JOIN post USING (doc_id) JOIN lex USING (term) JOIN dl USING (doc_id) JOIN v USING (doc_id, term), st WHERE term IN ('the', 'of', 'with'))
+ SELECT *, count(*) OVER (PARTITION BY doc_id) AS overlap, round(count(*) OVER (PARTITION BY doc_id) / 3, 6) AS coord FROM e""")
+def _(spark, sf):
+    q = B.Boolean(((B.MUST, B.Term("the")), (B.MUST, B.Term("of")), (B.SHOULD, B.Term("with")), (B.MUST_NOT, B.Term("from"))))
+    out = B.explain_clauses(searcher(spark, sf), q)
+    return out.select("doc_id", "term", "occur", "tf", "df", *(F.round(c, 6).alias(c) for c in ("idf", "norm", "value")), "overlap", F.round("coord", 6).alias("coord"))
+
+
+@query("span_query", POS + f", {POST}, {LEX}, {ST}, f AS (SELECT doc_id, sum(1 / (l + 1.0)) AS freq FROM (SELECT a.doc_id, b.pos + 1 - max(a.pos) AS l FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'and' AND b.pos > a.pos AND b.pos - a.pos - 1 <= 5 GROUP BY a.doc_id, b.pos) GROUP BY doc_id), i AS (SELECT sum(ln(n / (df + 1)) + 1) AS idf FROM lex, st WHERE term IN ('of', 'and')) SELECT doc_id, round(sqrt(freq) * idf * idf / sqrt(greatest(dl, 1)), 6) AS score FROM f JOIN dl USING (doc_id), i")
+def _(spark, sf):
+    index = whole_index(spark, sf)
+    p = index.only(["of", "and"]).postings
+    found = spans.span_near([spans.spans_of(p, "of"), spans.spans_of(p, "and")], 5)
+    return hits(spans.span_query(found, index, ["of", "and"], B.Similarity()))
+
+
+@query("span_payloads", POS + " SELECT doc_id, pos AS start, pos + 1 AS \"end\", (pos % 7)::DOUBLE AS payload FROM p WHERE term = 'in'")
+def _(spark, sf):
+    p = positions(spark, sf)
+    loads = p.where("term = 'in'").select("doc_id", F.explode("positions").alias("pos")).withColumn("payload", (F.col("pos") % 7).cast("double"))
+    return spans.spans_with_payloads(spans.spans_of(p, "in"), loads).select("doc_id", "start", "end", F.col("payloads")[0].alias("payload"))
+
+
+@query("ordered_windows", POS + """, f AS (SELECT DISTINCT a.doc_id FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'and' AND b.pos > a.pos AND b.pos - a.pos < 8),
+ b AS (SELECT DISTINCT doc_id FROM p WHERE term = 'of' INTERSECT SELECT doc_id FROM p WHERE term = 'and'),
+ w AS (SELECT DISTINCT doc_id, unnest(range(greatest(pos - 7, 0), least(pos, greatest(dl - 8, 0)::INT) + 1)) AS w FROM p JOIN dl USING (doc_id) JOIN f USING (doc_id) WHERE term = 'and')
+ SELECT b.doc_id, count(w.w) AS windows FROM b LEFT JOIN w USING (doc_id) GROUP BY b.doc_id""")
+def _(spark, sf):
+    both = spans.gathered(positions(spark, sf), ["of", "and"])
+    return both.select("doc_id", spans.windows_in_order(F.col("p0"), F.col("p1"), F.col("dl"), 8).alias("windows"))
+
+
+@query("evaluate_report", JUDGED + ", t AS (SELECT topic_id, coalesce(sum(CASE WHEN hit = 1 THEN found / rank END) / max(rel), 0) AS ap, count(*) FILTER (hit = 1 AND rank <= rel) / max(rel) AS rp, count(*) FILTER (hit = 1 AND rank <= 10) / 10 AS p, count(*)::BIGINT AS n, max(rel)::BIGINT AS r, sum(hit)::BIGINT AS h FROM f GROUP BY topic_id), a AS (FROM t UNION ALL SELECT 'all', avg(ap), avg(rp), avg(p), sum(n)::BIGINT, sum(r)::BIGINT, sum(h)::BIGINT FROM t) SELECT topic_id, concat_ws(chr(9), topic_id, printf('%.4f', ap), printf('%.4f', rp), printf('%.4f', p), n, r, h) AS value FROM a")
+def _(spark, sf):
+    return E.report_lines(E.per_topic(*run_and_qrels(spark, sf)))
+
+
+@query("evaluate_graded", JUDGED + ", g AS (SELECT topic_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM run100 JOIN qrels USING (topic_id, doc_id) WHERE rank <= 10 GROUP BY 1), o AS (SELECT topic_id, grade, row_number() OVER (PARTITION BY topic_id ORDER BY grade DESC) AS p FROM qrels), b AS (SELECT topic_id, sum((pow(2, grade) - 1) / log2(p + 1)) AS best FROM o WHERE p <= 10 GROUP BY 1) SELECT topic_id, round(coalesce(dcg, 0), 6) AS dcg, round(coalesce(dcg, 0) / best, 6) AS ndcg FROM b LEFT JOIN g USING (topic_id)")
+def _(spark, sf):
+    out = E.graded(*run_and_qrels(spark, sf))
+    return out.select("topic_id", F.round("dcg", 6).alias("dcg"), F.round("ndcg", 6).alias("ndcg"))
+
+
+@query("feedback_matf", FB_SQL + ", u AS (SELECT topic_id, count(*) AS ft_n FROM ft GROUP BY 1), ql AS (SELECT topic_id, max(ql) AS ql FROM q GROUP BY 1)" + best_sql(f"SELECT topic_id, term, (2 / (1 + {lg('1 + ql')}) * {sq('(' + lg('1 + ftf') + ' / ' + lg('1 + l / ft_n') + ')')} + (1 - 2 / (1 + {lg('1 + ql')})) * {sq('(ftf * ' + lg('1 + avdl / l') + ')')}) * {lg('(n + 1) / df')} * {sq('(ctf / df)')} AS weight FROM g JOIN u USING (topic_id) JOIN ql USING (topic_id) WHERE fdf >= 2"))
+def _(spark, sf):
+    index, terms, _, fb = feedback_parts(spark, sf)
+    return weights(FB.select_matf(fb, index, terms, 20))
+
+
+@query("post_process_chain", RUN + ", judged AS (SELECT doc_id FROM labels WHERE quality = 1), left_ AS (SELECT topic_id, doc_id, score, row_number() OVER (PARTITION BY topic_id ORDER BY rank) AS rank FROM run100 WHERE doc_id NOT IN (FROM judged)) SELECT topic_id, doc_id, score, rank::INT AS rank FROM left_ WHERE rank <= 20")
+def _(spark, sf):
+    from ..operators import process
+
+    run, qrels = run_and_qrels(spark, sf)
+    return process.chain(run, [process.without(qrels.where("grade = 1")), process.cut(20)]).select("topic_id", "doc_id", "score", "rank")
+
+
+@query("position_increments", f"WITH {TOK}, x AS (SELECT doc_id, ts[1] AS first, len(ts) AS n FROM tok) SELECT doc_id, first, n::INT AS n, (CASE WHEN n > 0 THEN 1 ELSE 0 END)::INT AS increments FROM x")
+def _(spark, sf):
+    rows = documents(spark, sf).select("doc_id", A.with_increments(A.general(F.coalesce("text", F.lit("")))).alias("ts"))
+    return rows.select("doc_id", F.try_element_at("ts", F.lit(1))["term"].alias("first"), F.size("ts").alias("n"), F.aggregate("ts", F.lit(0), lambda a, t: a + t["increment"]).alias("increments"))
+
+
+@query("normalise_letters", f"SELECT doc_id, translate(translate(coalesce(text, ''), '{''.join(A.ARABIC_FORMS)}' || '{A.ARABIC_MARKS}', '{''.join(A.ARABIC_FORMS.values())}'), '{''.join(k for k, v in A.PERSIAN_FORMS.items() if v)}' || '{''.join(k for k, v in A.PERSIAN_FORMS.items() if not v)}', '{''.join(A.PERSIAN_FORMS.values())}') AS text FROM documents")
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", A.persian(A.arabic(F.coalesce("text", F.lit("")))).alias("text"))
+
+
+# Readers, writers, streams and versions: what is written to the shared folder comes back
+
+FLAT_TEXT = r"regexp_replace(regexp_replace(coalesce(text, ''), '[<>&\s]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def flat_text(text: str = "text"):
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[<>&\s]+", " "))
+
+
+def written(lines: DataFrame, name: str) -> str:
+    path = new_path(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
+@query("source_sgml", f"SELECT doc_id::VARCHAR AS docno, {FLAT_TEXT} AS text FROM documents")
+def _(spark, sf):
+    from ..sources import collections as C
+
+    lines = documents(spark, sf).select(F.concat(F.lit("<DOC>\n<DOCNO> "), "doc_id", F.lit(" </DOCNO>\n<TEXT>\n"), flat_text(), F.lit("\n</TEXT>\n</DOC>")))
+    return C.read_sgml(spark, written(lines, "sgml"))
+
+
+@query("source_warc", "SELECT 'p-' || page_id AS id, url FROM pages")
+def _(spark, sf):
+    from ..sources import collections as C
+
+    head = F.concat(F.lit("WARC/0.18\nWARC-Type: response\nWARC-TREC-ID: p-"), "page_id", F.lit("\nWARC-Target-URI: "), "url", F.lit("\n\nHTTP/1.1 200 OK\nServer: WARC/1.0\n\n"), "html")
+    return C.read_warc(spark, written(table(spark, sf, "pages").select(head), "warc")).select("id", "url")
+
+
+@query("source_posts", "SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS \"user\", event_type AS content FROM events")
+def _(spark, sf):
+    from ..sources import collections as C
+
+    lines = table(spark, sf, "events").select(F.concat_ws("\t", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.lit("200"), F.date_format("ts", "yyyyMMddHHmmss"), "event_type"))
+    return C.read_posts(spark, written(lines, "posts")).select("id", "user", "content")
+
+
+@query("source_medline", f"SELECT doc_id::VARCHAR AS pmid, trim('Title ' || doc_id || ' ' || {FLAT_TEXT}) AS text FROM documents")
+def _(spark, sf):
+    from ..sources import collections as C
+
+    lines = documents(spark, sf).select(F.concat(F.lit("<MedlineCitation><PMID>"), "doc_id", F.lit("</PMID><ArticleTitle>Title "), "doc_id", F.lit("</ArticleTitle><AbstractText>"), flat_text(), F.lit("</AbstractText></MedlineCitation>")))
+    return C.read_medline(spark, written(lines, "medline"))
+
+
+@query("source_patents", f"SELECT doc_id::VARCHAR AS id, lang AS title, {FLAT_TEXT} AS claims FROM documents")
+def _(spark, sf):
+    from ..sources import collections as C
+
+    rows = table(spark, sf, "documents")
+    lines = rows.select(F.concat(F.lit("<patent-document><ucid>"), "doc_id", F.lit("</ucid><invention-title>"), "lang", F.lit("</invention-title><claims><claim>"), flat_text(), F.lit("</claim></claims></patent-document>")))
+    return C.read_patents(spark, written(lines, "patents")).select("id", "title", "claims")
+
+
+@query("source_bookmarks", "SELECT source AS urlmd5, max(lang) AS title, string_agg(lang, ' ' ORDER BY lang) AS tag FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source")
+def _(spark, sf):
+    from ..sources import collections as C
+
+    rows = table(spark, sf, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    return C.read_bookmarks(spark, written(rows.select(F.concat_ws("\t", "source", "lang", "lang")), "bookmarks")).select("urlmd5", "title", "tag")
+
+
+@query("source_qrels", "SELECT (doc_id % 7)::VARCHAR AS topic_id, doc_id::VARCHAR AS docno, quality::INT AS grade FROM labels WHERE quality IS NOT NULL")
+def _(spark, sf):
+    from ..sources import trec
+
+    lines = table(spark, sf, "labels").where("quality IS NOT NULL").select(F.concat_ws(" ", F.concat(F.lit("T-"), F.col("doc_id") % 7), F.lit("0"), F.col("doc_id").cast("string"), F.col("quality").cast("string")))
+    return trec.read_qrels(spark, written(lines, "qrels"))
+
+
+@query("source_line_topics", f"SELECT item_id::VARCHAR AS topic_id, {FLAT_TEXT} AS query FROM benchmark")
+def _(spark, sf):
+    from ..sources import trec
+
+    lines = table(spark, sf, "benchmark").select(F.concat(F.lit("wt-"), "item_id", F.lit(":"), flat_text()))
+    return trec.read_web_topics(spark, written(lines, "topics"))
+
+
+@query("source_topics", f"SELECT item_id::VARCHAR AS topic_id, {FLAT_TEXT} AS title, 'About ' || item_id AS \"desc\" FROM benchmark")
+def _(spark, sf):
+    from ..sources import trec
+
+    record = F.concat(F.lit("<top>\n<num> Number: "), "item_id", F.lit("\n<title> "), flat_text(), F.lit("\n<desc> Description:\nAbout "), "item_id", F.lit("\n<narr> Narrative:\nNone\n</top>"))
+    return trec.read_topics(spark, written(table(spark, sf, "benchmark").select(record), "topics")).select("topic_id", "title", "desc")
+
+
+@query("source_run", RUN + " SELECT topic_id, doc_id::VARCHAR AS docno, (rank - 1)::INT AS rank, round(score, 6) AS score FROM run100")
+def _(spark, sf):
+    from ..sources import trec
+
+    index, terms = index_and_terms(spark, sf)
+    run = ranked(R.score(index, terms, "BM25"), 100).withColumn("docno", F.col("doc_id"))
+    path = new_path(spark, "run")
+    trec.write_run(run, path, "rankloom")
+    return trec.read_run(spark, path).select("topic_id", "docno", "rank", F.round("score", 6).alias("score"))
+
+
+@query("stream_index", EVERY + " SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf FROM lex")
+def _(spark, sf):
+    from ..streaming import append
+
+    docs = documents(spark, sf)
+    source, path = new_path(spark, "stream-source"), new_path(spark, "stream-index")
+    docs.repartition(3, "doc_id").write.parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    append.index_stream(stream, path, new_path(spark, "stream-state")).awaitTermination()
+    return append.reopen(spark, path).lexicon
+
+
+@query("stream_fresh_hits", "WITH x AS (SELECT event_id AS doc_id, ts, event_type AS term FROM events), q(topic_id, term) AS (VALUES ('a', 'click'), ('b', 'purchase'), ('c', 'view')) SELECT topic_id, doc_id, x.term FROM x JOIN q USING (term), (SELECT min(ts) AS lo, max(ts) AS hi FROM events) WHERE ts BETWEEN lo AND hi")
+def _(spark, sf):
+    from ..streaming import append
+
+    events = table(spark, sf, "events")
+    posts = events.select(F.col("event_id").alias("doc_id"), "ts", F.col("event_type").alias("text"))
+    terms = spark.createDataFrame([("a", "click"), ("b", "purchase"), ("c", "view")], "topic_id string, term string")
+    asked = terms.select("topic_id").crossJoin(events.agg(F.min("ts").alias("asked"), F.max("ts").alias("newest")))
+    return append.fresh_hits(posts, asked, terms).select("topic_id", "doc_id", "term")
+
+
+@query("index_versions", f"WITH {TOK.replace('FROM documents', 'FROM documents WHERE doc_id % 2 = 1')}, {FLAT}, {DL}, {POST}, {LEX} SELECT term, df::BIGINT AS df, ctf::BIGINT AS ctf FROM lex")
+def _(spark, sf):
+    """Two commits, a third version that is prepared and rolled back: the second is what a reader sees."""
+    from ..operators.versions import Store
+
+    docs, store = documents(spark, sf), Store(spark, new_path(spark, "versions"))
+    store.commit(I.build(docs.where("doc_id % 2 = 0"), positions=False))
+    store.commit(I.build(docs.where("doc_id % 2 = 1"), positions=False))
+    store.prepare(I.build(docs.where("doc_id = 1"), positions=False))
+    store.roll_back()
+    return store.open().lexicon
+
+
+@query("cached_filter", "SELECT doc_id FROM labels WHERE quality = 1")
+def _(spark, sf):
+    return kept(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "filter")

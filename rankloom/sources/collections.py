@@ -40,8 +40,8 @@ def read_sgml(spark: SparkSession, path: str, record: str = "DOC", id_tag: str =
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(id, url, title, content) of the response records of web archives."""
-    raw = spark.read.option("lineSep", "WARC/").option("recursiveFileLookup", "true").text(path)
+    """(id, url, title, content) of the response records of web archives; a record begins where a line begins with its version."""
+    raw = spark.read.option("lineSep", "\nWARC/").option("recursiveFileLookup", "true").text(path)
     head = lambda name: F.nullif(F.trim(F.regexp_extract("value", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
     # after the record's header and the response's own header
     body = F.regexp_extract("value", r"(?s)\r?\n\r?\n.*?\r?\n\r?\n(.*)$", 1)

@@ -32,6 +32,19 @@ def read_timed_topics(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(number.alias("topic_id"), title.alias("title"), stamp.alias("querytime"), F.expr("try_cast(trim(regexp_extract(value, '(?is)<querytweettime>(.*?)</querytweettime>', 1)) AS bigint)").alias("querytweettime"))
 
 
+def read_numbered_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(topic_id, query) of lines ``<number>words`` or ``number words`` (the genomics and medical form)."""
+    rows = spark.read.text(path)
+    number, rest = F.regexp_extract("value", r"^\s*<?(\w+?)>?[\s:>]", 1), F.regexp_extract("value", r"^\s*<?\w+?>?[\s:>]\s*(.*)$", 1)
+    return rows.select(number.alias("topic_id"), F.trim(rest).alias("query")).where("topic_id <> '' AND query <> ''")
+
+
+def read_web_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(topic_id, query) of lines ``prefix-number:query``; the prefix goes."""
+    rows = read_line_topics(spark, path)
+    return rows.select(F.regexp_replace("topic_id", r"^.*-", "").alias("topic_id"), "query")
+
+
 def read_line_topics(spark: SparkSession, path: str) -> DataFrame:
     """(topic_id, query) of lines ``id:query``."""
     rows = spark.read.text(path).where(F.col("value").contains(":"))

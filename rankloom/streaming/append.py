@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.analysis import general
 from ..operators.index import Index, analysed, lexicon_of, postings_of, statistics
 
 
@@ -29,6 +30,6 @@ def reopen(spark: SparkSession, path: str, upto: int | None = None) -> Index:
 
 def fresh_hits(posts: DataFrame, topics: DataFrame, terms: DataFrame) -> DataFrame:
     """Stream-static filter: posts (doc_id, ts, text) that hold a topic's term and lie in [asked, newest] of the topic."""
-    tokens = posts.select("doc_id", "ts", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    tokens = posts.select("doc_id", "ts", F.explode(F.array_distinct(general(F.coalesce("text", F.lit(""))))).alias("term"))
     wanted = F.broadcast(terms.select("topic_id", "term").join(topics.select("topic_id", "asked", "newest"), "topic_id"))
     return tokens.join(wanted, "term").where("ts BETWEEN asked AND newest").select("topic_id", "doc_id", "ts", "term")
