@@ -6,8 +6,8 @@ bounded number of pivots (the classes with the smallest hashes) cuts the space:
 of its nearest pivot.  It is copied to every other cell that may hold a partner: by the triangle inequality
 its distance to that pivot is at most 2 eps more than to its own, and its distance to the plane between
 the two pivots is at most eps.  So all partners of a vector are in its home cell, and each cell is joined
-on its own, by matrix products in double precision.  A cell of more than ``BLOCK`` vectors is cut into
-blocks, each pair of which is one task.  Only counts and a spanning forest of the links leave a task.
+on its own, by matrix products in double precision.  There are as many pivots as the largest label needs.  The vectors at
+home in a cell and all vectors of it are cut into blocks of ``BLOCK``, each pair of which is one task.  Only counts and a spanning forest of the links leave a task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 without a label, link with nothing; rows that repeat a vector, or even its id, are vectors of their own
@@ -28,8 +28,8 @@ from .components import components
 
 #: Cosine from which on two vectors link.
 MIN_COSINE = 0.98
-#: Classes for one pivot, pivots at most, and vectors in one block of a cell.
-PER_PIVOT, MAX_PIVOTS, BLOCK = 2000, 256, 2048
+#: Classes of the largest label for one pivot, pivots at most, and vectors in one block of a cell.
+PER_PIVOT, MAX_PIVOTS, BLOCK = 2000, 256, 4096
 
 
 def assign(pivots: list[np.ndarray], min_cosine: float):
@@ -134,17 +134,19 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("cls", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "v")))
     classes = scratch(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("_id").alias("least")), "vector-classes")
-    pivots = min(MAX_PIVOTS, -(-classes.count() // PER_PIVOT))
+    largest = classes.groupBy("label", F.size("v")).count().agg(F.max("count")).first()[0] or 0
+    pivots = min(MAX_PIVOTS, -(-largest // PER_PIVOT))
     chosen = [np.array(r["v"]) for r in classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").select("v").limit(pivots).collect()] if pivots else []  # MAX_PIVOTS vectors at most
     dealt = scratch(classes.select("cls", "label", "n", "v").mapInArrow(assign(chosen, min_cosine), "cls long, label long, dim int, cell int, home boolean, n long, unit binary"), "vector-cells")
     where = ["label", "dim", "cell"]
-    blocks = dealt.groupBy(*where).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = F.array_distinct(F.concat(F.when(F.col("home"), F.transform(each, lambda x: F.struct(F.col("own").alias("i"), x.alias("j")))).otherwise(F.array()),
-                                      F.transform(each, lambda x: F.struct(x.alias("i"), F.col("own").alias("j")))))
-    tasks = dealt.join(blocks, where).withColumn("own", own).withColumn("p", F.explode(pairs)).select(
-        *where, "p.i", "p.j", "cls", (F.col("home") & (F.col("p.i") == F.col("own"))).alias("as_home"), (F.col("p.j") == F.col("own")).alias("as_member"), "n", "unit")
+    sizes = [F.ceil(n / BLOCK).cast("int") for n in (F.count_if("home"), F.count("*"))]
+    blocks = dealt.groupBy(*where).agg(sizes[0].alias("rows"), sizes[1].alias("columns")).where("rows > 0")
+    own = {name: F.pmod(F.xxhash64("cls", F.lit(name)), F.col(name)).cast("int") for name in ("rows", "columns")}
+    each = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    pairs = F.array_distinct(F.concat(F.when(F.col("home"), F.transform(each("columns"), lambda x: F.struct(F.col("row").alias("i"), x.alias("j")))).otherwise(F.array()),
+                                      F.transform(each("rows"), lambda x: F.struct(x.alias("i"), F.col("column").alias("j")))))
+    tasks = dealt.join(blocks, where).withColumns({"row": own["rows"], "column": own["columns"]}).withColumn("p", F.explode(pairs)).select(
+        *where, "p.i", "p.j", "cls", (F.col("home") & (F.col("p.i") == F.col("row"))).alias("as_home"), (F.col("p.j") == F.col("column")).alias("as_member"), "n", "unit")
     keys = [*where, "i", "j"]
     found = scratch(tasks.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(join_cells(min_cosine), "cls long, links long, a long, b long"), "vector-links")
     drop_scratch(dealt)
