@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import lg, squash
-from .index import Index
+from .index import Index, bounded
 
 
 def pseudo(run: DataFrame, n: int) -> DataFrame:
@@ -38,7 +38,7 @@ def before(run: DataFrame, times: DataFrame, topic_times: DataFrame) -> DataFram
 
 def pooled(feedback: DataFrame, index: Index) -> DataFrame:
     """(topic_id, term, fb_tf, fb_df, fb_len, df, ctf, N, T, avdl) over each topic's documents."""
-    rows = index.postings.select("term", "doc_id", "tf", "dl").join(F.broadcast(feedback.select("topic_id", "doc_id")), "doc_id")
+    rows = index.postings.select("term", "doc_id", "tf", "dl").join(bounded(feedback.select("topic_id", "doc_id")), "doc_id")
     lengths = rows.groupBy("topic_id", "doc_id").agg(F.first("dl").alias("dl")).groupBy("topic_id").agg(F.sum("dl").alias("fb_len"))
     terms = rows.groupBy("topic_id", "term").agg(F.sum("tf").alias("fb_tf"), F.count("*").alias("fb_df"))
     return terms.join(F.broadcast(lengths), "topic_id").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
@@ -125,9 +125,9 @@ def select_pooled(feedback: DataFrame, index: Index, model: str = "Bo1", k: int
 
 def select_rocchio(feedback: DataFrame, index: Index, model: str = "Bo1", k: int = 40, min_docs: int = 0, by: str = "max") -> DataFrame:
     """Each document weighed alone; the mean over the topic's documents."""
-    docs = feedback.select("topic_id", "doc_id")
+    docs = bounded(feedback.select("topic_id", "doc_id"))
     n = docs.groupBy("topic_id").agg(F.count("*").alias("n_docs"))
-    rows = index.postings.select("term", "doc_id", F.col("tf").alias("fb_tf"), F.col("dl").alias("fb_len")).join(F.broadcast(docs), "doc_id").withColumn("fb_df", F.lit(1))
+    rows = index.postings.select("term", "doc_id", F.col("tf").alias("fb_tf"), F.col("dl").alias("fb_len")).join(docs, "doc_id").withColumn("fb_df", F.lit(1))
     rows = rows.join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
     means = rows.groupBy("topic_id", "term").agg(F.sum(QE_MODELS[model]()).alias("total"), F.count("*").alias("fb_df")).where(F.col("fb_df") >= min_docs).join(F.broadcast(n), "topic_id")
     return best_terms(means.select("topic_id", "term", (F.col("total") / F.col("n_docs")).alias("weight")), k, by)
@@ -135,9 +135,9 @@ def select_rocchio(feedback: DataFrame, index: Index, model: str = "Bo1", k: int
 
 def select_rm3(feedback: DataFrame, index: Index, query: DataFrame, k: int = 40, mu: float = 500.0, min_docs: int = 2) -> DataFrame:
     """Relevance model: smoothed term shares of the documents, weighed by the query's likelihood in each."""
-    docs = feedback.select("topic_id", "doc_id")
+    docs = bounded(feedback.select("topic_id", "doc_id"))
     share = (F.col("tf") + mu * F.col("ctf") / F.col("T")) / (F.col("dl") + mu)
-    rows = index.postings.select("term", "doc_id", "tf", "dl").join(F.broadcast(docs), "doc_id").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
+    rows = index.postings.select("term", "doc_id", "tf", "dl").join(docs, "doc_id").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
     lengths = rows.groupBy("topic_id", "doc_id").agg(F.first("dl").alias("dl"))
     wanted = query.select("topic_id", "term", "qtf").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
     cells = lengths.join(F.broadcast(wanted), "topic_id").join(rows.select("topic_id", "doc_id", "term", "tf"), ["topic_id", "doc_id", "term"], "left").fillna(0, ["tf"])
@@ -151,11 +151,11 @@ def select_rm3(feedback: DataFrame, index: Index, query: DataFrame, k: int = 40,
 
 def select_divergence(feedback: DataFrame, index: Index, k: int = 40, mu: float = 500.0, weight: float = 0.5, min_docs: int = 2) -> DataFrame:
     """Divergence minimisation: exp of the mean log share in the documents less ``weight`` times the collection's."""
-    docs = feedback.select("topic_id", "doc_id")
+    docs = bounded(feedback.select("topic_id", "doc_id"))
     n = docs.groupBy("topic_id").agg(F.count("*").alias("n_docs"))
-    lengths = index.postings.join(F.broadcast(docs), "doc_id").groupBy("topic_id", "doc_id").agg(F.first("dl").alias("dl"))
+    lengths = index.postings.join(docs, "doc_id").groupBy("topic_id", "doc_id").agg(F.first("dl").alias("dl"))
     stats = index.lexicon.crossJoin(F.broadcast(index.stats))
-    seen = index.postings.select("term", "doc_id", "tf").join(F.broadcast(docs), "doc_id")
+    seen = index.postings.select("term", "doc_id", "tf").join(docs, "doc_id")
     terms = seen.groupBy("topic_id", "term").agg(F.count("*").alias("fb_df")).where(F.col("fb_df") >= min_docs).join(stats, "term")
     cells = terms.join(F.broadcast(lengths), "topic_id").join(seen, ["topic_id", "doc_id", "term"], "left").fillna(0, ["tf"])
     share = (F.col("tf") + mu * F.col("ctf") / F.col("T")) / (F.col("dl") + mu)
@@ -165,9 +165,9 @@ def select_divergence(feedback: DataFrame, index: Index, k: int = 40, mu: float
 
 def select_lca(feedback: DataFrame, index: Index, query: DataFrame, k: int = 40, delta: float = 0.01) -> DataFrame:
     """Local context analysis: the product over query terms of delta + idf * log10(1 + co-occurrence) / log10(n)."""
-    docs = feedback.select("topic_id", "doc_id")
+    docs = bounded(feedback.select("topic_id", "doc_id"))
     n = docs.groupBy("topic_id").agg(F.count("*").alias("n_docs"))
-    rows = index.postings.select("term", "doc_id", "tf").join(F.broadcast(docs), "doc_id")
+    rows = index.postings.select("term", "doc_id", "tf").join(docs, "doc_id")
     own = rows.join(F.broadcast(query.select("topic_id", "term")), ["topic_id", "term"]).select("topic_id", "doc_id", F.col("term").alias("q"), F.col("tf").alias("qf"))
     met = rows.join(own, ["topic_id", "doc_id"]).groupBy("topic_id", "term", "q").agg(F.sum(F.col("tf") * F.col("qf")).alias("co"))
     idf = index.lexicon.crossJoin(F.broadcast(index.stats)).select("term", lg(F.col("N") / F.col("df")).alias("idf"))
@@ -208,7 +208,7 @@ def mitra(run: DataFrame, index: Index, query: DataFrame, top: int = 100, share:
     """Sum over a document's query terms, rarest first, of idf times one less the largest chance of meeting it with the ones before."""
     docs = run.where(F.col("rank") <= top).select("topic_id", "doc_id", "score")
     idf = index.lexicon.crossJoin(F.broadcast(index.stats)).select("term", lg(F.col("N") / F.col("df")).alias("idf"))
-    rows = index.postings.select("term", "doc_id").join(F.broadcast(docs.select("topic_id", "doc_id")), "doc_id").join(F.broadcast(query.select("topic_id", "term")), ["topic_id", "term"]).join(idf, "term")
+    rows = index.postings.select("term", "doc_id").join(bounded(docs.select("topic_id", "doc_id")), "doc_id").join(F.broadcast(query.select("topic_id", "term")), ["topic_id", "term"]).join(idf, "term")
     counts = rows.groupBy("topic_id", "term").agg(F.count("*").alias("n"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, ["topic_id", "doc_id"]).where("a.term <> b.term").groupBy("topic_id", F.col("a.term").alias("term"), F.col("b.term").alias("other")).agg(F.count("*").alias("both"))

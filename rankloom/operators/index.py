@@ -21,6 +21,16 @@ LITERAL = 1000
 _stored: dict[tuple, str] = {}
 
 
+#: Rows of a frame that may be broadcast.
+BROADCAST = 1 << 20
+
+
+def bounded(frame: DataFrame, counted: DataFrame | None = None, most: int = BROADCAST) -> DataFrame:
+    """``frame``, to be broadcast if it (or ``counted``, which bounds its rows) has at most ``most`` rows; else as it is."""
+    few = (frame if counted is None else counted).limit(most + 1).count() <= most
+    return F.broadcast(frame) if few else frame
+
+
 @dataclass(frozen=True)
 class Index:
     """postings (term, doc_id, tf, dl, atf, positions), lexicon (term, df, ctf), stats (one row: N, T, avdl)."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.models import lg
 from . import spans
 from .feedback import QE_MODELS, best_terms
-from .index import Index
+from .index import Index, bounded
 
 #: Kernels over two position arrays and the document's length.
 KERNELS: dict[str, Callable[[Column, Column, Column], Column]] = {
@@ -23,7 +23,7 @@ KERNELS: dict[str, Callable[[Column, Column, Column], Column]] = {
 
 def met(feedback: DataFrame, index: Index, query: DataFrame) -> DataFrame:
     """(topic_id, doc_id, term, tf, dl, positions, q, q_positions): candidate terms with each query term of their document."""
-    rows = index.postings.join(F.broadcast(feedback.select("topic_id", "doc_id")), "doc_id").select("topic_id", "doc_id", "term", "tf", "dl", "positions")
+    rows = index.postings.join(bounded(feedback.select("topic_id", "doc_id")), "doc_id").select("topic_id", "doc_id", "term", "tf", "dl", "positions")
     own = rows.join(F.broadcast(query.select("topic_id", "term")), ["topic_id", "term"]).select("topic_id", "doc_id", F.col("term").alias("q"), F.col("positions").alias("q_positions"))
     return rows.join(own, ["topic_id", "doc_id"]).where("term <> q")
 
@@ -46,7 +46,7 @@ def select_cooccurring(feedback: DataFrame, index: Index, query: DataFrame, kern
 def select_near(feedback: DataFrame, index: Index, query: DataFrame, kernel: str = "gaussian", model: str = "Bo1", k: int = 40, min_docs: int = 2) -> DataFrame:
     """A term's frequency in a document is what the kernel leaves of it near the query's terms; then a pooled expansion model."""
     pairs = met(feedback, index, query).groupBy("topic_id", "doc_id", "term").agg(F.sum(KERNELS[kernel](F.col("positions"), F.col("q_positions"), F.col("dl"))).alias("near"))
-    lengths = index.postings.join(F.broadcast(feedback.select("topic_id", "doc_id")), "doc_id").groupBy("topic_id", "doc_id").agg(F.first("dl").alias("dl")).groupBy("topic_id").agg(F.sum("dl").alias("fb_len"))
+    lengths = index.postings.join(bounded(feedback.select("topic_id", "doc_id")), "doc_id").groupBy("topic_id", "doc_id").agg(F.first("dl").alias("dl")).groupBy("topic_id").agg(F.sum("dl").alias("fb_len"))
     pooled = pairs.groupBy("topic_id", "term").agg(F.sum("near").alias("fb_tf"), F.count("*").alias("fb_df")).where(F.col("fb_df") >= min_docs)
     rows = pooled.join(F.broadcast(lengths), "topic_id").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
     return best_terms(rows.select("topic_id", "term", QE_MODELS[model]().alias("weight")), k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import general
 from ..functions.models import MODELS, Model, burst, squash
-from .index import Index, analysed, lexicon_of, postings_of, statistics, stored
+from .index import Index, analysed, bounded, lexicon_of, postings_of, statistics, stored
 
 
 def query_terms(topics: DataFrame, analyzer=general, id_col: str = "topic_id", text_col: str = "query") -> DataFrame:
@@ -37,7 +37,7 @@ def columns(**more: Column) -> SimpleNamespace:
 
 def term_rows(index: Index, terms: DataFrame) -> DataFrame:
     """One row for each topic, document and query term in it, with all statistics."""
-    sized = F.broadcast(terms.join(index.lexicon, "term").crossJoin(index.stats))  # as many rows as there are query terms
+    sized = bounded(terms.join(index.lexicon, "term").crossJoin(index.stats), terms)  # as many rows as there are query terms
     return index.postings.join(sized, "term")
 
 
@@ -61,7 +61,7 @@ def score(index: Index, terms: DataFrame, model: str | Model = "BM25", extra: di
         return rows.groupBy("topic_id", "doc_id").agg(F.sum(chosen.score(s, **params)).alias("score"))
     beyond = rows.groupBy("topic_id", "doc_id").agg(F.sum(chosen.score(s, **params) - chosen.unseen(s, **params)).alias("beyond"), F.first("dl").alias("dl"), F.first("atf").alias("atf"))
     every = terms.join(index.lexicon, "term").groupBy("topic_id").agg(F.collect_list(F.struct("df", "ctf", "qtf", "ql")).alias("terms")).crossJoin(index.stats)
-    joined = beyond.join(F.broadcast(every), "topic_id")  # one row for each topic
+    joined = beyond.join(bounded(every, terms), "topic_id")  # one row for each topic
     part = lambda t: chosen.unseen(columns(**({k: t[k].cast("double") for k in ("df", "ctf", "qtf", "ql")} | dict.fromkeys(extra or {}, F.lit(1.0)))), **params)
     return joined.select("topic_id", "doc_id", (F.col("beyond") + F.aggregate("terms", F.lit(0.0), lambda a, t: a + part(t))).alias("score"))
 

@@ -95,3 +95,36 @@ def test_letters_and_stems(spark):
 def test_windows_in_order(spark):
     rows = spark.createDataFrame([([0, 9], [3], 12), ([5], [3], 12), ([], [3], 12)], "a array<int>, b array<int>, dl long")
     assert [r[0] for r in rows.select(spans.windows_in_order(F.col("a"), F.col("b"), F.col("dl"), 4)).collect()] == [4, 0, 0]
+
+
+def test_queries_are_split_as_documents_are(spark):
+    texts = ["Ein Wort_und 日本語テキスト mixed日本x", "x7 naïve Été ½ Ⅷ", "नमस्ते दुनिया", "", "ＡＢＣ ｱｲｳ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", A.general(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == {t: language.words(t) for t in texts}
+
+
+def test_broadcast_only_within_a_bound(spark):
+    few = spark.range(10).toDF("doc_id")
+    hinted = lambda f: "broadcast" in f._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(I.bounded(few, most=10)) and not hinted(I.bounded(few, most=9)) and not hinted(I.bounded(few, few.union(few), most=15))
+
+
+def test_prels_ids_and_posts(spark, tmp_path):
+    (tmp_path / "p").write_text("1 clueweb09-en0003-55-31884 0 0 1\n2 d 1 2 0.25\nshort line\n")
+    assert [tuple(r) for r in trec.read_prels(spark, f"{tmp_path}/p").collect()] == [("1", "clueweb09-en0003-55-31884", 0, 0, 1.0), ("2", "d", 1, 2, 0.25)]
+    qrels = spark.createDataFrame([("1", "d", 1), ("1", "x", 1)], "topic_id string, docno string, grade int")
+    assert [tuple(r) for r in trec.translate_ids(qrels, spark.createDataFrame([("d", 7)], "docno string, doc_id long")).collect()] == [("1", 7, 1)]
+    posts = spark.createDataFrame([(1, "plain words"), (2, "RT forwarded words"), (3, "日本語 語 x"), (9, "too late")], "doc_id long, content string")
+    run = spark.createDataFrame([("1", k) for k in (1, 2, 3, 9)], "topic_id string, doc_id long")
+    topics = spark.createDataFrame([("1", 5)], "topic_id string, querytweettime long")
+    assert [r.doc_id for r in trec.fit_for_posts(run, posts, topics).collect()] == [1]
+
+
+def test_nothing_outside_imports_the_optional_subpackage():
+    import pathlib
+
+    import rankloom
+
+    root = pathlib.Path(rankloom.__file__).parent
+    files = [p for p in root.rglob("*.py") if p.relative_to(root).parts[0] != "llm"]
+    assert len(files) > 20 and not [p for p in files if "llm" in p.read_text()]
