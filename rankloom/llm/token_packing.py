@@ -32,34 +32,20 @@ LENGTH, BATCH_TOKENS = 2048, 1 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts were split into words: a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task remembers.
-CACHE = 1 << 18
 
 
 class Tokenizer:
-    """Ids of a text; words are encoded once for each time the cache is filled."""
+    """Ids of a text."""
 
     def __init__(self, vocabulary: bytes) -> None:
-        import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = regex.compile(PATTERN).findall
         self.pad = len(ranks)
-        self.cache: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        known, extend = self.cache.get, out.extend
-        for word in self.words(text):
-            ids = known(word)
-            if ids is None:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                ids = self.cache[word] = self.encoding.encode_ordinary(word)
-            extend(ids)
-        return np.array(out, np.int32)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
 
 class Rooms:
