@@ -12,7 +12,8 @@ the same anchor form one segment (``SPAN`` to ``2 * SPAN - ANCHOR`` bytes), and:
    the common prefixes of neighbours builds the common-prefix intervals of at least ``SPAN`` bytes; one
    whose suffixes differ in the byte to their left is a maximal repeat, with all its occurrences.  An
    anchor with more than ``GROUP`` distinct segments is dealt on by the hash of each single string, and streamed.
-4. The occurrences of the segments carry the repeats back to the documents, where they are merged.
+4. The occurrences of the segments carry the repeats back to the documents: as merged spans
+   (:func:`suffix_dedup`), or as groups with all their occurrences (:func:`repeat_groups`).
 
 Documents are joined twice by key, and no stage holds more than a chunk; only step 2 holds a bucket's entries, as they came.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -354,6 +356,21 @@ def covered(strings: list[bytes], many: list[bool], span: int) -> list[list[tupl
     return out
 
 
+def groups_of(strings: list[bytes], many: list[bool], span: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(length, string numbers, offsets) of each repeat group; a string that stands in several places is a group as a whole."""
+    whole = {k for k, repeats in enumerate(many) if repeats}
+    for length, which, offset in maximal_repeats(strings, span):
+        numbers, offsets = which.tolist(), offset.tolist()
+        whole -= {w for w, o in zip(numbers, offsets, strict=True) if not o and len(strings[w]) == length}
+        yield length, numbers, offsets
+    for k in sorted(whole):
+        yield len(strings[k]), [k], [0]
+
+
+def repeat_id(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     """Overlapping or touching spans as one."""
     out: list[tuple[int, int]] = []
@@ -365,8 +382,20 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def sort_segments(span: int):
-    """Step 3, sorting: rows in order of anchor and check -> (seg, hash, begin, end) of what is repeated."""
+#: What :func:`sort_segments` returns: covered ranges of a segment; with groups, the repeat that each place in it belongs to.
+COVERED = {"seg": "long", "hash": "long", "begin": "int", "end": "int"}
+GROUPED = COVERED | {"repeat": "long"}
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+def sort_segments(span: int, groups: bool = False):
+    """Step 3, sorting: rows in order of anchor and check -> (seg, hash, begin, end) of what is repeated; with ``groups``
+    one row for each place of each repeat group, and the group's id."""
+    columns = GROUPED if groups else COVERED
+    arrow = [{"long": pa.int64(), "int": pa.int32()}[kind] for kind in columns.values()]
     names = ("anchor", "check", "seg", "hash", "many", "at", "bytes")
 
     @released
@@ -376,12 +405,22 @@ def sort_segments(span: int):
         current, size, repeated_ = None, 0, False
 
         def emit(found: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names=["seg", "hash", "begin", "end"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(arrow)], names=list(columns))
 
-        def flush() -> pa.RecordBatch:
-            spans = covered([x[6] for x in chunk], [x[4] for x in chunk], span)
-            return emit([(x[2], x[3], a, b) for x, s in zip(chunk, spans, strict=True) for a, b in s])
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts, many = [x[6] for x in chunk], [x[4] for x in chunk]
+            if not groups:
+                yield emit([(x[2], x[3], a, b) for x, s in zip(chunk, covered(texts, many, span), strict=True) for a, b in s])
+                return
+            found: list[tuple] = []
+            for length, which, offsets in groups_of(texts, many, span):
+                name = repeat_id(texts[which[0]][offsets[0] : offsets[0] + length])
+                for w, o in zip(which, offsets, strict=True):
+                    found.append((chunk[w][2], chunk[w][3], o, o + length, name))
+                    if len(found) >= 1 << 13:
+                        yield emit(found)
+                        found = []
+            yield emit(found)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
@@ -399,12 +438,12 @@ def sort_segments(span: int):
                         yield emit(single)
                         single = []
                     repeated_ |= many or not fresh
-                    single.append((seg, whole, at, at + span))
+                    single.append((seg, whole, at, at + span, anchor))
                 else:
                     if fresh and current and current[2] and not repeated_:
                         single.pop()
                     if fresh and size > CHUNK:
-                        yield flush()
+                        yield from flush()
                         chunk, size = [], 0
                     chunk.append(row)
                     size += len(text)
@@ -412,15 +451,23 @@ def sort_segments(span: int):
         if current and current[2] and not repeated_:
             single.pop()
         if chunk:
-            yield flush()
+            yield from flush()
         if single:
             yield emit(single)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """(_id, _key, spans): for each document with repeats, the byte ranges in which they stand, not yet merged."""
+@dataclass(frozen=True)
+class Segments:
+    """Steps 1 to 3: segments in order of their anchors, ready to be sorted by suffix, and the places of all of them."""
+
+    sorted: DataFrame
+    places: DataFrame
+    tables: tuple[DataFrame, ...]
+
+
+def segments_of(docs: DataFrame, id_col: str, text_col: str, span: int, anchor: int, group: int) -> Segments:
     spark = tune(docs.sparkSession)
     parts = partitions(spark)
     rows = keyed(docs, id_col, text_col)
@@ -430,12 +477,36 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = found.where(F.col("kind") != PLACE).groupBy("_id", "_key").agg(F.collect_list(F.struct("kind", "start", "size", "seg", "hash", "anchor", "many")).alias("copies"))
     texts = rows.join(copies, ["_id", "_key"]).select("_text", "copies").mapInArrow(read_copies(span), "anchor long, check long, seg long, hash long, many boolean, at int, bytes binary")
     dealt = texts.repartition(parts, "anchor").sortWithinPartitions("anchor", F.col("bytes").isNull(), "check")
-    # written, so that the join below can split the places of a very common segment
-    spans = scratch(dealt.mapInArrow(sort_segments(span), "seg long, hash long, begin int, end int").groupBy("seg", "hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "segment-spans")
     places = found.where(F.col("kind") == PLACE).select("_id", "_key", "start", "seg", "hash").unionByName(shipped.where("blob IS NULL").select("_id", "_key", "start", "seg", "hash"))
-    hits = places.join(spans, ["seg", "hash"]).select("_id", "_key", F.transform("spans", lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
+    return Segments(dealt, places, (shipped, found))
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+    """(_id, _key, spans): for each document with repeats, the byte ranges in which they stand, not yet merged."""
+    cut = segments_of(docs, id_col, text_col, span, anchor, group)
+    # written, so that the join below can split the places of a very common segment
+    spans = scratch(cut.sorted.mapInArrow(sort_segments(span), ddl(COVERED)).groupBy("seg", "hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "segment-spans")
+    hits = cut.places.join(spans, ["seg", "hash"]).select("_id", "_key", F.transform("spans", lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
     out = scratch(hits.groupBy("_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "document-spans")
-    drop_scratch(shipped, found, spans)
+    drop_scratch(*cut.tables, spans)
+    return out
+
+
+def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+    """(repeat, length, _id, _key, begin): the maximal repeat groups of at least ``span`` bytes, one row for each occurrence.
+
+    ``repeat`` names a string of ``length`` bytes.  Groups are the common-prefix intervals with different left bytes, so
+    a group is maximal inside its segments, of up to ``2 * span - anchor`` bytes: a longer passage is a chain of groups
+    that overlap.  An anchor with more than ``group`` distinct segments gives groups of just ``span`` bytes, and a text
+    over ``PIECE`` bytes ends a segment at each piece.  Together the occurrences cover what :func:`suffix_dedup` removes;
+    rows that repeat id and text give an occurrence each.
+    """
+    cut = segments_of(docs, id_col, text_col, span, anchor, group)
+    # a segment lies in a bounded number of groups, at a bounded number of places
+    of = scratch(cut.sorted.mapInArrow(sort_segments(span, groups=True), ddl(GROUPED)).groupBy("seg", "hash").agg(F.collect_list(F.struct("repeat", "begin", "end")).alias("groups")), "segment-groups")
+    hits = cut.places.join(of, ["seg", "hash"]).select("_id", "_key", "start", F.explode("groups").alias("g"))
+    out = scratch(hits.select("g.repeat", (F.col("g.end") - F.col("g.begin")).alias("length"), "_id", "_key", (F.col("start") + F.col("g.begin")).alias("begin")), "repeat-groups")
+    drop_scratch(*cut.tables, of)
     return out
 
 

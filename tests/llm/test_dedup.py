@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from rankloom.llm import embedding_dedup as e
 from rankloom.llm import jaccard_join as j
 from rankloom.llm import line_dedup as lines
 from rankloom.llm import suffix_dedup as s
-from rankloom.llm.common import public_id
+from rankloom.llm.common import keyed, public_id
 from rankloom.llm.components import components
 from tests.llm import cases
 
@@ -77,6 +78,30 @@ def test_maximal_repeats_have_all_occurrences():
                 assert any((w, p) in places and p <= o and o + 5 <= p + len(text) for text, places in found.items() for p in range(o + 1))
 
 
+@pytest.mark.parametrize("group", [8192, 1])
+def test_repeat_groups_have_all_occurrences(spark, group):
+    rows, span = cases.corpus(), 40
+    docs = cases.frame(spark, rows)
+    texts = [(r._id, r._key, (r._text or "").encode()) for r in keyed(docs).collect()]
+    at = {(i, key): text for i, key, text in texts}
+    groups, found = defaultdict(Counter), {(i, key): bytearray(len(text)) for i, key, text in texts}
+    for r in s.repeat_groups(docs, span=span, anchor=span // 2, group=group).collect():
+        text = at[r._id, r._key][r.begin : r.begin + r.length]
+        groups[r.repeat, text][r._id, r._key, r.begin] += 1
+        found[r._id, r._key][r.begin : r.begin + r.length] = b"\1" * r.length
+    assert len({name for name, _ in groups}) == len({text for _, text in groups}) == len(groups) > 0
+    for (_, text), places in groups.items():
+        assert len(text) >= span
+        every = Counter((i, key, o) for i, key, t in texts for o in range(len(t) - len(text) + 1) if t.startswith(text, o))
+        assert places == every
+        assert sum(every.values()) > 1
+    for out in s.suffix_dedup(docs, span=span, anchor=span // 2).select("_id", "_key", "spans").collect():
+        gone = bytearray(len(at[out._id, out._key]))
+        for x in out.spans:
+            gone[x.begin : x.end] = b"\1" * (x.end - x.begin)
+        assert gone == found[out._id, out._key]
+
+
 @pytest.mark.parametrize("k", [5, 2])
 def test_jaccard(spark, k):
     rows = cases.corpus()
@@ -145,5 +170,6 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], EMPTY)
     assert lines.line_dedup(none).count() == 0
     assert s.suffix_dedup(none).count() == 0
+    assert s.repeat_groups(none).count() == 0
     assert j.jaccard_join(none).count() == 0
     assert e.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
