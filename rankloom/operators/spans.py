@@ -28,33 +28,65 @@ def moved(places: Column, offset: int) -> Column:
     return F.transform(places, lambda p: p - offset)
 
 
-def grown(paths: Column, places: Column, offset: int, slop: int) -> Column:
-    """Each path with each place of the next term that stays within the slop."""
-    def step(m: Column) -> Column:
-        fits = F.filter(places, lambda q: (F.greatest(m["high"], q) - F.least(m["low"], q) <= slop) & ~F.array_contains(m["used"], q + offset))
-        return F.transform(fits, lambda q: F.struct(F.least(m["low"], q).alias("low"), F.greatest(m["high"], q).alias("high"), m["first"].alias("first"), F.concat(m["used"], F.array(q + offset)).alias("used")))
+#: Stands for a place that isn't there.
+NOWHERE = 1 << 30
 
-    return F.flatten(F.transform(paths, step))
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, in which the value is made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def highest(places: Column, offsets: list[int], low: Column, high: Column) -> Column:
+    """The least upper end, in the phrase's own places and ``high`` at least, of one place for each offset, none of them under ``low``.
+
+    Offsets rise, and places are taken as early as can be, each once; no choice of places ends lower.
+    """
+    def take(state: Column, offset: Column) -> Column:
+        following = F.array_min(F.filter(places, lambda q: (q > state["last"]) & (q >= low + offset)))
+        return let(F.coalesce(following, F.lit(NOWHERE)), lambda q: F.struct(q.alias("last"), F.greatest(state["high"], q - offset).alias("high")))
+
+    begin = F.struct(F.lit(-1).alias("last"), high.alias("high"))
+    return F.aggregate(F.array(*map(F.lit, sorted(offsets))), begin, take, lambda state: state["high"])
+
+
+def displacement(first: Column, terms: dict[str, tuple[Column, list[int]]], own: str, offset: int, slop: int) -> Column:
+    """The smallest spread, within the slop, of a match whose first term stands at ``first``; null without one.
+
+    Each lower end within the slop is tried, over places near the first term only.
+    """
+    reach = [o for _, offsets in terms.values() for o in offsets]
+    close = lambda q: q.between(first - slop + min(reach), first + slop + max(reach))
+    apart = lambda q: close(q) & (q != first + offset)
+    near = F.struct(*(F.filter(places, apart if t == own else close).alias(f"n{k}") for k, (t, (places, _)) in enumerate(terms.items())))
+
+    def spread(near_: Column, low: Column) -> Column:
+        high = first
+        for k, (_, offsets) in enumerate(terms.values()):
+            high = highest(near_[f"n{k}"], offsets, low, high)
+        return high - low
+
+    return let(near, lambda n: F.array_min(F.filter(F.transform(F.sequence(first - slop, first), lambda low: spread(n, low)), lambda d: d <= slop)))
 
 
 def phrase_matches(postings: DataFrame, terms: list[str], slop: int = 0, offsets: list[int] | None = None) -> DataFrame:
     """(doc_id, dl, freq): exact phrases count their alignments; sloppy ones add 1 / (displacement + 1) for each begin.
 
     A sloppy match moves terms by up to ``slop`` places in total from the phrase's own offsets; for each place of
-    the first term the smallest displacement counts, and repeated terms take different places.
+    the first term the smallest displacement counts, and repeated terms take different places.  The work for a place
+    of the first term grows with the slop and the places near it, whatever the number of their combinations.
     """
     offsets = offsets or list(range(len(terms)))
     docs = gathered(postings, terms)
     shifted = [moved(F.col(f"p{k}"), o) for k, o in enumerate(offsets)]
-    if not slop:
+    if not slop or len(terms) == 1:
         both = reduce(F.array_intersect, shifted)
         return docs.select("doc_id", "dl", F.size(both).cast("double").alias("freq"))
-    # displacements, per begin of the first term: all combinations within the slop, one term at a time
-    paths = F.transform(shifted[0], lambda p: F.struct(p.alias("low"), p.alias("high"), p.alias("first"), F.array(p + offsets[0]).alias("used")))
-    for places, offset in zip(shifted[1:], offsets[1:], strict=True):
-        paths = grown(paths, places, offset, slop)
-    begins = F.array_distinct(F.transform(paths, lambda m: m["first"]))
-    best = F.transform(begins, lambda f: F.array_min(F.transform(F.filter(paths, lambda m: m["first"] == f), lambda m: m["high"] - m["low"])))
+    others: dict[str, tuple[Column, list[int]]] = {}
+    for k, (term, offset) in enumerate(zip(terms, offsets, strict=True)):
+        if k:
+            others.setdefault(term, (F.col(f"p{k}"), []))[1].append(offset)
+    best = F.filter(F.transform(shifted[0], lambda f: displacement(f, others, terms[0], offsets[0], slop)), lambda d: d.isNotNull())
     freq = F.aggregate(best, F.lit(0.0), lambda a, d: a + 1 / (d + 1.0))
     return docs.select("doc_id", "dl", freq.alias("freq"))
 
@@ -83,33 +115,49 @@ def listed(spans: DataFrame, name: str) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(name))
 
 
-def longer(clause: Column, slop: int, ordered: bool):
-    """A function from a path to its continuations by one more span."""
-    def step(m: Column) -> Column:
-        def fits(s: Column) -> Column:
-            if ordered:
-                return (s["start"] >= m["last"]) & (s["start"] - m["last"] <= slop)
-            gap = F.greatest(m["end"], s["end"]) - F.least(m["start"], s["start"]) - m["held"] - (s["end"] - s["start"])
-            return ~F.array_contains(m["used"], s) & (gap <= slop)
-
-        return F.transform(F.filter(clause, fits), lambda s: F.struct(F.least(m["start"], s["start"]).alias("start"), F.greatest(m["end"], s["end"]).alias("end"), s["end"].alias("last"),
-                                                                     (m["held"] + s["end"] - s["start"]).alias("held"), F.concat(m["used"], F.array(s)).alias("used")))
-
-    return step
-
-
 def span_near(clauses: list[DataFrame], slop: int, ordered: bool = True) -> DataFrame:
     """(doc_id, start, end): one span of every clause, within ``slop`` places that belong to none.
 
     Ordered: the spans follow each other without overlap, and for each last span the shortest match counts.
     """
+    return in_order(clauses, slop) if ordered else in_any_order(clauses, slop)
+
+
+def in_order(clauses: list[DataFrame], slop: int) -> DataFrame:
+    """One join a clause, on the document and a range of places; of matches that end at one place and skip as many, the last begin stays."""
+    width = slop + 1
+    paths = clauses[0].select("doc_id", "start", "end", F.lit(0).alias("skipped"))
+    for clause in clauses[1:]:
+        reached = paths.select("*", F.explode(F.array_distinct(F.array(F.floor(F.col("end") / width), F.floor((F.col("end") + slop) / width)))).alias("range"))
+        following = clause.select("doc_id", F.col("start").alias("next"), F.col("end").alias("next_end"), F.floor(F.col("start") / width).alias("range")).distinct()
+        gap = F.col("next") - F.col("end")
+        met = reached.join(following, ["doc_id", "range"]).where(gap.between(0, slop - F.col("skipped")))
+        paths = met.groupBy("doc_id", F.col("next_end").alias("end"), (F.col("skipped") + gap).alias("skipped")).agg(F.max("start").alias("start"))
+    return paths.groupBy("doc_id", "end").agg(F.max("start").alias("start")).select("doc_id", "start", "end")
+
+
+def in_any_order(clauses: list[DataFrame], slop: int) -> DataFrame:
+    """Paths by document, one span of each clause; a path goes on while the clauses to come could still fill its gaps."""
     docs = reduce(lambda a, b: a.join(b, "doc_id"), [listed(c, f"c{k}") for k, c in enumerate(clauses)])
-    paths = F.transform("c0", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["end"].alias("last"), (s["end"] - s["start"]).alias("held"), F.array(s).alias("used")))
+    size = lambda s: s["end"] - s["start"]
+    longest = [F.array_max(F.transform(f"c{k}", size)) for k in range(len(clauses))]
+    paths = F.transform("c0", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), size(s).alias("held"), F.array(s).alias("used")))
+
+    def longer(clause: Column, most: Column):
+        def step(m: Column) -> Column:
+            def fits(s: Column) -> Column:
+                gap = F.greatest(m["end"], s["end"]) - F.least(m["start"], s["start"]) - m["held"] - size(s)
+                return ~F.array_contains(m["used"], s) & (gap <= most)
+
+            grown = lambda s: F.struct(F.least(m["start"], s["start"]).alias("start"), F.greatest(m["end"], s["end"]).alias("end"), (m["held"] + size(s)).alias("held"), F.array_sort(F.concat(m["used"], F.array(s))).alias("used"))
+            return F.transform(F.filter(clause, fits), grown)
+
+        return step
+
     for k in range(1, len(clauses)):
-        paths = F.flatten(F.transform(paths, longer(F.col(f"c{k}"), slop, ordered)))
+        most = reduce(Column.__add__, longest[k + 1 :], F.lit(slop))
+        paths = F.array_distinct(F.flatten(F.transform(paths, longer(F.col(f"c{k}"), most))))
     rows = docs.select("doc_id", F.explode(paths).alias("m")).where(F.col("m.end") - F.col("m.start") - F.col("m.held") <= slop)
-    if ordered:
-        return rows.groupBy("doc_id", F.col("m.end").alias("end")).agg(F.max("m.start").alias("start")).select("doc_id", "start", "end")
     return rows.select("doc_id", "m.start", "m.end").distinct()
 
 
