@@ -38,6 +38,11 @@ def lower_letters(text: Column) -> Column:
     return letters(F.lower(text))
 
 
+def marked_letters(text: Column) -> Column:
+    """Runs of letters and of the marks that stand over or under them."""
+    return matches(text, r"[\p{L}\p{Mn}]+")
+
+
 def keyword(text: Column) -> Column:
     return F.when(text.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
 
@@ -87,6 +92,35 @@ def shingles(tokens: Column, size: int, unigrams: bool = False, separator: str =
     return F.concat(tokens, grams) if unigrams else grams
 
 
+def shingle_matrix(columns: Column, low: int, high: int, separator: str = "_") -> Column:
+    """``low`` to ``high`` neighbouring columns (arrays of alternatives) joined, one string for each choice of alternatives."""
+    def longer(rows: Column, column: Column) -> Column:
+        return F.flatten(F.transform(rows, lambda r: F.transform(column, lambda t: F.concat(r, F.lit(separator), t))))
+
+    def of_size(made: Column, k: int) -> Column:
+        begins = F.sequence(F.lit(1), F.size(made) - (k - 1))
+        chosen = lambda i: F.aggregate(F.slice(made, i + 1, F.lit(k - 1)), F.element_at(made, i), longer)
+        return F.when(F.size(made) >= k, F.flatten(F.transform(begins, chosen))).otherwise(F.array().cast("array<string>"))
+
+    # the columns are made once, not once for each begin
+    return F.element_at(F.transform(F.array(columns), lambda made: F.concat(*(of_size(made, k) for k in range(low, high + 1)))), 1)
+
+
+def token_range(tokens: Column, low: int, high: int) -> Column:
+    """The tokens at places ``low`` (from 0) to ``high`` (left out)."""
+    return F.slice(tokens, low + 1, high - low)
+
+
+def date_tokens(tokens: Column, form: str) -> Column:
+    """Tokens that are dates of this form."""
+    return F.filter(tokens, lambda t: F.try_to_timestamp(t, F.lit(form)).isNotNull())
+
+
+def joined_streams(*streams: Column | str) -> Column:
+    """Streams one after the other; a string is a stream of one token."""
+    return F.concat(*(F.array(F.lit(s)) if isinstance(s, str) else s for s in streams))
+
+
 def stop(tokens: Column, words: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(words))
 

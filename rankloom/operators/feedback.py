@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import lg, squash
 from .index import Index, bounded
+from .search import range_ranks
 
 
 def pseudo(run: DataFrame, n: int) -> DataFrame:
@@ -201,7 +202,7 @@ def host_dedup(run: DataFrame, urls: DataFrame, keep: int = 5) -> DataFrame:
     rows = run.join(urls.select("doc_id", F.parse_url("url", F.lit("HOST")).alias("host")), "doc_id", "left")
     place = F.row_number().over(Window.partitionBy("topic_id", "host").orderBy("rank"))
     kept = rows.withColumn("place", place).where((F.col("place") <= keep) | F.col("host").isNull())
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy("rank"))).select("topic_id", "doc_id", "score", "rank")
+    return range_ranks(kept.drop("host", "place"), [F.col("rank")], ("topic_id",), "again").select("topic_id", "doc_id", "score", F.col("again").alias("rank"))
 
 
 def mitra(run: DataFrame, index: Index, query: DataFrame, top: int = 100, share: float | None = None) -> DataFrame:

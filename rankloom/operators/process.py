@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from . import feedback as FB
+from . import proximity
 
 #: A step takes a run (topic_id, doc_id, score, rank) and gives one.
 PostProcess = Callable[[DataFrame], DataFrame]
@@ -15,6 +16,7 @@ PostProcess = Callable[[DataFrame], DataFrame]
 FEEDBACK_SELECTORS: dict[str, Callable[..., DataFrame]] = {"pseudo": FB.pseudo, "judged": FB.judged_first, "mixed": FB.mixed}
 TERM_SELECTORS: dict[str, Callable[..., DataFrame]] = {
     "pooled": FB.select_pooled, "rocchio": FB.select_rocchio, "rm3": FB.select_rm3, "divergence": FB.select_divergence, "lca": FB.select_lca, "matf": FB.select_matf,
+    "near": proximity.select_near, "cooccurring": proximity.select_cooccurring, "contextual": proximity.select_contextual, "positional": proximity.select_positional,
 }
 
 

@@ -21,11 +21,15 @@ KERNELS: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
-def met(feedback: DataFrame, index: Index, query: DataFrame) -> DataFrame:
-    """(topic_id, doc_id, term, tf, dl, positions, q, q_positions): candidate terms with each query term of their document."""
+def met(feedback: DataFrame, index: Index, query: DataFrame, itself: bool = False) -> DataFrame:
+    """(topic_id, doc_id, term, tf, dl, positions, q, q_positions): candidate terms with each query term of their document.
+
+    A query term meets itself only if ``itself``.
+    """
     rows = index.postings.join(bounded(feedback.select("topic_id", "doc_id")), "doc_id").select("topic_id", "doc_id", "term", "tf", "dl", "positions")
     own = rows.join(F.broadcast(query.select("topic_id", "term")), ["topic_id", "term"]).select("topic_id", "doc_id", F.col("term").alias("q"), F.col("positions").alias("q_positions"))
-    return rows.join(own, ["topic_id", "doc_id"]).where("term <> q")
+    pairs = rows.join(own, ["topic_id", "doc_id"])
+    return pairs if itself else pairs.where("term <> q")
 
 
 def associations(feedback: DataFrame, index: Index, query: DataFrame, kernel: str = "gaussian") -> DataFrame:
@@ -43,6 +47,20 @@ def select_cooccurring(feedback: DataFrame, index: Index, query: DataFrame, kern
     return best_terms(cells.join(F.broadcast(total), "topic_id").select("topic_id", "term", weight.alias("weight")), k)
 
 
+def select_contextual(feedback: DataFrame, index: Index, query: DataFrame, k: int = 40, width: int = 500) -> DataFrame:
+    """The square root of a term's windows shared with each query term, weighed by both their idf, relative to the largest.
+
+    The idf is log10(N / df) / 5, 1 at most.
+    """
+    idf = index.lexicon.crossJoin(F.broadcast(index.stats)).select("term", F.least(F.lit(1.0), F.log10(F.col("N") / F.col("df")) / 5).alias("idf"))
+    own = query.select("topic_id", "term").join(idf, "term").select("topic_id", F.col("term").alias("q"), F.col("idf").alias("q_idf"))
+    shared = spans.windows_with_all([F.col("positions"), F.col("q_positions")], F.col("dl"), width)
+    cells = met(feedback, index, query, itself=True).join(bounded(own, query), ["topic_id", "q"])
+    found = cells.groupBy("topic_id", "term").agg(F.sum(shared * F.col("q_idf")).alias("windows")).join(idf, "term")
+    weight = F.sqrt(F.col("windows") * F.col("idf"))
+    return best_terms(found.select("topic_id", "term", weight.alias("weight")).where("weight > 0"), k)
+
+
 def select_near(feedback: DataFrame, index: Index, query: DataFrame, kernel: str = "gaussian", model: str = "Bo1", k: int = 40, min_docs: int = 2) -> DataFrame:
     """A term's frequency in a document is what the kernel leaves of it near the query's terms; then a pooled expansion model."""
     pairs = met(feedback, index, query).groupBy("topic_id", "doc_id", "term").agg(F.sum(KERNELS[kernel](F.col("positions"), F.col("q_positions"), F.col("dl"))).alias("near"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import general
 from ..functions.models import MODELS, Model, burst, squash
+from ..sources.storage import kept
 from .index import Index, analysed, bounded, lexicon_of, postings_of, statistics, stored
 
 
@@ -72,6 +74,20 @@ def top_k(scored: DataFrame, k: int = 1000, start: int = 1) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank").between(start, k))
 
 
+def range_ranks(rows: DataFrame, order: list[Column], groups: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+    """``rows`` with their place in this order, from 1, in each group: ranges are ranked apart, after the counts of earlier ones.
+
+    For groups of any size, as no task takes more than a range.  The order must tell all rows apart.
+    """
+    placed = rows.repartitionByRange(*(F.col(g) for g in groups), *order).withColumn("_range", F.spark_partition_id())
+    placed = kept(placed, "ranges")
+    same = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups), F.col("_range") == F.col("_at"))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    before = placed.groupBy(*groups, "_range").count().select(*(F.col(g).alias(f"_of_{g}") for g in groups), F.col("_range").alias("_at"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(*order))
+    return placed.withColumn("_within", within).join(F.broadcast(before), same).withColumn(name, (F.col("_before") + F.col("_within")).cast("int")).select(*rows.columns, name)
+
+
 def search(docs: DataFrame, topics: DataFrame, model: str | Model = "BM25", k: int = 1000, **params) -> DataFrame:
     terms = query_terms(topics)
     return top_k(score(stored(docs).only(terms), terms, model, **params), k)

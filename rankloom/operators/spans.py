@@ -223,8 +223,23 @@ def nearest_sigmoid(a: Column, b: Column) -> Column:
     return F.aggregate(short, F.lit(0.0), lambda x, i: x + 2 / (1 + F.exp(near(i))))
 
 
+def windows_with_any(places: Column, dl: Column, width: int) -> Column:
+    """How many of the windows of ``width`` places hold one of the sorted ``places``: one pass over runs of begins."""
+    final = F.greatest(dl - width, F.lit(0)).cast("long")
+
+    def further(state: Column, place: Column) -> Column:
+        low, high = F.greatest(place - (width - 1), state["next"]), F.least(place.cast("long"), final)
+        return F.struct((state["n"] + F.greatest(high - low + 1, F.lit(0))).alias("n"), F.greatest(state["next"], high + 1).alias("next"))
+
+    none = F.lit(0).cast("long")
+    return F.aggregate(places, F.struct(none.alias("n"), none.alias("next")), further, lambda state: state["n"])
+
+
 def windows_with_all(positions: list[Column], dl: Column, width: int) -> Column:
-    """How many of the windows of ``width`` places hold every term."""
+    """How many of the windows of ``width`` places hold every term; of two terms, those with each less those with any."""
+    if len(positions) == 2:
+        both = F.array_sort(F.concat(*positions))
+        return sum((windows_with_any(p, dl, width) for p in positions), F.lit(0)) - windows_with_any(both, dl, width)
     last = F.greatest(dl - width, F.lit(0)).cast("int")
     begins = lambda p: F.array_distinct(F.flatten(F.transform(p, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.greatest(F.least(i, last), F.greatest(i - (width - 1), F.lit(0)))))))
     inside = lambda p: F.filter(begins(p), lambda w: w <= last)

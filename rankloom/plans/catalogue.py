@@ -503,10 +503,10 @@ def _(spark, sf):
 @query("value_source_ordinals", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_type)::INT AS ord, dense_rank() OVER (ORDER BY p_type DESC)::INT AS reverse_ord FROM part")
 def _(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_type")
-    # ordinals over the distinct values, then a join: the window never sees the rows
-    values = part.select("p_type").distinct()
-    ordered = values.select("p_type", F.dense_rank().over(Window.orderBy("p_type")).alias("ord"), F.dense_rank().over(Window.orderBy(F.desc("p_type"))).alias("reverse_ord"))
-    return part.join(ordered, "p_type").select("p_partkey", "ord", "reverse_ord")
+    # ordinals over the distinct values, by ranges, then a join
+    ordered = R.range_ranks(part.select("p_type").distinct(), [F.col("p_type")], name="ord")
+    n = ordered.agg(F.count("*").alias("n"))
+    return part.join(ordered.crossJoin(F.broadcast(n)), "p_type").select("p_partkey", "ord", (F.col("n") - F.col("ord") + 1).cast("int").alias("reverse_ord"))
 
 
 @query("value_source_stats", "SELECT min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi, round(avg(l_quantity::DOUBLE), 6) AS mean FROM lineitem")
@@ -680,7 +680,7 @@ def _(spark, sf):
 @query("host_dedup", "WITH r AS (SELECT 'p' AS topic_id, page_id, length(html)::DOUBLE AS score, regexp_extract(url, '://([^/:?#]+)', 1) AS host, row_number() OVER (ORDER BY length(html) DESC, page_id) AS rank FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY rank) AS place FROM r) SELECT topic_id, page_id AS doc_id, score, (row_number() OVER (ORDER BY rank))::INT AS rank FROM k WHERE place <= 5")
 def _(spark, sf):
     pages = table(spark, sf, "pages").withColumnRenamed("page_id", "doc_id")
-    run = R.top_k(pages.select(F.lit("p").alias("topic_id"), "doc_id", F.length("html").cast("double").alias("score")), 1 << 30)
+    run = R.range_ranks(pages.select(F.lit("p").alias("topic_id"), "doc_id", F.length("html").cast("double").alias("score")), [F.desc("score"), F.asc("doc_id")], ("topic_id",))
     return FB.host_dedup(run, pages.select("doc_id", "url"))
 
 
@@ -717,6 +717,11 @@ ANALYSES = {
     "filter_accents": (lambda t: F.transform(A.general(t), A.fold_accents), f"list_transform({GENERAL}, lambda w: replace(translate(w, '{A.ACCENTED}', '{A.PLAIN}'), 'ß', 'ss'))"),
     "filter_elision": (lambda t: F.transform(A.whitespace(F.lower(t)), A.elision), r"list_transform(regexp_extract_all(lower(text), '[^ \n\t]+'), lambda w: regexp_replace(w, '^(?:l|m|t|qu|n|s|j|d|c)[''’]', ''))"),
     "filter_reverse": (lambda t: A.reverse(A.general(t)), f"list_transform({GENERAL}, lambda w: reverse(w))"),
+    "tokenize_marked_letters": (A.marked_letters, r"regexp_extract_all(text, '[\p{L}\p{Mn}]+')"),
+    "filter_range": (lambda t: A.token_range(A.general(t), 10, 20), f"({GENERAL})[11:20]"),
+    "joined_streams": (lambda t: A.joined_streams("begin", A.general(t), "end"), f"list_concat(['begin'], list_concat({GENERAL}, ['end']))"),
+    "shingle_matrix": ((A.general, lambda t: A.shingle_matrix(F.transform(t, lambda w: F.array(w, F.substring(w, 1, 1))), 2, 2)),
+                       "flatten([[ws[i] || '_' || ws[i + 1], ws[i] || '_' || substring(ws[i + 1], 1, 1), substring(ws[i], 1, 1) || '_' || ws[i + 1], substring(ws[i], 1, 1) || '_' || substring(ws[i + 1], 1, 1)] FOR i IN range(1, len(ws))])"),
     "shingles": ((A.general, lambda t: A.shingles(t, 2)), "[ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]"),
     "char_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.char_ngrams(w, 3, 3)))), f"flatten(list_transform({GENERAL}, lambda w: [substring(w, i, 3) FOR i IN range(1, length(w) - 1)]))"),
     "edge_ngrams": ((A.general, lambda t: F.flatten(F.transform(t, lambda w: A.edge_ngrams(w, 2, 4)))), f"flatten(list_transform({GENERAL}, lambda w: [substring(w, 1, i) FOR i IN range(2, least(4, length(w)) + 1)]))"),
@@ -741,12 +746,7 @@ def _(spark, sf):
 @query("sortable_numbers", "SELECT o_orderkey, o_orderkey AS back, row_number() OVER (ORDER BY o_orderkey)::INT AS rank FROM orders")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", S.long_to_sortable(F.col("o_orderkey").cast("long")).alias("s"))
-    # strings that share all but the last three digits are ranked together, after the counts of lower beginnings; nulls are last
-    rows = rows.withColumn("begin", F.coalesce(F.substring("s", 1, 11), F.lit("~")))
-    lower = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("begin").count().select("begin", F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("begin").orderBy("s"))
-    return rows.join(before, "begin").select("o_orderkey", S.sortable_to_long(F.col("s")).alias("back"), (F.col("before") + place).cast("int").alias("rank"))
+    return R.range_ranks(rows, [F.asc_nulls_last("s")]).select("o_orderkey", S.sortable_to_long(F.col("s")).alias("back"), "rank")
 
 
 @query("page_text", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages".replace('\\"', '"'))
@@ -914,6 +914,33 @@ def _(spark, sf):
     return process.chain(run, [process.without(qrels.where("grade = 1")), process.cut(20)]).select("topic_id", "doc_id", "score", "rank")
 
 
+@query("feedback_contextual")
+def _(spark, sf):
+    from ..operators import proximity
+
+    index, terms, _, fb = feedback_parts(spark, sf)
+    return weights(proximity.select_contextual(fb, index, terms, 20))
+
+
+@query("source_visits", "SELECT (doc_id % 50)::VARCHAR AS docno, lang AS text FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0")
+def _(spark, sf):
+    """Reports of visits: one in seven has none, one in three is dropped."""
+    from ..sources import collections as C
+
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("r"), "doc_id").alias("docno"), F.col("lang").alias("text"), "doc_id")
+    visit = F.when(F.col("doc_id") % 7 == 0, F.lit("null")).otherwise((F.col("doc_id") % 50).cast("string"))
+    mapping = written(docs.select(F.concat_ws("\t", "docno", F.lit("x"), visit)), "visits")
+    dropped = written(docs.where("doc_id % 3 = 0").select(F.concat_ws("  ", F.lit("x"), "docno")), "dropped")
+    return C.by_visit(docs.select("docno", "text"), C.read_visits(spark, mapping, dropped))
+
+
+@query("source_dump", "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def _(spark, sf):
+    from ..sources import collections as C
+
+    return C.source_texts(documents(spark, sf), table(spark, sf, "labels").where("quality = 1"))
+
+
 @query("position_increments", f"WITH {TOK}, x AS (SELECT doc_id, ts[1] AS first, len(ts) AS n FROM tok) SELECT doc_id, first, n::INT AS n, (CASE WHEN n > 0 THEN 1 ELSE 0 END)::INT AS increments FROM x")
 def _(spark, sf):
     rows = documents(spark, sf).select("doc_id", A.with_increments(A.general(F.coalesce("text", F.lit("")))).alias("ts"))

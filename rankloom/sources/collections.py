@@ -71,6 +71,24 @@ def read_medline(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pmid", F.trim(F.concat_ws(" ", "title", "abstract", "mesh", "chemicals")).alias("text"))
 
 
+def read_visits(spark: SparkSession, mapping: str, dropped: str) -> DataFrame:
+    """(report, visit) of reports that belong to a visit: the first and third column of ``mapping``, without those that the
+    second column of ``dropped`` names."""
+    columns = lambda path, *at: spark.read.text(path).select(*(F.try_element_at(F.split(F.trim("value"), r"\s+"), F.lit(k)).alias(name) for name, k in at))
+    rows = columns(mapping, ("report", 1), ("visit", 3)).where("lower(visit) <> 'null'").groupBy("report").agg(F.max("visit").alias("visit"))
+    return rows.join(columns(dropped, ("report", 2)), "report", "left_anti")
+
+
+def by_visit(reports: DataFrame, visits: DataFrame) -> DataFrame:
+    """(docno, text): reports (docno, text) under the id of their visit; those without a visit go."""
+    return reports.join(visits.withColumnRenamed("report", "docno"), "docno").select(F.col("visit").alias("docno"), "text")
+
+
+def source_texts(docs: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The documents that ``ids`` names, as they came."""
+    return docs.join(ids.select(on), on, "left_semi")
+
+
 def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
     """(urlmd5, title, tag, tagtitle, content) of social bookmarks, one row for each page."""
     rows = spark.read.csv(path, sep="\t", schema="urlmd5 string, title string, tag string", quote="")
