@@ -8,8 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters and digits, with runs of Chinese and Japanese characters apart.
-GENERAL = r"[ᄀ-ᇿ぀-㆏㄀-ㄯㆠ-ㆿㇰ-ㇿ㌀-㍿㐀-䶿一-鿿豈-﫿･-ﾟ]+|[\p{L}\p{N}&&[^ᄀ-ᇿ぀-㆏ㆠ-ㆿㇰ-ㇿ㌀-㍿㐀-䶿一-鿿豈-﫿･-ﾟ]]+"
+#: Letters and digits, with runs of Chinese and Japanese characters apart.  Latin letters and digits come first and runs are
+#: possessive: a class with an intersection costs ten times as much for each character.
+_EAST = r"ᄀ-ᇿ぀-㆏㄀-ㄯㆠ-ㆿㇰ-ㇿ㌀-㍿㐀-䶿一-鿿豈-﫿･-ﾟ"
+_LATIN = "a-zA-Z0-9À-ÖØ-öø-ÿ"
+_OTHER = r"\p{L}\p{N}&&[^\x00-\x7FÀ-ÖØ-öø-ÿᄀ-ᇿ぀-㆏ㆠ-ㆿㇰ-ㇿ㌀-㍿㐀-䶿一-鿿豈-﫿･-ﾟ]"
+_REST = f"(?:[{_LATIN}]++|[{_OTHER}]++)*+"
+GENERAL = f"[{_LATIN}]{_REST}|[{_EAST}]++|[{_OTHER}]{_REST}"
 #: Host, e-mail, acronym, company, apostrophe and number forms before plain words, the longest form first.
 STANDARD = (
     r"[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*@[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)+"
