@@ -123,4 +123,4 @@ def with_term_norms(index: Index) -> Index:
     """Postings with ``critf``: the term's sum of squashed bursts, over all documents."""
     part = squash(burst(SimpleNamespace(tf=F.col("tf").cast("double"), atf=F.col("atf"))))
     norms = index.postings.groupBy("term").agg(F.sum(part).alias("critf"))
-    return Index(index.postings.join(norms, "term"), index.lexicon, index.stats)
+    return Index(index.postings.join(bounded(norms, index.lexicon), "term"), index.lexicon, index.stats)  # a frequent term's postings stay apart
