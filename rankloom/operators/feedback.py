@@ -139,7 +139,8 @@ def select_rm3(feedback: DataFrame, index: Index, query: DataFrame, k: int = 40,
     """Relevance model: smoothed term shares of the documents, weighed by the query's likelihood in each."""
     docs = bounded(feedback.select("topic_id", "doc_id"))
     share = (F.col("tf") + mu * F.col("ctf") / F.col("T")) / (F.col("dl") + mu)
-    rows = index.postings.select("term", "doc_id", "tf", "dl").join(docs, "doc_id").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
+    found = kept(index.postings.select("term", "doc_id", "tf", "dl").join(docs, "doc_id"), "feedback")  # one scan of the postings
+    rows = kept(found.join(index.lexicon, "term").crossJoin(F.broadcast(index.stats)), "feedback")
     lengths = rows.groupBy("topic_id", "doc_id").agg(F.first("dl").alias("dl"))
     wanted = query.select("topic_id", "term", "qtf").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats))
     cells = lengths.join(F.broadcast(wanted), "topic_id").join(rows.select("topic_id", "doc_id", "term", "tf"), ["topic_id", "doc_id", "term"], "left").fillna(0, ["tf"])
@@ -259,7 +260,9 @@ def rerank_by_classifier(run: DataFrame, index: Index, terms: DataFrame, top: in
     last = F.max("rank").over(Window.partitionBy("topic_id"))
     chosen = run.withColumn("last", last).where((F.col("rank") <= depth) | (F.col("rank") > F.col("last") - bottom))
     weight = (1 + F.log(F.col("tf"))) * lg(F.col("N") / F.col("df"))
-    rows = index.postings.select("term", "doc_id", "tf").join(F.broadcast(terms.select("topic_id", "term")), "term").join(index.lexicon, "term").crossJoin(F.broadcast(index.stats)).select("topic_id", "doc_id", "term", weight.alias("weight"))
+    docs = bounded(chosen.select("topic_id", "doc_id"))
+    found = kept(index.postings.select("term", "doc_id", "tf").join(docs, "doc_id").join(bounded(terms.select("topic_id", "term")), ["topic_id", "term"]), "feedback")  # only of these documents
+    rows = found.join(index.lexicon, "term").crossJoin(F.broadcast(index.stats)).select("topic_id", "doc_id", "term", weight.alias("weight"))
     vectors = chosen.join(rows, ["topic_id", "doc_id"], "left").groupBy("topic_id", "doc_id", "rank", "last", "score").agg(F.collect_list(F.struct("term", "weight")).alias("features"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:

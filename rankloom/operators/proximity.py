@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import lg
+from ..sources.storage import kept
 from . import spans
 from .feedback import QE_MODELS, best_terms
 from .index import Index, bounded
@@ -26,7 +27,7 @@ def met(feedback: DataFrame, index: Index, query: DataFrame, itself: bool = Fals
 
     A query term meets itself only if ``itself``.
     """
-    rows = index.postings.join(bounded(feedback.select("topic_id", "doc_id")), "doc_id").select("topic_id", "doc_id", "term", "tf", "dl", "positions")
+    rows = kept(index.postings.join(bounded(feedback.select("topic_id", "doc_id")), "doc_id").select("topic_id", "doc_id", "term", "tf", "dl", "positions"), "feedback")  # one scan of the postings
     own = rows.join(F.broadcast(query.select("topic_id", "term")), ["topic_id", "term"]).select("topic_id", "doc_id", F.col("term").alias("q"), F.col("positions").alias("q_positions"))
     pairs = rows.join(own, ["topic_id", "doc_id"])
     return pairs if itself else pairs.where("term <> q")
