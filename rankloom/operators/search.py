@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import general
 from ..functions.models import MODELS, Model, burst, squash
 from ..sources.storage import kept
-from .index import Index, analysed, bounded, lexicon_of, postings_of, statistics, stored
+from .index import Index, analysed, bounded, lexicon_of, postings_of, statistics, stored_part
 
 
 def query_terms(topics: DataFrame, analyzer=general, id_col: str = "topic_id", text_col: str = "query") -> DataFrame:
@@ -90,7 +90,7 @@ def range_ranks(rows: DataFrame, order: list[Column], groups: tuple[str, ...] =
 
 def search(docs: DataFrame, topics: DataFrame, model: str | Model = "BM25", k: int = 1000, **params) -> DataFrame:
     terms = query_terms(topics)
-    return top_k(score(stored(docs).only(terms), terms, model, **params), k)
+    return top_k(score(stored_part(docs, terms), terms, model, **params), k)
 
 
 def bm25f(fields: dict[str, tuple[DataFrame, float, float]], terms: DataFrame, k1: float = 1.2, idf_field: str | None = None) -> DataFrame:
